@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallybrook.llm import packing, sharding, token_counts
-from tallybrook.llm._common import table
+from tallybrook.llm import decontamination, near_duplicates, packing, quality, sharding, suffix_dedup, token_counts, token_store, top_k, url_filter
+from tallybrook.llm._common import fresh_path, table
 
 
 def vocabulary() -> str:
@@ -16,6 +17,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.evaluate(url_filter.captures_of(pages), url_filter.intervals(url_filter.entries_of(pages)))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -24,11 +30,45 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = fresh_path(spark, "token-store")
+    token_store.write_store(docs, path, vocabulary())
+    return token_store.documents_of(spark, path)
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = top_k.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op3_token_counts, op9_best_fit_packing)
-}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_sharding, op3_token_counts, op4_ngram_jaccard_join, op5_benchmark_decontamination,
+        op6_token_store, op7_exact_top_k, op8_quality_classifier, op9_best_fit_packing, op10_suffix_array_dedup,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filter.ORACLE, "op7_exact_top_k": top_k.ORACLE}
