@@ -1,10 +1,64 @@
-"""Corpus pipeline (placeholder stages are filled in as the operators land)."""
+"""A corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Quality filter, near-duplicate removal, removal of repeated strings, benchmark decontamination, packing.  All stages but
+the last return the columns of documents; each works on all rows its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallybrook.llm import decontamination, near_duplicates, packing, quality, suffix_dedup
+from tallybrook.llm._common import fresh_path, prepare, table
+from tallybrook.llm.queries import vocabulary
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for quality 1 stay."""
+    names = docs.columns
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"), *names)
+    return scored.where("predicted = 1").select(*names)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least doc_id stays."""
+    prepare(spark)
+    return near_duplicates.one_of_each(docs)
+
+
+def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes under strings of 200 bytes that occur again go from the texts; n_chars follows."""
+    prepare(spark)
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, in sequences of 4096."""
+    prepare(spark)
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("suffix-array dedup", drop_repeated_strings),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+
+ORACLE_SQL = None  # the classifier and the tokenizer have no SQL form; tests compare with brute force
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = fresh_path(spark, f"stage-{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
