@@ -73,6 +73,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def smaller(batches, column: int = 0, most: int = 4 << 20):
+    """Batches cut so that one text column has at most so many bytes each, or a single text: what tasks hold at a time."""
+    for b in batches:
+        _, off = utf8(b.column(column))
+        at = 0
+        while at < len(b):
+            end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 #: Word bytes after lower-casing A-Z: 0-9, a-z and all bytes of non-ASCII characters; 0 elsewhere.
 LOWER = np.zeros(256, np.uint8)
 LOWER[0x30:0x3A] = np.arange(0x30, 0x3A)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _bytes
-from tallybrook.llm._common import cut, prepare
+from tallybrook.llm._common import aside, cut, prepare, restored
 from tallybrook.llm.components import components
 
 N, THRESHOLD = 5, 0.8
@@ -273,6 +273,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = docs.columns
     _, classes = classes_of(docs, threshold)
     chosen = classes.where("chosen").select("w", "least")
-    rows = fingerprints(docs, *names, bands=False)
+    some, back = aside(docs.withColumn("doc_id__", F.col("doc_id")).withColumn("text__", F.col("text")), names)
+    rows = fingerprints(some.withColumnsRenamed({"doc_id__": "doc_id", "text__": "text"}), "doc_id", *back, bands=False)
     kept = rows.join(chosen, "w").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    return kept.dropDuplicates(["w"]).select(*names).unionByName(rows.where("w is null").select(*names))
+    return restored(kept.dropDuplicates(["w"]).select(*back).unionByName(rows.where("w is null").select(*back)), back)

@@ -63,33 +63,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
         rank, left = 0, histogram[length]
         while left:
             room = open_bins.tightest(length)
-            if room is None:  # new bins: as many as these pieces fill, each taking as many of them as fit
-                per = capacity // length
-                full, rest = divmod(left, per)
-                if full:
-                    for i in range(per):
-                        steps.append((length, rank + i * full, made, i * length))
-                    if capacity - per * length:
-                        open_bins.bins[capacity - per * length].append((made, full))
-                        open_bins.mark(capacity - per * length)
-                    made, rank = made + full, rank + per * full
-                if rest:
-                    for i in range(rest):
-                        steps.append((length, rank + i, made, i * length))
-                    open_bins.bins[capacity - rest * length].append((made, 1))
-                    open_bins.mark(capacity - rest * length)
-                    made += 1
-                break
-            first, n = open_bins.bins[room].popleft()
-            take = min(n, left)
-            steps.append((length, rank, first, capacity - room))
-            if take < n:
-                open_bins.bins[room].appendleft((first + take, n - take))
-            open_bins.mark(room)
-            if room - length:
-                open_bins.bins[room - length].append((first, take))
-                open_bins.mark(room - length)
-            rank, left = rank + take, left - take
+            if room is None:  # as many new bins as these pieces fill
+                room, first, n = capacity, made, -(-left // (capacity // length))
+                made += n
+            else:
+                first, n = open_bins.bins[room].popleft()
+                open_bins.mark(room)
+            # a bin that still holds such a piece is the tightest one, so each is filled before the next
+            per = room // length
+            full, rest = min(n, left // per), 0
+            if full < n:
+                rest = left - full * per  # fewer than per
+            for i in range(per if full else 0):
+                steps.append((length, rank + i * full, first, capacity - room + i * length))
+            for i in range(rest):
+                steps.append((length, rank + full * per + i, first + full, capacity - room + i * length))
+            used = full + bool(rest)
+            for kept, at, count in ((room - per * length, first, full), (room - rest * length, first + full, bool(rest)), (room, first + used, n - used)):
+                if kept and count:
+                    (open_bins.bins[kept].appendleft if kept == room else open_bins.bins[kept].append)((at, int(count)))
+                    open_bins.mark(kept)
+            rank, left = rank + full * per + rest, left - full * per - rest
     return np.array(steps, np.int64).reshape(-1, 4)
 
 

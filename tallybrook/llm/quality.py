@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _bytes
-from tallybrook.llm._common import cut, prepare
+from tallybrook.llm._common import aside, cut, prepare, restored
 
 FIT_ROWS = 20_000  # labelled rows that the model is fitted on: those of least hash
 BINS = 24
@@ -49,6 +49,13 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are predicted as quality 1."""
+    some, back = aside(docs.withColumn("doc_id__", F.col("doc_id")).withColumn("text__", F.col("text")), docs.columns)
+    scored = classify(some.withColumnsRenamed({"doc_id__": "doc_id", "text__": "text"}), labels, *back)
+    return restored(scored.where("predicted = 1"), back)
+
+
 def features(docs: DataFrame, *kept: str) -> DataFrame:
     """The kept columns and x, the features of every text (null: empty)."""
     prepare(docs.sparkSession)

@@ -98,15 +98,15 @@ def cuts(rows: DataFrame, shards: int) -> tuple[list[bytes], int]:
 def shard_rows(docs: DataFrame, shards: int = 16, buckets: int = 64) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, under the law of near-equal bytes.
 
-    Size: UTF-8 bytes of the text plus 1; a null text has size 1, crc32 0, and shares a group with nothing but null
-    texts.  Rows with repeated or null doc_id are placed like any other; an empty table gives no rows.  The largest
+    Size: UTF-8 bytes of the text plus 1; a null text has size 1, crc32 0, and is in the group of the
+    empty texts.  Rows with repeated or null doc_id are placed like any other; an empty table gives no rows.  The largest
     shard is as small as a contiguous cut of the digest order allows; where one group exceeds the mean it has a shard.
     """
     rows = docs.select("doc_id", "text").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "utf-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.unhex(F.md5(F.encode("text", "utf-8"))), F.lit(b"\x00")).alias("digest"),
+        F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).alias("digest"),
     )
     rows = rows.withColumn("block", F.conv(F.rpad(F.substring(F.hex("digest"), 1, 3), 3, "0"), 16, 10).cast("int"))
     ends, _ = cuts(rows.select("digest", "block", "size"), shards)

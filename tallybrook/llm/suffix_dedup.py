@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _bytes
-from tallybrook.llm._common import cut, prepare
+from tallybrook.llm._common import aside, cut, prepare, restored
 
 LENGTH, TUPLE = 200, 50
 HOT = 4096  # different runs of one tuple beyond which their windows are dealt out by fingerprint
@@ -241,16 +241,18 @@ def digest(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with repeated strings removed from text; characters that a cut splits go, null texts stay null."""
     names = docs.columns
-    others = [c for c in names if c != "text"]
-    marked = docs.withColumn("text_is_null_", F.col("text").isNull())
+    marked, back = aside(docs.withColumn("text_is_null__", F.col("text").isNull()).withColumn("text__", F.col("text")), [c for c in names if c != "text"])
+    marked = marked.withColumn("text", F.col("text__"))
+    kept = list(back)
 
     def rewrite(batches):
         for b in batches:
             texts = []
-            for z, n, spans, null in zip(*(b.column(c).to_pylist() for c in ("z", "n", "spans", "text_is_null_")), strict=True):
+            for z, n, spans, null in zip(*(b.column(c).to_pylist() for c in ("z", "n", "spans", "text_is_null__")), strict=True):
                 texts.append(None if null else kept_bytes(unpack(z, n), merged(spans)).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(texts, pa.string())], [*others, "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    rows = covered(marked, *others, "text_is_null_").select(*others, "text_is_null_", "z", "n", "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(others)])
-    return rows.mapInArrow(rewrite, f"{schema + ', ' if others else ''}text string").select(*names)
+    spans_of = marked.withColumn("doc_id", F.col(next(k for k, c in back.items() if c == "doc_id")))
+    rows = covered(spans_of, *kept, "text_is_null__").select(*kept, "text_is_null__", "z", "n", "spans")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
+    return restored(rows.mapInArrow(rewrite, f"{schema + ', ' if kept else ''}text string"), back | {"text": "text"}).select(*names)
