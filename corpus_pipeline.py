@@ -16,9 +16,7 @@ from tallybrook.llm.queries import vocabulary
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for quality 1 stay."""
-    names = docs.columns
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"), *names)
-    return scored.where("predicted = 1").select(*names)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
