@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallybrook.functions import requests as R
 from tallybrook.functions import urls as U
 from tallybrook.operators.lookup import one_row
+from tallybrook.sources.storage import cut
 
 LEVELS = ("path", "template", "prefix", "host", "host_template", "ext_query", "ext", "context")
 #: Main-thread cost by context (ms per KiB), and follow-up transfer by level and context.
@@ -62,6 +63,7 @@ def fit_levels(log: DataFrame, shrink: float = 0.0, min_count: int = 1, levels:
     made = keys()
     y = F.greatest(F.col("transfer_bytes"), F.lit(0)).cast("double")
     chains = log.where("transfer_bytes is not null").groupBy(*(made[v].alias(f"k_{v}") for v in levels)).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"))
+    chains = cut(chains)
     chains = one_row(chains, chains.agg((F.sum("y") / F.sum("n")).alias("parent")))
     out = None
     for level in reversed(levels):
@@ -70,7 +72,7 @@ def fit_levels(log: DataFrame, shrink: float = 0.0, min_count: int = 1, levels:
         stats = stats.withColumn("est_", (F.col("count_") * F.col("mean_") + shrink * F.col("parent_")) / (F.col("count_") + shrink))
         rows = stats.select(F.lit(level).alias("level"), F.col(k).alias("key"), F.col("count_").alias("n"), F.col("mean_").alias("mean"), F.col("parent_").alias("parent"), F.col("est_").alias("est"), (F.col("count_") * F.abs(F.col("est_") - F.col("parent_"))).alias("gain"))
         out = rows if out is None else out.unionByName(rows)
-        chains = chains.join(stats.select(k, "est_"), k, "left").withColumn("parent", F.coalesce("est_", "parent")).drop("est_")
+        chains = cut(chains.join(stats.select(k, "est_"), k, "left").withColumn("parent", F.coalesce("est_", "parent")).drop("est_"))  # else each level would double the plan
     return out
 
 
