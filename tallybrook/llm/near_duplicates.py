@@ -170,7 +170,7 @@ def fingerprints(docs: DataFrame, *kept: str, bands: bool = True) -> DataFrame:
     """The kept columns, w (the words' fingerprint; null without words) and, if wanted, the band keys."""
 
     def sketch(batches):
-        for b in batches:
+        for b in _bytes.smaller(batches):
             hashes, first = _bytes.words(*_bytes.utf8(b.column(0).cast(pa.large_string())))
             none = np.diff(first) == 0
             w = pa.array(word_keys(hashes, first).view(np.int64), mask=none)

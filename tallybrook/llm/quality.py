@@ -61,7 +61,7 @@ def features(docs: DataFrame, *kept: str) -> DataFrame:
     prepare(docs.sparkSession)
 
     def measure(batches):
-        for b in batches:
+        for b in _bytes.smaller(batches):
             x = text_features(b.column(0).cast(pa.large_string()))
             rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], rows], [*b.schema.names[1:], "x"])
