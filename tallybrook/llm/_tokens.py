@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import islice
 
-MOST = 1_000_000  # parts that a worker keeps besides the frequent ones
+MOST = 300_000  # parts that a worker keeps besides the frequent ones (some 60 MB)
 _loaded: dict = {}
 
 
@@ -90,8 +91,8 @@ class Encoder:
             found = self.learn({x for x, y in zip(own, got, strict=True) if y is None})
             got = [found[x] if y is None else y for x, y in zip(own, got, strict=True)]
             if len(self.cache) + len(found) > MOST + len(self.frequent):
-                self.cache = dict(self.frequent)
-            if len(found) <= MOST:
+                self.cache = dict(islice(self.cache.items(), len(self.frequent) + MOST // 2))  # common parts came early
+            if len(found) <= MOST // 2:
                 self.cache.update(found)
         return b"".join(got) if self.ids else sum(got)
 
