@@ -141,3 +141,9 @@ def root_flags(blocked: DataFrame, page: list[str], order: str = "pos") -> DataF
     cascading = F.col("context").isin("script", "html")
     first = blocked.where(cascading).groupBy(*page, "host").agg(F.min(order).alias("first_"))
     return blocked.join(first, [*page, "host"], "left").withColumn("root", F.when(~cascading | (F.col(order) <= F.col("first_")), "FIRST").otherwise("REPEAT")).drop("first_")
+
+
+def measured_correction(priced: DataFrame) -> DataFrame:
+    """n_cascading, cascade and correction: by how much follow-up transfer must be scaled to meet the flat price; 1 without any."""
+    n, cascade = F.count_if(F.col("followup_bytes") > 0), F.coalesce(F.sum("followup_bytes"), F.lit(0)).cast("long")
+    return priced.agg(n.alias("n_cascading"), cascade.alias("cascade")).withColumn("correction", F.coalesce(F.try_divide(F.lit(float(FOLLOWUP_PER_REQUEST)) * F.col("n_cascading"), F.col("cascade")), F.lit(1.0)))

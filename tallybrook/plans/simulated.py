@@ -127,14 +127,14 @@ def shrunk_factors(spark, sf):
     return f.select("resource_type", "n", F.round("mean", 4).alias("mean"), F.round("se", 4).alias("se"), F.round("weight", 6).alias("weight"), F.round("factor", 6).alias("factor"))
 
 
-def features(spark, sf):
-    """ML1, REQ7: target-encoded and one-hot features of test rows, encoded on training rows only."""
+def features(spark, sf, *kept):
+    """ML1, REQ7: target-encoded and one-hot features of training and test rows, encoded on training rows only."""
     train, test = TT.split(spark, sf)
     own = lambda df: L.fall_back(L.fall_back(df, train, [["host"]], "transfer_bytes", "host_median"), train, [["host", "resource_type"], ["host"]], "transfer_bytes", "type_median")
     cols = {**R.one_hot(F.col("resource_type"), R.RESOURCE_TYPES, "rt"), **R.one_hot(F.col("initiator_type"), R.INITIATORS, "init"), **{k: v.cast("int") for k, v in U.content_flags(F.col("url"), False).items()}, "depth": U.path_depth(F.col("url")), "length": F.length("url"), "params": U.num_query_params(F.col("url")), "label": F.col("transfer_bytes").cast("double")}
     names = [*(c for c in cols if c != "label"), "host_median", "type_median"]
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    return (assembler.transform(own(df).withColumns(cols)).select("page_idx", "pos", "resource_type", "features", "label") for df in (train, test))
+    return (assembler.transform(own(df).withColumns(cols)).select("page_idx", "pos", "resource_type", "features", "label", *kept) for df in (train, test))
 
 
 @query()

@@ -257,6 +257,14 @@ def interface_stages(spark, sf):
     return own.agg(F.lit("full").alias("stage"), mae("est_bytes", "mae")).union(alone.agg(F.lit("context_only"), mae("p", "mae")))
 
 
+@query(f"""WITH {SCORED}, hs AS (SELECT *, CASE WHEN ends_with(host, 'tag.adnet.example') THEN 0.7 WHEN ends_with(host, 'adnet.example') THEN 1.2 WHEN ends_with(host, 'metrics.example') THEN 1.5 ELSE 1.0 END AS host_scale FROM scored),
+ fu AS (SELECT CASE WHEN est_bytes <= 0 OR match_level = 'bodyless' OR context NOT IN ('script', 'html') THEN 0 ELSE CAST(round(47000 * {_SCALE} * host_scale) AS BIGINT) END AS f FROM hs) SELECT count(*) FILTER (WHERE f > 0) AS n_cascading, sum(f)::BIGINT AS cascade, round(47000.0 * count(*) FILTER (WHERE f > 0) / sum(f), 6) AS correction FROM fu""")
+def measured_correction(spark, sf):
+    """AGG52: a flat price for each cascading request over the modulated prices' total."""
+    own = T.host_scale(scored(spark, sf), spark.sql(_HOST_SCALES).withColumn("scale", F.col("scale").cast("double")))
+    return rounded(T.measured_correction(T.followups(own, F.lit("UNKNOWN"))))
+
+
 @query(f"""WITH {_fit_sql(0.0)} SELECT level, count(*) AS n_keys, sum(n)::BIGINT AS n_rows FROM fitted WHERE level IN ('host', 'ext', 'context') GROUP BY level""")
 def previous_levels(spark, sf):
     """EST11: a table of fewer levels."""
