@@ -85,6 +85,46 @@ def test_sharding(docs, none, rows):
     assert all(len(s) == 1 for s in shard_of.values())
 
 
+def small_sizes(rng, n, total):
+    cut = sorted(rng.sample(range(1, total), n - 1))
+    return [b - a for a, b in zip([0, *cut], [*cut, total], strict=True)]
+
+
+@pytest.mark.parametrize("large,small", [([0.33], 400), ([0.2, 0.15, 0.1], 300), ([], "equal"), ([0.5], 3)])
+def test_sharding_with_large_groups(spark, large, small):
+    """Groups above the mean are alone, the others are spread over all shards left, and none is empty while groups last."""
+    rng, shards, total = random.Random(5), 16, 60_000
+    sizes = [50] * 100 if small == "equal" else small_sizes(rng, small, int(total * (1 - sum(large))))
+    texts = [f"{k:05d}".ljust(max(5, s - 1), "x") for k, s in enumerate(sizes)]
+    texts += [t for k, part in enumerate(large) for t in ["L" * 99 + str(k)] * int(total * part / 101)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = sharding.shard_rows(df, shards).collect()
+    assert len(found) == len(texts)
+    group = collections.Counter()
+    for t in texts:
+        group[hashlib.md5(t.encode()).digest()] += len(t) + 1
+    order = [group[k] for k in sorted(group)]
+
+    def parts(capacity):
+        n, held = 0, None
+        for s in order:
+            if s > capacity:
+                n, held = n + 1, None
+            else:
+                n, held = (n, held + s) if held is not None and held + s <= capacity else (n + 1, s)
+        return n
+
+    best = next(c for c in range(sum(order) + 1) if parts(c) <= shards)
+    got = collections.Counter()
+    for r in found:
+        got[r["shard"]] += r["size"]
+    assert set(got) == set(range(min(shards, len(order))))
+    assert max(got.values()) == max(best, max(order))
+    assert sorted(x for x in got.values() if x > best) == sorted(s for s in order if s > best)
+    if len(large) < 2 and len(order) > 50:  # a short stretch between two large groups is a small shard
+        assert min(got.values()) > 0.6 * best
+
+
 def test_token_counts(docs, none, rows, tokenizer):
     want = collections.Counter()
     for i, t in rows:
