@@ -79,12 +79,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
 
     vectors and queries: vec_id and x (array of long), as integer_vectors gives them.  A candidate with the query's own
     vec_id takes no part; with fewer than k candidates all are returned.  Vectors of different length meet in their common
-    dimensions.  Rows with a null vec_id are never a query; as candidates they come last among ties.  Empty tables give
-    no rows.
+    dimensions.  Rows with a null vec_id are never a query; as candidates they come last among ties.  Equal query rows are
+    one query; different vectors under one vec_id are queries of their own, each with its k rows under that query_id.
+    Repeated candidate rows count one by one.  Empty tables give no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    queries = queries.where("vec_id is not null")
+    queries = queries.where("vec_id is not null").select("vec_id", "x").distinct()
     n, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("x"))).collect()[0]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -92,10 +93,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     found = None
     for turn in range(turns):
         some = queries if turns == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(turns)) == turn)
-        rows = some.select("vec_id", "x").collect()  # query_bytes at most
+        rows = some.collect()  # query_bytes at most
         sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), matrix([r[1] for r in rows], dims)))
 
-        def best(batches, sent=sent):
+        def best(batches, sent=sent, first=turn << 40):
             q_ids, q = sent.value
 
             def block(held):
@@ -106,7 +107,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
                 lists = sorted_lists(x)
                 for at in range(0, len(q), QUERY_ROWS):
                     i, c, s = block_top(x, raw, q[at : at + QUERY_ROWS], q_ids[at : at + QUERY_ROWS], min(k, len(raw)), lists)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + i]), pa.array(raw[c], mask=null[c]), pa.array(np.rint(s).astype(np.int64))], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(first + at + i), pa.array(q_ids[at + i]), pa.array(raw[c], mask=null[c]), pa.array(np.rint(s).astype(np.int64))], ["asked", "query_id", "vec_id", "score"])
 
             held, n = [], 0
             for b in batches:
@@ -118,9 +119,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
             if n:
                 yield from block(held)
 
-        part = vectors.select("vec_id", "x").mapInArrow(best, "query_id long, vec_id long, score long")
+        part = vectors.select("vec_id", "x").mapInArrow(best, "asked long, query_id long, vec_id long, score long")
         found = part if found is None else found.unionAll(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

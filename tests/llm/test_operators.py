@@ -360,3 +360,17 @@ def test_url_filter(spark):
     found = {r["capture_id"]: r["category"] for r in url_filter.evaluate(captures, url_filter.intervals(entries)).collect()}
     assert found == {k: c for k, (_, _, c) in enumerate(asked)}
     assert url_filter.evaluate(captures.limit(0), url_filter.intervals(entries.limit(0))).count() == 0
+
+
+def test_top_k_of_repeated_queries(spark):
+    """Equal query rows are asked once; another vector under the same vec_id has its own rows."""
+    rng = random.Random(8)
+    vectors = [(k, [rng.randint(-50, 50) for _ in range(4)]) for k in range(60)]
+    asked = [vectors[3], vectors[3], vectors[3], vectors[7], (7, [9, -9, 1, 0])]
+    want = collections.Counter()
+    for q, x in {(q, tuple(x)) for q, x in asked}:
+        near = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), k) for k, y in vectors if k != q)[:5]
+        want.update((q, rank, k, -s) for rank, (s, k) in enumerate(near, 1))
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, x array<long>")
+    assert multiset(top_k.top_k(frame(vectors), frame(asked)).collect()) == want
+    assert multiset(top_k.top_k(frame(vectors).repartition(3), frame(asked), block_rows=7, query_bytes=50).collect()) == want
