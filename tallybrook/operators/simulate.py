@@ -54,14 +54,22 @@ def journeys(rows: DataFrame, page: str, pred: str, actual: str, visits: int, tr
 def zipf_journeys(rows: DataFrame, page: str, pred: str, actual: str, visits: int, trials: int, seed: str, exponent: float = 1.0) -> DataFrame:
     """Journeys whose pages are drawn by Zipf weights of their hash rank: a draw falls on the cumulative weight.
 
-    The page table is cut into as many integer shares of 2**20 as its weights give; pages are a dimension, and the ranges are
-    joined on the share's bucket, not by comparing all pairs.
+    Weights are summed within blocks of ranks, plus the blocks' offsets.  The whole weight is cut into as many cells as there
+    are pages; a page is in each cell that it overlaps, and a draw looks only at the pages of its cell.
     """
     pages = numbered(rows.groupBy(page).agg(F.sum(pred).alias(pred), F.sum(actual).alias(actual)), [page])
-    w = pages.withColumn("w_", 1.0 / F.pow(F.col("i") + 1, F.lit(exponent)))
-    shares = one_row(w, w.agg(F.sum("w_").alias("t_"))).withColumn("s_", F.greatest(F.lit(1), F.floor(F.col("w_") / F.col("t_") * 4096)).cast("int"))
-    tickets = numbered(shares.select(page, pred, actual, F.explode(F.sequence(F.lit(1), F.col("s_"))).alias("copy")), [page, "copy"])
-    return totals(drawn(slots(rows.sparkSession, trials, visits), tickets, seed), pred, actual)
+    w = pages.withColumn("w_", 1.0 / F.pow(F.col("i") + 1, F.lit(exponent))).withColumn("b_", F.floor(F.col("i") / 4096))
+    own = Window.partitionBy("b_").orderBy("i")
+    sums = w.withColumn("to_", F.sum("w_").over(own)).withColumn("from_", F.coalesce(F.lag("to_").over(own), F.lit(0.0)))
+    blocks = sums.groupBy("b_").agg(F.max("to_").alias("t_")).withColumn("t_", F.sum("t_").over(Window.orderBy("b_")))  # a row for 4,096 pages
+    ahead = blocks.withColumn("a_", F.coalesce(F.lag("t_").over(Window.orderBy("b_")), F.lit(0.0))).drop("t_")
+    whole = one_row(blocks.agg(F.max("t_").alias("t_")), pages.agg(F.count(F.lit(1)).alias("n_")))
+    cell = lambda x: F.least(F.floor(x / F.col("t_") * F.col("n_")), F.col("n_") - 1)
+    begin, end = F.col("from_") + F.col("a_"), F.col("to_") + F.col("a_")
+    spans = one_row(sums.join(ahead, "b_"), whole).select(pred, actual, begin.alias("from_"), end.alias("to_"), F.explode(F.sequence(cell(begin), cell(end))).alias("cell_"))
+    share = F.shiftright(hash_number(F.lit(seed), "trial", "slot"), 8) / F.lit(float(1 << 52))  # of a 60-bit hash, below 1
+    draws = one_row(slots(rows.sparkSession, trials, visits), whole).withColumn("x_", share * F.col("t_")).select("trial", "slot", "x_", cell(F.col("x_")).alias("cell_"))
+    return totals(draws.join(spans, "cell_").where("x_ >= from_ and x_ < to_"), pred, actual)
 
 
 def clustered(rows: DataFrame, cluster: str, order: list[str], pred: str, actual: str, clusters: int, draws: int, trials: int, seed: str) -> DataFrame:
