@@ -11,6 +11,7 @@ pieces.  The plan's size follows the number of different lengths, not the corpus
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _tokens
-from tallybrook.llm._common import cut, prepare
+from tallybrook.llm._common import cut, fresh_path, prepare
 
 CAPACITY = 4096
-PLAN_ROWS = 2_000_000  # rows of the plan that may be broadcast (40 MB)
+PLAN_ROWS = 2_000_000  # rows of the plan that may be broadcast (64 MB); a longer plan is a table, written in parts of so many rows
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,7 +59,7 @@ class OpenBins:
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset): ranks from there on go to sequences from there on."""
-    open_bins, made, steps = OpenBins(capacity), 0, []
+    open_bins, made, steps = OpenBins(capacity), 0, array("q")
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
@@ -75,16 +76,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             if full < n:
                 rest = left - full * per  # fewer than per
             for i in range(per if full else 0):
-                steps.append((length, rank + i * full, first, capacity - room + i * length))
+                steps.extend((length, rank + i * full, first, capacity - room + i * length))
             for i in range(rest):
-                steps.append((length, rank + full * per + i, first + full, capacity - room + i * length))
+                steps.extend((length, rank + full * per + i, first + full, capacity - room + i * length))
             used = full + bool(rest)
             for kept, at, count in ((room - per * length, first, full), (room - rest * length, first + full, bool(rest)), (room, first + used, n - used)):
                 if kept and count:
                     (open_bins.bins[kept].appendleft if kept == room else open_bins.bins[kept].append)((at, int(count)))
                     open_bins.mark(kept)
             rank, left = rank + full * per + rest, left - full * per - rest
-    return np.array(steps, np.int64).reshape(-1, 4)
+    return np.frombuffer(steps, np.int64).reshape(-1, 4) if steps else np.zeros((0, 4), np.int64)
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -120,10 +121,10 @@ def place(rows: DataFrame, capacity: int = CAPACITY, buckets: int = 32) -> DataF
         before[r["length"], r["bucket"]] = histogram.get(r["length"], 0)
         histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
     steps = plan(histogram, capacity)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")) - 1)
     if len(steps) > PLAN_ROWS:
-        raise ValueError(f"the packing plan has {len(steps)} rows; lower the capacity")
+        return follow(ranked, steps, before, {(r["length"], r["bucket"]): r["n"] for r in sizes}, capacity)
     sent = spark.sparkContext.broadcast((before, steps))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")) - 1)
 
     def assign(batches):
         shift, (ahead, table) = 1 << 44, sent.value
@@ -140,6 +141,33 @@ def place(rows: DataFrame, capacity: int = CAPACITY, buckets: int = 32) -> DataF
     return ranked.mapInArrow(assign, f"{kept}, sequence_id long, offset long")
 
 
+def follow(ranked: DataFrame, steps: np.ndarray, before: dict, sizes: dict, capacity: int) -> DataFrame:
+    """place() by a plan that is too long to broadcast: each (length, bucket) meets its own steps, in the order of ranks.
+
+    A step that spans several buckets is repeated in each of them, from the bucket's first rank on.
+    """
+    spark, shift = ranked.sparkSession, 1 << 44
+    own = np.array([(length, bucket, ahead, sizes[length, bucket]) for (length, bucket), ahead in before.items()], np.int64)
+    keys = steps[:, 0] * -shift + steps[:, 1] + capacity * shift  # in the plan's order
+    at = (capacity - own[:, 0]) * shift + own[:, 2]
+    first, last = np.searchsorted(keys, at, "right") - 1, np.searchsorted(keys, at + own[:, 3] - 1, "right") - 1
+    ends = np.cumsum(last - first + 1)
+    path = fresh_path(spark, "packing-plan")
+    for lo in range(0, int(ends[-1]), PLAN_ROWS):
+        row = np.arange(lo, min(lo + PLAN_ROWS, int(ends[-1])))
+        k = np.searchsorted(ends, row, "right")
+        step = steps[last[k] - (ends[k] - 1 - row)]
+        begin = np.maximum(step[:, 1], own[k, 2])
+        columns = {"length": own[k, 0], "bucket": own[k, 1].astype(np.int32), "rank": begin - own[k, 2], "first": step[:, 2] + begin - step[:, 1], "offset": step[:, 3]}
+        spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(path)
+    table = spark.read.parquet(path).select("length", "bucket", "rank", F.struct("rank", "first", "offset").alias("step"))
+    kept = [c for c in ranked.columns if c not in ("bucket", "rank")]
+    met = ranked.withColumn("rank", F.col("rank").cast("long")).unionByName(table, allowMissingColumns=True)
+    window = Window.partitionBy("length", "bucket").orderBy("rank", F.col("step").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = met.withColumn("is_step", F.col("step").isNotNull()).withColumn("step", F.last("step", ignorenulls=True).over(window)).where(~F.col("is_step"))
+    return told.select(*kept, (F.col("step.first") + F.col("rank") - F.col("step.rank")).alias("sequence_id"), F.col("step.offset").alias("offset"))
+
+
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 

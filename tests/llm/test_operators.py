@@ -374,3 +374,20 @@ def test_top_k_of_repeated_queries(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, x array<long>")
     assert multiset(top_k.top_k(frame(vectors), frame(asked)).collect()) == want
     assert multiset(top_k.top_k(frame(vectors).repartition(3), frame(asked), block_rows=7, query_bytes=50).collect()) == want
+
+
+def test_packing_by_a_long_plan(spark, monkeypatch):
+    """A plan beyond the broadcast bound gives the same rows."""
+    rng = random.Random(4)
+    rows = [(k if k % 50 else None, 0, 0, rng.choice([3, 7, rng.randint(1, 100)]), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, packing.PIECES).repartition(3)
+    want = packing.place(df, 100, 4)
+    monkeypatch.setattr(packing, "PLAN_ROWS", 70)
+    found = packing.place(df, 100, 4)
+    assert found.schema.simpleString() == want.schema.simpleString()
+    held = collections.defaultdict(list)
+    for r in found.collect():
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in own) <= 100 for own in held.values())
+    assert multiset(found.select("doc_id", "length", "ids_crc32", "sequence_id", "offset").where("doc_id is not null").collect()) == multiset(want.select("doc_id", "length", "ids_crc32", "sequence_id", "offset").where("doc_id is not null").collect())
+    assert multiset(found.select("length", "sequence_id", "offset").collect()) == multiset(want.select("length", "sequence_id", "offset").collect())
