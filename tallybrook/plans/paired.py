@@ -177,7 +177,7 @@ def cascade_per_request(spark, sf):
 
 @query(f"WITH {_CELLS} SELECT page_idx, rep, sum(CASE width WHEN 'third_party' THEN diff_bytes WHEN 'listed' THEN -diff_bytes ELSE 0 END)::BIGINT AS unlisted, round(sum(CASE WHEN width = 'page' THEN diff_bytes END)::DOUBLE / nullif(sum(CASE WHEN width = 'listed' THEN diff_bytes END), 0), 6) AS page_to_listed FROM cells GROUP BY 1, 2")
 def width_differences(spark, sf):
-    """AGG42-43, PAIR8: the unlisted part, and ratios between widths, by pivoted sums."""
+    """AGG43, PAIR8: the unlisted part, and ratios between widths, by pivoted sums."""
     of = lambda w: F.sum(F.when(F.col("width") == w, F.col("diff_bytes")))
     g = cells(spark, sf).groupBy("page_idx", "rep").agg((of("third_party") - of("listed")).alias("unlisted"), F.try_divide(of("page").cast("double"), of("listed")).alias("page_to_listed"))
     return g.select("page_idx", "rep", "unlisted", F.round("page_to_listed", 6).alias("page_to_listed"))
@@ -217,6 +217,6 @@ def marginal_steps(spark, sf):
 
 @query(f"""WITH {S.WITH_PAIRED}, n AS (SELECT page_idx, (page_idx % 7)::BIGINT AS category, count(*) AS n_blocked FROM blocked GROUP BY 1, 2 HAVING count(*) >= 3) SELECT category, page_idx, n_blocked FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n_blocked DESC, page_idx) AS r FROM n) WHERE r <= 25""")
 def pages_to_follow(spark, sf):
-    """PAIR7, TOP6, SRT1: the most blocked pages of each category."""
+    """PAIR7, SRT1: the most blocked pages of each category."""
     n = S.blocked(spark, sf).groupBy("page_idx", (F.col("page_idx") % 7).alias("category")).agg(F.count(F.lit(1)).alias("n_blocked")).where("n_blocked >= 3")
     return n.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n_blocked"), "page_idx"))).where("r <= 25").drop("r").orderBy("category", "page_idx")

@@ -163,7 +163,7 @@ def tracker_roles(spark, sf):
 @query(f"""WITH {WITH_BEST}, t AS (SELECT r.page_domain, {LHOST.replace('url', 'r.url')} AS host, coalesce(transfer_bytes, 0) AS y, b.pattern IS NOT NULL AS tr, r.resource_type FROM requests r LEFT JOIN best b ON r.url = b.url)
  SELECT page_domain, sum(y)::BIGINT AS total, sum(CASE WHEN tr THEN y ELSE 0 END)::BIGINT AS tracker, sum(CASE WHEN NOT tr THEN y ELSE 0 END)::BIGINT AS other_third_party, count(DISTINCT CASE WHEN tr THEN host END) AS tracker_hosts FROM t GROUP BY page_domain""")
 def page_mass(spark, sf):
-    """AGG12-13, AGG23: a page's bytes by party."""
+    """AGG13, AGG23: a page's bytes by party."""
     found = C.is_tracker(S.requests(spark, sf), S.rules(spark))
     y, third = F.coalesce("transfer_bytes", F.lit(0)), U.is_third_party(U.net_host(F.col("url")), F.col("page_domain"))
     return found.groupBy("page_domain").agg(F.sum(y).alias("total"), F.sum(F.when(F.col("is_tracker"), y).otherwise(0)).alias("tracker"), F.sum(F.when(~F.col("is_tracker") & third, y).otherwise(0)).alias("other_third_party"), F.count_distinct(F.when(F.col("is_tracker"), U.net_host(F.col("url")))).alias("tracker_hosts"))

@@ -99,7 +99,7 @@ def leave_one_out_table(spark, sf):
 
 @query(f"""WITH {S.WITH_REQUESTS}, c AS (SELECT page_idx, resource_type AS t, count(*)::DOUBLE AS k FROM requests GROUP BY 1, 2) SELECT a.t AS a, b.t AS b, round(sum(a.k * b.k), 4) AS x FROM c a JOIN c b USING (page_idx) WHERE a.t <= b.t GROUP BY 1, 2""")
 def gram_matrix(spark, sf):
-    """ML14, ML16-17: sums of products of a page's counts by type."""
+    """ML16: sums of products of a page's counts by type."""
     log = S.requests(spark, sf)
     cells = log.groupBy("page_idx", F.col("resource_type").alias("t")).agg(F.count(F.lit(1)).alias("k"))
     return G.gram(cells, ["page_idx"], "t", "k", log.groupBy("page_idx").agg(F.sum("transfer_bytes").alias("y")), "y")[0]
@@ -107,7 +107,7 @@ def gram_matrix(spark, sf):
 
 @query()
 def nnls_by_type(spark, sf):
-    """ML14-17: non-negative bytes for each request by type."""
+    """ML16: non-negative bytes for each request by type."""
     log = S.requests(spark, sf)
     cells = log.groupBy("page_idx", F.col("resource_type").alias("t")).agg(F.count(F.lit(1)).alias("k"))
     return rounded(G.fit_nnls(cells, ["page_idx"], "t", "k", log.groupBy("page_idx").agg(F.coalesce(F.sum("transfer_bytes"), F.lit(0)).alias("y")), "y"), 4)
