@@ -1,11 +1,14 @@
 """Vectorised byte work for tasks: words, window fingerprints and sliding minima over UTF-8 buffers.
 
-A fingerprint of bytes b[i:j] is a polynomial hash modulo 2**64 over a fixed random byte table, taken
-from prefix sums, so that any number of ranges of one buffer cost a few vector operations.
+Words are told by chained 64-bit fingerprints, which only preselect: equal ones are compared by their bytes.  A window's
+fingerprint is a polynomial hash modulo 2**64 over a fixed random byte table, taken from prefix sums, so that any number
+of windows of one buffer cost a few vector operations.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -92,45 +95,122 @@ LOWER[0x61:0x7B] = np.arange(0x61, 0x7B)
 LOWER[0x80:] = np.arange(0x80, 0x100)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words of a batch of texts, and where each text's words begin (n + 1 places)."""
-    hashes, counts, at, n = [], np.zeros(len(offsets) - 1, np.int64), 0, len(data)
+LONG = 64  # bytes of a word beyond which it is digested by itself
+_CHAIN, _SIZE = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _eights(low: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer on, as numbers; behind its end are zeros."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    return np.ndarray(len(low), "<u8", padded, strides=(1,))
+
+
+def word_hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each word of a lower-cased buffer.
+
+    Words of up to eight bytes of the same size never share one, as the bytes are the number that is mixed.  Longer ones
+    are chained eight bytes at a time through the mixing, and very long ones digested by BLAKE2.
+    """
+    eight = _eights(low)
+    out = mix(eight[start] & _MASKS[np.minimum(size, 8)])
+    some = np.flatnonzero((size > 8) & (size <= LONG))
+    more, k = some, 8
+    while len(more):
+        out[more] = mix((out[more] + _CHAIN) ^ (eight[start[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    out[some] = mix(out[some] + size[some].astype(U64) * _SIZE)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_words(low_a: np.ndarray, start_a: np.ndarray, low_b: np.ndarray, start_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether pairs of words of the same size, in two lower-cased buffers, are equal byte by byte."""
+    out, a, b = np.ones(len(size), bool), _eights(low_a), _eights(low_b)
+    more, k = np.flatnonzero(size <= LONG), 0
+    while len(more):
+        out[more] &= (a[start_a[more] + k] ^ b[start_b[more] + k]) & _MASKS[np.minimum(size[more] - k, 8)] == 0
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(low_a[start_a[i] : start_a[i] + size[i]], low_b[start_b[i] : start_b[i] + size[i]])
+    return out
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, first bytes, sizes) of all words of a batch of texts, and where each text's words begin (n + 1 places)."""
+    found, counts, at, n = [], np.zeros(len(offsets) - 1, np.int64), 0, len(data)
     while at < n:
-        end = min(n, at + BLOCK)
+        end, step = at, BLOCK
+        while end == at:  # end behind the last separator or text end of the block; a longer word is taken whole
+            stop = min(n, at + step)
+            breaks = np.flatnonzero(LOWER[data[at:stop]] == 0)
+            edge = int(offsets[np.searchsorted(offsets, stop, "right") - 1])
+            end = stop if stop == n else max(at + int(breaks[-1]) + 1 if len(breaks) else at, edge)
+            step *= 2
         low = LOWER[data[at:end]]
-        if end < n and low[-1]:  # end behind the last separator or text end, if there is one
-            last = np.flatnonzero(low == 0)
-            cut_at = at + int(last[-1]) + 1 if len(last) else 0
-            edge = int(offsets[np.searchsorted(offsets, end, "right") - 1])
-            end2 = max(cut_at, edge if edge > at else 0)
-            if end2 > at:
-                end = end2
-            else:  # one word longer than a block: take it whole
-                end = min(n, end + BLOCK)
-                while end < n and LOWER[data[end]] and not np.any(offsets == end):
-                    end += 1
-            low = LOWER[data[at:end]]
         word = low != 0
-        first = word.copy()
+        first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
         lo, hi = np.searchsorted(offsets, [at, end])
         edges = offsets[lo:hi] - at  # text starts in this block
-        edges = edges[(edges >= 0) & (edges < end - at)]
         first[edges] = word[edges]
+        inner = edges[edges > 0] - 1
+        last[inner] = word[inner]
         start = np.flatnonzero(first)
         if len(start):
-            last = word.copy()
-            last[:-1] &= ~word[1:]
-            inner = edges[edges > 0] - 1
-            last[inner] = word[inner]
-            stop = np.flatnonzero(last) + 1
-            hashes.append(Prefix(low).ranges(start, stop))
-            owner = np.searchsorted(offsets, start + at, "right") - 1
-            counts += np.bincount(owner, minlength=len(counts))
+            size = np.flatnonzero(last) + 1 - start
+            found.append((word_hashes(low, start, size), start + at, size))
+            counts += np.bincount(np.searchsorted(offsets, start + at, "right") - 1, minlength=len(counts))
         at = end
     places = np.zeros(len(offsets), np.int64)
     np.cumsum(counts, out=places[1:])
-    return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), places
+    if not found:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), places
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), places
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words of a batch of texts, and where each text's words begin (n + 1 places)."""
+    hashes, _, _, places = word_spans(data, offsets)
+    return hashes, places
+
+
+def word_numbers(low: np.ndarray, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each word of a lower-cased buffer, equal for equal words only: words of one fingerprint are compared by their bytes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[number]
+    same = size == size[like]
+    check = np.flatnonzero(same & (size > 8) & (like != np.arange(len(like))))
+    same[check] = same_words(low, start[check], low, start[like[check]], size[check])
+    others: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():
+        number[i] = others.setdefault(low[start[i] : start[i] + size[i]].tobytes(), len(first) + len(others))
+    return number
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """A 128-bit BLAKE2 digest of each text's words in their order; None without any."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        told, some, before = hashlib.blake2b(digest_size=16), False, False  # before: the last byte is a word's
+        for at in range(a, b, BLOCK):
+            low = LOWER[data[at : min(b, at + BLOCK)]]
+            word = low != 0
+            keep = word.copy()
+            keep[1:] |= word[:-1]  # and one zero behind each word
+            keep[0] |= before
+            told.update(low[keep])
+            some, before = some or bool(word.any()), bool(word[-1])
+        if before:
+            told.update(b"\0")
+        out.append(told.digest() if some else None)
+    return out
 
 
 def sliding_min(h: np.ndarray, w: int, largest: bool = False) -> np.ndarray:

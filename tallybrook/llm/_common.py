@@ -64,10 +64,16 @@ def text_or_empty(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """df with the named columns under names that no operator uses, and the way back."""
-    back = {f"kept_{k}__": c for k, c in enumerate(names)}
-    return df.select(*(F.col(f"`{c}`").alias(k) for k, c in back.items()), *(F.col(f"`{c}`") for c in df.columns if c not in names)), back
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written as Parquet and reread."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def aside(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """The used columns under their names, and all columns under names that no operator uses, with the way back."""
+    back = {f"kept_{k}__": c for k, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(k) for k, c in back.items()), *(F.col(f"`{c}`") for c in used)), back
 
 
 def restored(df: DataFrame, back: dict[str, str]) -> DataFrame:

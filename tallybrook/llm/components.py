@@ -8,15 +8,30 @@ from pyspark.sql import functions as F
 from tallybrook.llm._common import cut
 
 
+SALTS = 32  # parts into which the rows of one key may be dealt
+
+
+def attached(rows: DataFrame, key: str, by: str, sums: dict[str, F.Column]) -> DataFrame:
+    """rows with aggregates over all rows of the same key (not null) as further columns.
+
+    The rows of a key are dealt out by a hash of the column ``by``, and the key's aggregates go to each part that has rows,
+    so that a key of a third of all rows is no task of its own.
+    """
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    salted = rows.withColumn("salt_", salt)
+    least = salted.groupBy(key).agg(*(c.alias(k) for k, c in sums.items()), F.expr("bit_or(shiftleft(1L, salt_))").alias("salts_"))
+    held = least.withColumn("salt_", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts_", i) == 1))).drop("salts_")
+    return salted.join(held, [key, "salt_"]).drop("salt_")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours (large: those above it; small: those below it) to its least neighbour."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    met = both.join(least, "u")
+    met = attached(both, "u", "v", {"m": F.least(F.min("v"), F.first("u"))})
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(met.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 

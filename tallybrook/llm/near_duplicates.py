@@ -1,11 +1,12 @@
 """N-gram Jaccard similarity join with Bayesian candidate pruning.
 
-Texts of equal words, told by a 64-bit fingerprint, are one class.  MinHash bands of a class's word n-grams link classes that may be similar; the
-candidate groups so found are dealt out in blocks.  Within a pair of blocks, MinHash values are compared a few at a time,
-and a pair is dropped as soon as the posterior probability that its similarity reaches the threshold falls below a
-tolerance (uniform prior, binomial likelihood).  What is left is verified on the n-gram sets themselves.  A block pair gives each class's
-number of links and a spanning forest of them, never its list of pairs, so large groups of near copies cost no
-quadratic output.
+Texts of equal words, told by a 128-bit digest, are one class.  MinHash bands of a class's word n-grams link classes that
+may be similar; the candidate groups so found are dealt out in blocks of signatures.  Within a pair of blocks, MinHash
+values are compared a few at a time, and a pair is dropped as soon as the posterior probability that its similarity reaches
+the threshold falls below a tolerance (uniform prior, binomial likelihood).  Only texts with a pair left are moved: they
+are dealt out in the smaller groups that are left, in blocks of bounded bytes, and verified on the n-grams themselves, told
+by the bytes of their words.  A block pair gives each class's number of links and a spanning forest of them, never its
+list of pairs, so large groups of near copies cost no quadratic output.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _bytes
-from tallybrook.llm._common import aside, cut, prepare, restored
-from tallybrook.llm.components import components
+from tallybrook.llm._common import aside, cut, delete_path, fresh_path, prepare, restored, written
+from tallybrook.llm.components import attached, components
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5  # a pair at the threshold is missed with a probability of 3e-6, at 0.85 with 1e-8
 STEP = 16  # MinHash values that are compared at a time
 TOLERANCE = 1e-9
-BLOCK = 512  # classes of a block
+BLOCK = 1024  # classes of a block
+BLOCK_BYTES = 4 << 20  # of text in a block that is verified; a longer text is a block of its own
+BROADCAST_ROWS = 200_000  # wanted texts up to which their digests are broadcast (some 30 MB)
 _SEED = np.random.default_rng(77)
 _A = _SEED.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _SEED.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -88,25 +91,33 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return tuple(out)
 
 
-def similar_pairs(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list, sets_b: list, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of two blocks with a Jaccard similarity of at least threshold; same: i < j within one block."""
-    i, j = np.triu_indices(len(sig_a), 1) if same else (x.ravel() for x in np.indices((len(sig_a), len(sig_b))))
-    size_a, size_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
-    keep = np.minimum(size_a[i], size_b[j]) >= threshold * np.maximum(size_a[i], size_b[j]) - 1e-9
-    i, j = i[keep], j[keep]
+def pruned(sig_a: np.ndarray, sig_b: np.ndarray, same: bool, threshold: float, likely: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two blocks whose similarity may reach the threshold; same: i < j within one block; likely: the pairs to look at."""
+    i, j = likely or (np.triu_indices(len(sig_a), 1) if same else (x.ravel() for x in np.indices((len(sig_a), len(sig_b)))))
     matched = np.zeros(len(i), np.int64)
     for k, least in enumerate(least_matches(threshold)):
         if not len(i):
-            return i, j
+            break
         part = slice(k * STEP, (k + 1) * STEP)
         for at in range(0, len(i), 1 << 16):
             some = slice(at, at + (1 << 16))
             matched[some] += (sig_a[i[some], part] == sig_b[j[some], part]).sum(1)
         keep = matched >= least
         i, j, matched = i[keep], j[keep], matched[keep]
-    both = intersections(sets_a, sets_b, i, j)
-    keep = both >= threshold * (size_a[i] + size_b[j] - both) - 1e-9
-    return i[keep], j[keep]
+    return i, j
+
+
+def exact_sets(low: np.ndarray, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, n: int = N) -> list[np.ndarray]:
+    """For each text the sorted numbers of its different n-grams; a number is the same for the same words only.
+
+    Texts of fewer than n words have no n-gram in common with texts of other words and are left empty.
+    """
+    number = own = _bytes.word_numbers(low, hashes, start, size)
+    for k in range(1, n):  # an n-gram's number from that of its first words and its last word
+        if len(number) < 2:
+            break
+        number = np.unique(number[:-1].astype(np.uint64) << np.uint64(32) | own[k:].astype(np.uint64), return_inverse=True)[1]
+    return [np.unique(number[a : max(a, b - n + 1)]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def intersections(sets_a: list, sets_b: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -156,102 +167,156 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def word_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each text's words in their order; 0 without any."""
-    out = np.zeros(len(first) - 1, np.uint64)
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
-        place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
-        out[some] = np.add.reduceat(_bytes.mix(hashes ^ _bytes.mix(place * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))), first[some])
-    return out
+def binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-def fingerprints(docs: DataFrame, *kept: str, bands: bool = True) -> DataFrame:
-    """The kept columns, w (the words' fingerprint; null without words) and, if wanted, the band keys."""
+def fingerprints(docs: DataFrame, *kept: str, sketch: bool = True) -> DataFrame:
+    """The kept columns, w (the words' digest; null without words) and, if wanted, the signature (binary)."""
 
-    def sketch(batches):
+    def told(batches):
         for b in _bytes.smaller(batches):
-            hashes, first = _bytes.words(*_bytes.utf8(b.column(0).cast(pa.large_string())))
-            none = np.diff(first) == 0
-            w = pa.array(word_keys(hashes, first).view(np.int64), mask=none)
+            data, off = _bytes.utf8(b.column(0).cast(pa.large_string()))
             more = []
-            if bands:
+            if sketch:
+                hashes, first = _bytes.words(data, off)
                 h, places = grams(hashes, first)
-                keys, some = np.zeros((len(b), BANDS), np.int64), np.flatnonzero(~none)
+                sig, some = np.zeros((len(b), len(_A)), "<u4"), np.flatnonzero(np.diff(first))
                 if len(some):
-                    keys[some] = band_keys(signatures(h, np.concatenate([places[some], places[-1:]])))
-                more = [pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], w, *more], [*b.schema.names[1:], "w", *["bands"] * bands])
+                    sig[some] = signatures(h, np.concatenate([places[some], places[-1:]]))
+                more = [binary(sig)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(_bytes.word_digests(data, off), pa.binary()), *more], [*b.schema.names[1:], "w", *["sig"] * sketch])
 
     some = docs.select(F.coalesce("text", F.lit("")).alias("text_"), *kept)
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[1:]), "w long", *["bands array<long>"] * bands]
-    return some.mapInArrow(sketch, ", ".join(fields))
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[1:]), "w binary", *["sig binary"] * sketch]
+    return some.mapInArrow(told, ", ".join(fields))
+
+
+def matrix_of(column) -> np.ndarray:
+    """Signatures of an Arrow column."""
+    return _bytes.utf8(column)[0].view("<u4").reshape(-1, len(_A))
 
 
 GROUP = "u long, v long, links long"
 
 
-def linked(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Links among the classes (w, copies, least, bands): rows (u, v) of a spanning forest of each block pair, and rows
-    (u, null, links) whose sum over u is the number of documents of other classes that are similar to u's."""
-    keys = classes.select("w", F.explode("bands").alias("key"))
-    least = keys.groupBy("key").agg(F.min("w").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidate = keys.join(least, "key").where("w <> v").select(F.col("w").alias("u"), "v")
-    groups = cut(components(candidate))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    bundles = max(1, groups.count() // block)
-    parts = F.ceil(F.col("size") / block).cast("int")
-    dealt = groups.join(sizes, "component").join(classes.select(F.col("w").alias("node"), "copies", "least"), "node")
-    dealt = dealt.select("node", "least", "component", "copies", parts.alias("parts"), F.when(parts > 1, F.pmod(F.xxhash64("node", F.lit(3)), parts)).otherwise(0).cast("int").alias("own"))
-    held = docs.select("doc_id", "text").where("text is not null").join(dealt, F.col("doc_id").eqNullSafe(F.col("least")))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    spread = held.select("*", other).select(
-        F.when(F.col("parts") > 1, F.col("component")).otherwise(F.pmod("component", F.lit(bundles))).alias("g"),
-        F.when(F.col("parts") > 1, F.least("own", "other")).otherwise(-1).alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "copies", "text",
-    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp, copies, own = (table.column(c).to_numpy() for c in ("node", "component", "copies", "own"))
-        hashes, first = _bytes.words(*_bytes.utf8(table.column("text").cast(pa.large_string())))
-        mine = np.flatnonzero(word_keys(hashes, first).view(np.int64) == ids)  # other texts of the same doc_id are not meant
-        mine = mine[np.unique(ids[mine], return_index=True)[1]]
+def bands_of(classes: DataFrame) -> DataFrame:
+    """node and bands, the band keys of each class."""
+
+    def keys(batches):
+        for b in batches:
+            found = band_keys(matrix_of(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["node", "bands"])
+
+    return classes.select("node", "sig").mapInArrow(keys, "node long, bands array<long>")
+
+
+def in_blocks(groups: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """node, component, own, g, x, y: the members of each component, once for each pair (x, y) of its blocks that they take part in.
+
+    A component whose sizes (node, size) need several blocks of ``most`` each is dealt out by itself, g being its name;
+    smaller ones share a bundle g of that size, with x = y = -1.
+    """
+    members = groups.join(sizes, "node")
+    bundles = max(1, (members.agg(F.sum("size")).collect()[0][0] or 0) // most)
+    alone, parts = F.col("parts") > 1, F.ceil(F.col("whole") / most).cast("int")
+    dealt = attached(members, "component", "node", {"whole": F.sum("size")}).withColumn("parts", parts)
+    dealt = dealt.withColumn("own", F.when(alone, F.pmod(F.xxhash64("node", F.lit(3)), "parts")).otherwise(0).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = lambda n: F.when(alone, n("own", "other")).otherwise(-1)
+    g = F.when(alone, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bundles)))
+    return spread.select("node", "component", "own", g.alias("g"), block(F.least).alias("x"), block(F.greatest).alias("y"))
+
+
+def sides(table: pa.Table):
+    """The row numbers of both blocks, component by component."""
+    comp, own = table.column("component").to_numpy(), table.column("own").to_numpy()
+    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    order = np.argsort(comp, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+        a, b = (part, part) if x == y else (part[own[part] == x], part[own[part] == y])
+        if len(a) and len(b):
+            yield a, b
+
+
+def ends_table(ids: np.ndarray, links: np.ndarray, edges: list) -> pa.Table:
+    some, ends = np.flatnonzero(links), np.array(edges, np.int64).reshape(-1, 2)
+    none = np.arange(len(some) + len(ends)) < len(some)
+    return pa.table({"u": pa.array(np.concatenate([ids[some], ids[ends[:, 0]]])), "v": pa.array(np.concatenate([ids[some], ids[ends[:, 1]]]), mask=none), "links": pa.array(np.concatenate([links[some], np.zeros(len(ends), np.int64)]))})
+
+
+def linked(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links among the classes (node, w, copies, least, bytes, sig): rows (u, v) of a spanning forest of each block pair, and
+    rows (u, null, links) whose sum over u is the number of documents of other classes that are similar to u's."""
+    keys = bands_of(classes).select("node", F.explode("bands").alias("key"))
+    shared = attached(keys, "key", "node", {"v": F.min("node")})
+    candidates = components(shared.where("node <> v").select(F.col("node").alias("u"), "v"))
+
+    def prune(table: pa.Table) -> pa.Table:
+        sig, edges = matrix_of(table.column("sig")), []
+        for a, b in sides(table):
+            i, j = pruned(sig[a], sig[b], a is b, threshold)
+            edges += forest(a[i], b[j])
+        return ends_table(table.column("node").to_numpy(), np.zeros(table.num_rows, np.int64), edges)
+
+    spread = in_blocks(candidates, classes.select("node", F.lit(1).alias("size")), block).join(classes.select("node", "sig"), "node")
+    groups = cut(components(spread.groupBy("g", "x", "y").applyInArrow(prune, GROUP).select("u", "v")))
+
+    wanted = groups.select("node").join(classes.select("node", "copies", "least", F.col("w").alias("wanted_w")), "node")
+    told = fingerprints(docs, "doc_id", "text", sketch=False)
+    near = F.broadcast(wanted) if groups.count() <= BROADCAST_ROWS else wanted
+    texts = told.join(near, (F.col("w") == F.col("wanted_w")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    texts = texts.groupBy("node", "copies").agg(F.min("text").alias("text"))  # repeated rows give one
+
+    def verify(table: pa.Table) -> pa.Table:
+        ids, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        data, off = _bytes.utf8(table.column("text").cast(pa.large_string()))
+        hashes, start, size, first = _bytes.word_spans(data, off)
         h, places = grams(hashes, first)
-        sets = {k: np.unique(h[places[k] : places[k + 1]]) for k in mine.tolist()}
         sig = np.zeros((len(ids), len(_A)), np.uint32)
-        if len(mine):
-            sig[list(sets)] = signatures(np.concatenate(list(sets.values())), np.concatenate([[0], np.cumsum([len(x) for x in sets.values()])]))
+        some = np.flatnonzero(np.diff(places))
+        if len(some):
+            sig[some] = signatures(h, np.concatenate([places[some], places[-1:]]))
+        sets = exact_sets(_bytes.LOWER[data], hashes, start, size, first)
+        n = np.array([len(x) for x in sets], np.int64)
         links, edges = np.zeros(len(ids), np.int64), []
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        order = mine[np.argsort(comp[mine], kind="stable")]
-        for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            a, b = (part, part) if x < 0 or x == y else (part[own[part] == x], part[own[part] == y])
-            if not len(a) or not len(b):
-                continue
-            i, j = similar_pairs(sig[a], sig[b], [sets[k] for k in a.tolist()], [sets[k] for k in b.tolist()], a is b, threshold)
-            i, j = a[i], b[j]
+        for a, b in sides(table):
+            i, j = np.triu_indices(len(a), 1) if a is b else (x.ravel() for x in np.indices((len(a), len(b))))
+            keep = np.minimum(n[a][i], n[b][j]) >= np.maximum(threshold * np.maximum(n[a][i], n[b][j]) - 1e-9, 1)
+            i, j = pruned(sig[a], sig[b], a is b, threshold, (i[keep], j[keep]))
+            both = intersections([sets[k] for k in a.tolist()], [sets[k] for k in b.tolist()], i, j)
+            keep = both >= threshold * (n[a][i] + n[b][j] - both) - 1e-9
+            i, j = a[i[keep]], b[j[keep]]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
             edges += forest(i, j)
-        some = np.flatnonzero(links)
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        none = np.arange(len(some) + len(ends)) < len(some)
-        return pa.table({"u": pa.array(np.concatenate([ids[some], ids[ends[:, 0]]])), "v": pa.array(np.concatenate([ids[some], ids[ends[:, 1]]]), mask=none), "links": pa.array(np.concatenate([links[some], np.zeros(len(ends), np.int64)]))})
+        return ends_table(ids, links, edges)
 
-    return cut(spread.groupBy("g", "x", "y").applyInArrow(compare, GROUP))
+    sizes = classes.select("node", F.greatest("bytes", F.lit(block_bytes // block)).alias("size"))
+    spread = in_blocks(groups, sizes, block_bytes).join(texts, "node")
+    return cut(spread.groupBy("g", "x", "y").applyInArrow(verify, GROUP))
 
 
 def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id and w of every document; w, class_id, n_links, chosen, least of every class of equal words)."""
-    prepare(docs.sparkSession)
-    marked = cut(fingerprints(docs, "doc_id"))
-    classes = cut(marked.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    spark = docs.sparkSession
+    prepare(spark)
+    paths = [fresh_path(spark, f"near-{x}") for x in ("rows", "signatures", "classes")]
+    sketched = written(fingerprints(docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("bytes")), "doc_id", "bytes"), paths[1])
+    classes = sketched.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), paths[2])
+    rows = written(sketched.select("doc_id", "w"), paths[0])
+    delete_path(spark, paths[1])
     found = linked(docs, classes, threshold)
     groups = components(found.where("v is not null").select("u", "v"))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
-    owned = classes.select("w", "copies", "least").join(groups, F.col("w") == F.col("node"), "left").join(links, F.col("w") == F.col("u"), "left")
-    owned = cut(owned.select("w", "least", F.coalesce("component", "w").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    named = owned.groupBy("component").agg(F.min("least").alias("class_id"), F.min_by("w", F.struct(F.col("least").isNull(), "least", "w")).alias("first_w"))
-    return marked.select("doc_id", "w"), owned.join(named, "component").select("w", "class_id", "n_links", (F.col("first_w") == F.col("w")).alias("chosen"), "least")
+    owned = classes.select("w", "node", "copies", "least").join(groups, "node", "left").join(links, F.col("node") == F.col("u"), "left")
+    owned = cut(owned.select("w", "node", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    delete_path(spark, paths[2])
+    named = attached(owned, "component", "node", {"class_id": F.min("least"), "first_node": F.min_by("node", F.struct(F.col("least").isNull(), "least", "w"))})
+    return rows, named.select("w", "class_id", "n_links", (F.col("first_node") == F.col("node")).alias("chosen"), "least")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -270,10 +335,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row of least doc_id; texts without words all stay."""
-    names = docs.columns
     _, classes = classes_of(docs, threshold)
     chosen = classes.where("chosen").select("w", "least")
-    some, back = aside(docs.withColumn("doc_id__", F.col("doc_id")).withColumn("text__", F.col("text")), names)
-    rows = fingerprints(some.withColumnsRenamed({"doc_id__": "doc_id", "text__": "text"}), "doc_id", *back, bands=False)
+    some, back = aside(docs, "doc_id", "text")
+    rows = fingerprints(some, "doc_id", *back, sketch=False)
     kept = rows.join(chosen, "w").where(F.col("doc_id").eqNullSafe(F.col("least")))
     return restored(kept.dropDuplicates(["w"]).select(*back).unionByName(rows.where("w is null").select(*back)), back)

@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.llm import decontamination, near_duplicates, packing, quality, queries, sharding, suffix_dedup, token_counts, token_store, top_k, url_filter
+from tallybrook.llm import _bytes, decontamination, near_duplicates, packing, quality, queries, sharding, suffix_dedup, token_counts, token_store, top_k, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, x int, tk long, n long, w long, z string, spans string, block int, bucket int"
 RX, LOW = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {c: c + 32 for c in range(65, 91)}
@@ -231,19 +232,71 @@ def test_near_duplicates(docs, none, rows):
     assert kept.count() == len({root[a] for a, (_, t) in enumerate(rows) if words(t)}) + sum(not words(t) for _, t in rows)
 
 
+def classes_by_hand(docs):
+    marked = near_duplicates.fingerprints(docs, "doc_id")
+    grouped = marked.groupBy("w").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    return near_duplicates.cut(grouped.withColumns({"bytes": F.lit(300).cast("long"), "node": F.monotonically_increasing_id()}))
+
+
 def test_near_duplicate_blocks(spark, rows):
     """A group that is dealt out in many blocks gives the same links."""
     base = [f"w{k}" for k in range(60)]
     many = [(k, " ".join(base[:k % 50] + [f"q{k}"] + base[k % 50 + 1 :])) for k in range(40)]
     docs = spark.createDataFrame(many, "doc_id long, text string")
-    classes = docs.join(near_duplicates.classes_of(docs)[0], "doc_id")
-    links = overlap(many)
-    marked = near_duplicates.fingerprints(docs, "doc_id")
-    grouped = marked.groupBy("w").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    found = near_duplicates.linked(docs, grouped, block=7).where("v is null").groupBy("u").agg(F.sum("links").alias("n")).join(classes.withColumnRenamed("w", "u"), "u")
+    classes, links = classes_by_hand(docs), overlap(many)
+    found = near_duplicates.linked(docs, classes, block=7, block_bytes=2100).where("v is null").groupBy("u").agg(F.sum("links").alias("n"))
+    found = found.join(classes.select(F.col("node").alias("u"), F.col("least").alias("doc_id")), "u")
     assert {r["doc_id"]: r["n"] for r in found.collect()} == {k: sum(links[k]) - 1 for k in range(40) if sum(links[k]) > 1}
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Null ids and repeated rows: one class by its words, whatever the ids; wanted texts by a shuffle give the same."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[:k % 50] + [f"q{k}"] + base[k % 50 + 1 :]) for k in range(30)]
+    docs = spark.createDataFrame([(None, t) for t in texts] * 3, "doc_id long, text string")
+    links = overlap([(None, t) for t in texts])
+    want = collections.Counter((None, None, 3 * sum(links[k]) - 1) for k in range(30) for _ in range(3))
+    assert multiset(near_duplicates.near_duplicates(docs).collect()) == want
+    assert near_duplicates.one_of_each(docs).count() == 1
+    before, near_duplicates.BROADCAST_ROWS = near_duplicates.BROADCAST_ROWS, 0
+    try:
+        assert multiset(near_duplicates.near_duplicates(docs).collect()) == want
+    finally:
+        near_duplicates.BROADCAST_ROWS = before
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_of_structure_are_told_apart(n):
+    data, offsets = _bytes.utf8(pa.array(thue_morse(n)))
+    assert len(set(_bytes.words(data, offsets)[0].tolist())) == 2 and len(set(_bytes.word_digests(data, offsets))) == 2
+
+
+def test_structured_words_in_operators(spark):
+    one, other = thue_morse(1024)
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"x {one} y"), (4, f"x {other} y z v w")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontamination.decontaminate(docs, bench).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+    assert {tuple(r) for r in near_duplicates.near_duplicates(docs).collect()} == {(k, k, 0) for k in (1, 2, 3, 4)}
+
+
+def test_equal_fingerprints_are_compared_by_bytes(monkeypatch):
+    """Words whose fingerprints collide are told apart by their bytes."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["longer-than-eight", "alsolongerthaneight", "anotherlongword", "x" * 70, "y" * 70]).replace("-", "") for _ in range(30)) for _ in range(6)]
+    data, off = _bytes.utf8(pa.array(texts))
+    _, start, size, first = _bytes.word_spans(data, off)
+    sets = near_duplicates.exact_sets(_bytes.LOWER[data], np.zeros(len(start), np.uint64), start, size, first)
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(words, texts)]
+    assert [[len(np.intersect1d(a, b)) for b in sets] for a in sets] == [[len(a & b) for b in grams] for a in grams]
+
+
 def test_decontamination(spark, docs, none, rows):
     texts = [t for _, t in rows if t and len(words(t)) > 60]
     items = [(1, " ".join(words(texts[0])[20:45])), (2, "one two"), (3, None), (4, ""), (None, "Tiny"), (5, " ".join(words(texts[1])[5:14])), (5, " ".join(words(texts[1])[5:14])), (6, "no such words here at all")]
