@@ -444,3 +444,39 @@ def test_packing_by_a_long_plan(spark, monkeypatch):
     assert all(sum(n for _, n in own) <= 100 for own in held.values())
     assert multiset(found.select("doc_id", "length", "ids_crc32", "sequence_id", "offset").where("doc_id is not null").collect()) == multiset(want.select("doc_id", "length", "ids_crc32", "sequence_id", "offset").where("doc_id is not null").collect())
     assert multiset(found.select("length", "sequence_id", "offset").collect()) == multiset(want.select("length", "sequence_id", "offset").collect())
+
+
+def clamp(x):
+    return max(-(2**63), min(2**63 - 1, x))
+
+
+@pytest.mark.parametrize("size", [2**26, 2**28, 2**31, 2**62])
+def test_top_k_of_large_components(spark, size):
+    """Scores are exact beyond the integers that doubles hold; those beyond a long count as the nearest long."""
+    rng = random.Random(size)
+    vectors = [(k, [rng.randint(-size, size) for _ in range(5)]) for k in range(80)] + [(90, [size] * 3), (91, [-size] * 7)]
+    asked = [vectors[2], vectors[7], vectors[81]]
+    want = collections.Counter()
+    for q, x in asked:
+        near = sorted((-clamp(sum(a * b for a, b in zip(x, y))), k) for k, y in vectors if k != q)[:5]  # noqa: B905
+        want.update((q, rank, k, -s) for rank, (s, k) in enumerate(near, 1))
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, x array<long>")
+    assert multiset(top_k.top_k(frame(vectors), frame(asked)).collect()) == want
+    assert multiset(top_k.top_k(frame(vectors).repartition(3), frame(asked), block_rows=30, query_bytes=60).collect()) == want
+
+
+def test_top_k_reads_lists_and_stops(spark):
+    """Where a few candidates stand out, reading stops early; where all are alike, every entry is read."""
+    rng = np.random.default_rng(4)
+    n, dims = 2000, 4
+    for steep in (True, False):
+        x = (np.exp(rng.normal(0, 2, (n, 1))) * 1000 * rng.uniform(0.9, 1, (n, dims))).astype(np.int64) if steep else rng.integers(-5, 6, (n, dims))
+        q = rng.integers(1, 9, (3, dims))
+        i, c, score, read = top_k.block_top(x, np.arange(n), q, np.array([-1, -2, -3]), 5, top_k.sorted_lists(x))
+        for j in range(3):
+            best = sorted((-int(s), k) for k, s in enumerate(x @ q[j]))[:5]
+            assert [(-int(s), int(k)) for s, k in zip(score[i == j], c[i == j], strict=True)] == best
+        assert (read < n * dims / 4).all() if steep else (read <= n * dims).all()
+    df = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "vec_id long, x array<long>")
+    found = top_k.top_k(df, df.where("vec_id in (0, 1)"), report=True).collect()
+    assert {r["query_id"] for r in found if 0 < r["entries"] <= n * dims} == {0, 1}
