@@ -1,8 +1,8 @@
 """Vectorised byte work for tasks: words, window fingerprints and sliding minima over UTF-8 buffers.
 
 Words are told by chained 64-bit fingerprints, which only preselect: equal ones are compared by their bytes.  A window's
-fingerprint is a polynomial hash modulo 2**64 over a fixed random byte table, taken from prefix sums, so that any number
-of windows of one buffer cost a few vector operations.
+fingerprint is a polynomial hash modulo 2**64 of its mixed eight-byte tuples, taken from prefix sums, so that any number of
+windows of one buffer cost a few vector operations.
 """
 
 from __future__ import annotations
@@ -31,9 +31,6 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-TABLE = np.random.default_rng(20240611).integers(0, 2**64, 256, dtype=U64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread a 64-bit hash over all its bits."""
     h = h ^ (h >> U64(32))
@@ -44,22 +41,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+LONG = 64  # bytes of a word beyond which it is digested by itself
+_CHAIN, _SIZE = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def eights(low: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer on, as numbers; behind its end are zeros."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    return np.ndarray(len(low), "<u8", padded, strides=(1,))
+
+
 class Prefix:
-    """Prefix sums of one buffer, for the fingerprints of its ranges."""
+    """Prefix sums of one buffer, for the fingerprints of its ranges of at least eight bytes.
+
+    The terms are the eight bytes from each place on, mixed, so that structure in the bytes is none in the sums.
+    """
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
+        n = max(0, len(data) - 7)
         self.up, self.down = _power(max(n + 1, BLOCK + 1))
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(TABLE[data] * self.up[:n], out=self.sums[1:])
+        np.cumsum(mix(eights(data)[:n] + _CHAIN) * self.up[:n], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(U64))
+        return mix((self.sums[stop - 7] - self.sums[start]) * self.down[start] + (stop - start).astype(U64))
 
     def windows(self, k: int) -> np.ndarray:
         """Fingerprints of all ranges of k bytes."""
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
+        n = len(self.sums) + 7 - k
+        return mix((self.sums[k - 7 :] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,24 +106,13 @@ LOWER[0x61:0x7B] = np.arange(0x61, 0x7B)
 LOWER[0x80:] = np.arange(0x80, 0x100)
 
 
-LONG = 64  # bytes of a word beyond which it is digested by itself
-_CHAIN, _SIZE = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
-
-
-def _eights(low: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place of a buffer on, as numbers; behind its end are zeros."""
-    padded = np.concatenate([low, np.zeros(8, np.uint8)])
-    return np.ndarray(len(low), "<u8", padded, strides=(1,))
-
-
 def word_hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint of each word of a lower-cased buffer.
 
     Words of up to eight bytes of the same size never share one, as the bytes are the number that is mixed.  Longer ones
     are chained eight bytes at a time through the mixing, and very long ones digested by BLAKE2.
     """
-    eight = _eights(low)
+    eight = eights(low)
     out = mix(eight[start] & _MASKS[np.minimum(size, 8)])
     some = np.flatnonzero((size > 8) & (size <= LONG))
     more, k = some, 8
@@ -128,7 +128,7 @@ def word_hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
 
 def same_words(low_a: np.ndarray, start_a: np.ndarray, low_b: np.ndarray, start_b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether pairs of words of the same size, in two lower-cased buffers, are equal byte by byte."""
-    out, a, b = np.ones(len(size), bool), _eights(low_a), _eights(low_b)
+    out, a, b = np.ones(len(size), bool), eights(low_a), eights(low_b)
     more, k = np.flatnonzero(size <= LONG), 0
     while len(more):
         out[more] &= (a[start_a[more] + k] ^ b[start_b[more] + k]) & _MASKS[np.minimum(size[more] - k, 8)] == 0

@@ -30,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a scratch folder where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a scratch folder on a local master, and an error elsewhere."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not there:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="tallybrook-")
         sc.setCheckpointDir(there)
     return there

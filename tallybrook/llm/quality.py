@@ -50,10 +50,12 @@ def text_features(column: pa.Array) -> np.ndarray:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted as quality 1."""
-    some, back = aside(docs.withColumn("doc_id__", F.col("doc_id")).withColumn("text__", F.col("text")), docs.columns)
-    scored = classify(some.withColumnsRenamed({"doc_id__": "doc_id", "text__": "text"}), labels, *back)
-    return restored(scored.where("predicted = 1"), back)
+    """The rows of docs that are predicted as quality 1, with all their columns, whatever their names.
+
+    Null texts are judged as empty ones; rows with null or repeated doc_ids are judged by their texts like any other.
+    """
+    some, back = aside(docs, "doc_id", "text")
+    return restored(scores(some, labels, *back).where("predicted = 1"), back)
 
 
 def features(docs: DataFrame, *kept: str) -> DataFrame:
@@ -186,20 +188,22 @@ def train(measured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> A
     """Fit on the labelled rows that aren't held out; of more than fit_rows, on those of least hash.
 
     measured: doc_id and x.  Labels other than 0 and 1, and rows with a null doc_id, teach nothing; a doc_id with both
-    labels counts as its mean, rounded up.
+    labels counts as its mean, rounded up; repeated rows count once.  The driver gets little more than fit_rows rows, as
+    the hash is cut off by the number of labelled rows before they are sorted.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    rows = measured.where(~held_out()).join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "x", "quality").orderBy("h", "doc_id", "x").limit(fit_rows).collect()
+    rows = measured.where(~held_out()).select("doc_id", "x").join(known, "doc_id").select(F.xxhash64("doc_id", "x").alias("h"), "doc_id", "x", "quality").distinct()
+    n = rows.count()
+    if n > fit_rows:  # the expected number below the bound is above fit_rows by ten of its deviations
+        share = (fit_rows + 10 * fit_rows**0.5) / n
+        rows = rows.where(F.col("h") <= int(2**63 * (2 * share - 1))) if share < 1 else rows
+    rows = rows.orderBy("h", "doc_id", "x").limit(fit_rows).collect()
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in rows], float))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *kept: str, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the kept columns, held_out, score and predicted of every document.
-
-    Null texts are empty; empty texts get a score like any other; without labels of both kinds every score is the prior.
-    Repeated rows stay repeated.  No other column than the text enters a score.
-    """
-    measured = cut(features(docs, "doc_id", *(c for c in kept if c != "doc_id")))
+def scores(docs: DataFrame, labels: DataFrame, *kept: str, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, the kept columns, which have names that aside() gave, held_out, score and predicted."""
+    measured = cut(features(docs, "doc_id", *kept))
     sent = docs.sparkSession.sparkContext.broadcast(train(measured, labels, fit_rows))
 
     def scored(batches):
@@ -210,4 +214,20 @@ def classify(docs: DataFrame, labels: DataFrame, *kept: str, fit_rows: int = FIT
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields[:-1])
     rows = measured.mapInArrow(scored, f"{schema}, score double")
-    return rows.select("doc_id", *(c for c in kept if c != "doc_id"), held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.select("doc_id", *kept, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *kept: str, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, the kept columns, held_out, score and predicted of every document.
+
+    Null texts are empty; empty texts get a score like any other; without labels of both kinds every score is the prior.
+    Repeated rows stay repeated.  No other column than the text enters a score.  A kept column may have any name but those
+    of the results, which is an error.
+    """
+    kept = tuple(c for c in dict.fromkeys(kept) if c != "doc_id")
+    if clash := {"held_out", "score", "predicted"} & set(kept):
+        raise ValueError(f"kept columns have names of results: {sorted(clash)}")
+    some, back = aside(docs.select("doc_id", "text", *(f"`{c}`" for c in kept if c != "text")), "doc_id", "text")
+    names = {c: k for k, c in back.items()}
+    rows = scores(some, labels, *(names[c] for c in kept), fit_rows=fit_rows, threshold=threshold)
+    return rows.select("doc_id", *(F.col(names[c]).alias(c) for c in kept), "held_out", "score", "predicted")

@@ -27,7 +27,9 @@ from tallybrook.llm import _bytes
 from tallybrook.llm._common import aside, cut, prepare, restored
 
 LENGTH, TUPLE = 200, 50
-HOT = 4096  # different runs of one tuple beyond which their windows are dealt out by fingerprint
+HOT = 256  # different runs of one tuple beyond which their windows are dealt out by fingerprint
+MERGE_BYTES = 32 << 20  # of windows that are merged at a time
+SIZE = (1 << 31) - 1  # the bits of n that are the text's size; those above are its CRC-32
 RUN = "name long, piece long, tk long, n long, doc_id long, x int, windows int, again boolean"
 _ARROW_RUN = pa.schema([("name", pa.int64()), ("piece", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("x", pa.int32()), ("windows", pa.int32()), ("again", pa.bool_())])
 SPANS = "tk long, n long, start long, stop long"
@@ -79,9 +81,13 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, block: i
 
 
 def keyed(docs: DataFrame, *kept: str) -> DataFrame:
-    """text (null: empty), its key (tk, n) and the kept columns."""
+    """text (null: empty), its key (tk, n) and the kept columns; the key is the text's size and 96 bits of hashes."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(*kept, text.alias("text_"), F.xxhash64(text).alias("tk"), F.octet_length(text).cast("long").alias("n"))
+    return docs.select(*kept, text.alias("text_"), F.xxhash64(text).alias("tk"), F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.octet_length(text).cast("long")).alias("n"))
+
+
+def long_texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.octet_length("text") >= LENGTH)
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
@@ -89,13 +95,13 @@ def all_runs(docs: DataFrame) -> DataFrame:
 
     def find(batches):
         seen: dict[tuple, int] = {}
-        for b in batches:
+        for b in _bytes.smaller(batches, 1):
             data, off = _bytes.utf8(b.column(1).cast(pa.large_string()))
             tk, n = b.column(2).to_numpy(), b.column(3).to_numpy()
             ids = b.column(0)
             use = np.zeros(len(b), bool)
             for i, key in enumerate(zip(tk.tolist(), n.tolist(), strict=True)):
-                if key[1] >= LENGTH and (times := seen.get(key, 0)) < 2:
+                if (times := seen.get(key, 0)) < 2:
                     seen[key], use[i] = times + 1, True
             for part, offsets, texts, begin in slices(data, off):
                 owner, x, windows, name, piece, again = runs_of(part, offsets)
@@ -105,7 +111,7 @@ def all_runs(docs: DataFrame) -> DataFrame:
                     at = texts[owner]
                     yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(piece), pa.array(tk[at]), pa.array(n[at]), ids.take(pa.array(at)), pa.array((x + begin[owner]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(again)], schema=_ARROW_RUN)
 
-    return keyed(docs, "doc_id").mapInArrow(find, RUN)
+    return keyed(long_texts(docs), "doc_id").mapInArrow(find, RUN)
 
 
 def packed_texts(docs: DataFrame, *kept: str) -> DataFrame:
@@ -122,7 +128,7 @@ def packed_texts(docs: DataFrame, *kept: str) -> DataFrame:
 
 
 def unpack(z: bytes, n: int) -> bytes:
-    return pa.decompress(z, n, codec="zstd", asbytes=True) if n else b""
+    return pa.decompress(z, n & SIZE, codec="zstd", asbytes=True) if n & SIZE else b""
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -136,12 +142,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kinds = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("times") == 1).alias("single"), F.max("again").alias("again")).where("single > 0 and (kinds > 1 or again)")
     needed = pieces.select("name", "one.*", (F.col("times") == 1).alias("single")).join(kinds.select("name", F.ceil(F.col("kinds") / HOT).cast("int").alias("deal")), "name")
     lists = needed.groupBy("tk", "n", "doc_id").agg(F.collect_list(F.struct("name", "x", "windows", "single", "deal")).alias("wanted"))  # runs of one text
-    texts = packed_texts(docs, "doc_id").where(F.col("n") >= LENGTH)
+    texts = packed_texts(long_texts(docs), "doc_id")
     met = texts.join(lists.withColumnRenamed("tk", "tk2").withColumnRenamed("n", "n2").withColumnRenamed("doc_id", "d2"), (F.col("tk") == F.col("tk2")) & (F.col("n") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("d2"))).select("tk", "n", "z", "wanted")
 
     def windows(batches):
         seen = set()
-        for b in batches:
+        for b in _bytes.smaller(batches, 2):
             for r in b.to_pylist():
                 if (key := (r["tk"], r["n"])) in seen:  # the same row once more
                     continue
@@ -162,30 +168,42 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rest = met.mapInArrow(windows, "name long, part int, tk long, n long, single boolean, at binary, h binary").repartition("name", "part")
 
     def merge(batches):
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        raw_h, off = _bytes.utf8(t.column("h"))
-        raw_at, _ = _bytes.utf8(t.column("at"))
-        h, at, sizes = raw_h.view(np.uint64), raw_at.view("<u4").astype(np.int64), np.diff(off) // 8
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        key = _bytes.mix(t.column("name").to_numpy().view(np.uint64)[row]) ^ h
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]  # adjacent prefixes
-        dup = np.zeros(len(key), bool)
-        dup[order[1:][same]] = dup[order[:-1][same]] = True
-        dup &= t.column("single").to_numpy()[row]
-        at, row = at[dup], row[dup]
-        if len(at):
-            new = np.ones(len(at), bool)
-            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at)) - 1
-            own = row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("tk").to_numpy()[own]), pa.array(t.column("n").to_numpy()[own]), pa.array(at[first]), pa.array(at[last] + LENGTH)], ["tk", "n", "start", "stop"])
-
-    return spans.unionAll(rest.mapInArrow(merge, SPANS))
+        held, size = None, 0
+        for b in batches:
+            held, size = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]), size + b.nbytes
+            if size > MERGE_BYTES:  # all but the last (name, part), which may go on
+                name, part = held.column("name").to_numpy(), held.column("part").to_numpy()
+                whole = int(np.flatnonzero((name != name[-1]) | (part != part[-1]))[-1:].sum()) + 1 if (name[0], part[0]) != (name[-1], part[-1]) else 0
+                if whole:
+                    yield from merged_windows(held.slice(0, whole))
+                    held = held.slice(whole)
+                size = 0
+        if held is not None:
+            yield from merged_windows(held)
+
+    return spans.unionAll(rest.sortWithinPartitions("name", "part").mapInArrow(merge, SPANS))
+
+
+def merged_windows(t: pa.Table):
+    """Spans of the single runs' windows that occur again, from whole groups of (name, part)."""
+    raw_h, off = _bytes.utf8(t.column("h"))
+    raw_at, _ = _bytes.utf8(t.column("at"))
+    h, at, sizes = raw_h.view(np.uint64), raw_at.view("<u4").astype(np.int64), np.diff(off) // 8
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    name = t.column("name").to_numpy()[row]
+    order = np.lexsort((h, name))
+    same = (h[order[1:]] == h[order[:-1]]) & (name[order[1:]] == name[order[:-1]])  # adjacent prefixes
+    dup = np.zeros(len(h), bool)
+    dup[order[1:][same]] = dup[order[:-1][same]] = True
+    dup &= t.column("single").to_numpy()[row]
+    at, row = at[dup], row[dup]
+    if len(at):
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        own = row[first]
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("tk").to_numpy()[own]), pa.array(t.column("n").to_numpy()[own]), pa.array(at[first]), pa.array(at[last] + LENGTH)], ["tk", "n", "start", "stop"])
 
 
 def short_windows(data: np.ndarray) -> np.ndarray:
@@ -196,7 +214,8 @@ def covered(docs: DataFrame, *kept: str) -> DataFrame:
     """The kept columns, z (the compressed text), n, and cuts: the merged [start, stop) byte ranges to remove."""
     prepare(docs.sparkSession)
     spans = repeated_spans(docs).groupBy("tk", "n").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))  # ranges of one text
-    return packed_texts(docs, *kept).join(spans, ["tk", "n"], "left")
+    short = packed_texts(docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) < LENGTH), *kept)  # nothing to look for
+    return packed_texts(long_texts(docs), *kept).join(spans, ["tk", "n"], "left").unionByName(short, allowMissingColumns=True)
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
@@ -225,13 +244,13 @@ def digest(docs: DataFrame) -> DataFrame:
     """
 
     def sum_up(batches):
-        for b in batches:
+        for b in _bytes.smaller(batches, 1):
             out = []
             for doc, z, n, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "z", "n", "spans")), strict=True):
                 cuts = merged(spans)
                 removed = sum(y - x for x, y in cuts)
-                kept = b"" if removed == n else kept_bytes(unpack(z, n), cuts)
-                out.append((doc, n, removed, len(cuts), hashlib.sha256(kept).hexdigest()))
+                kept = b"" if removed == n & SIZE else kept_bytes(unpack(z, n), cuts)
+                out.append((doc, n & SIZE, removed, len(cuts), hashlib.sha256(kept).hexdigest()))
             types = (pa.int64(),) * 4 + (pa.string(),)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -239,20 +258,21 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs with repeated strings removed from text; characters that a cut splits go, null texts stay null."""
-    names = docs.columns
-    marked, back = aside(docs.withColumn("text_is_null__", F.col("text").isNull()).withColumn("text__", F.col("text")), [c for c in names if c != "text"])
-    marked = marked.withColumn("text", F.col("text__"))
-    kept = list(back)
+    """The rows of docs with repeated strings removed from text; characters that a cut splits go, null texts stay null.
+
+    Rows with null or repeated doc_ids are treated by their texts; all columns are kept, whatever their names.
+    """
+    some, back = aside(docs, "doc_id", "text")
+    kept = [k for k, c in back.items() if c != "text"]
+    some = some.select("doc_id", "text", *kept, F.col("text").isNull().alias("null"))
 
     def rewrite(batches):
-        for b in batches:
+        for b in _bytes.smaller(batches, len(kept) + 1):
             texts = []
-            for z, n, spans, null in zip(*(b.column(c).to_pylist() for c in ("z", "n", "spans", "text_is_null__")), strict=True):
+            for z, n, spans, null in zip(*(b.column(c).to_pylist() for c in ("z", "n", "spans", "null")), strict=True):
                 texts.append(None if null else kept_bytes(unpack(z, n), merged(spans)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    spans_of = marked.withColumn("doc_id", F.col(next(k for k, c in back.items() if c == "doc_id")))
-    rows = covered(spans_of, *kept, "text_is_null__").select(*kept, "text_is_null__", "z", "n", "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
-    return restored(rows.mapInArrow(rewrite, f"{schema + ', ' if kept else ''}text string"), back | {"text": "text"}).select(*names)
+    rows = covered(some, *kept, "null").select(*kept, "null", "z", "n", "spans")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(kept)])
+    return restored(rows.mapInArrow(rewrite, f"{schema}text string"), {k if c != "text" else "text": c for k, c in back.items()})

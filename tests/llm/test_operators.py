@@ -278,6 +278,13 @@ def test_words_of_structure_are_told_apart(n):
     assert len(set(_bytes.words(data, offsets)[0].tolist())) == 2 and len(set(_bytes.word_digests(data, offsets))) == 2
 
 
+@pytest.mark.parametrize("n", [64, 256, 1024, 4096, 1 << 14])
+def test_ranges_of_structure_are_told_apart(n):
+    one, other = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse(n))
+    ends = np.array([0]), np.array([n])
+    assert _bytes.Prefix(one).ranges(*ends) != _bytes.Prefix(other).ranges(*ends)
+
+
 def test_structured_words_in_operators(spark):
     one, other = thue_morse(1024)
     docs = spark.createDataFrame([(1, one), (2, other), (3, f"x {one} y"), (4, f"x {other} y z v w")], "doc_id long, text string")
