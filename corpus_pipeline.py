@@ -10,34 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.llm import decontamination, near_duplicates, packing, quality, suffix_dedup
-from tallybrook.llm._common import fresh_path, prepare, table
+from tallybrook.llm._common import delete_path, fresh_path, prepare, table, written
 from tallybrook.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for quality 1 stay."""
+    """Documents that the classifier takes for quality 1 stay; null texts are judged as empty ones, an empty table stays empty."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id stays."""
+    """Of each group of near duplicates the document of least doc_id stays, null ids last; of repeated rows one stays, and all
+    texts without words, null or empty, stay."""
     prepare(spark)
     return near_duplicates.one_of_each(docs)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under strings of 200 bytes that occur again go from the texts; n_chars follows."""
+    """Bytes under strings of 200 bytes that occur again go from the texts; n_chars follows, where docs have it.
+
+    All rows stay; null texts stay null, and texts of nothing but repeats become empty.
+    """
     prepare(spark)
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = suffix_dedup.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none and stay."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, in sequences of 4096."""
+    """Token pieces of what is left, in sequences of 4096; a null or empty text is one piece of the end id alone."""
     prepare(spark)
     return packing.pack(docs, vocabulary())
 
@@ -54,9 +59,11 @@ ORACLE_SQL = None  # the classifier and the tokenizer have no SQL form; tests co
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; a stage's table is deleted once the next one is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        path = fresh_path(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, path = path, fresh_path(spark, f"stage-{k}")
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            delete_path(spark, before)
     return docs
