@@ -5,7 +5,9 @@ over the histogram of piece lengths: a segment tree over remaining capacities fi
 logarithmic time, and all equal pieces that fit there are placed in one step.  The steps, a table of ranges of
 (length, rank) to ranges of bins, give every piece its sequence through its rank among the pieces of its length, so
 the packing equals document-at-a-time best-fit decreasing over the whole corpus, while no task sees more than its own
-pieces.  The plan's size follows the number of different lengths, not the corpus.
+pieces.  The plan's size follows the number of different lengths, not the corpus: a step either ends a length, which adds
+two queue entries at most, or fills a whole entry, which lowers its room by the length; as lengths only fall, an entry of
+4096 is filled by fewer than 91 different ones.  So there are at most two rows for each of (1 + 3 x 91) x 4096 steps.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _tokens
-from tallybrook.llm._common import cut, fresh_path, prepare
+from tallybrook.llm._common import cut, prepare
 
 CAPACITY = 4096
-PLAN_ROWS = 2_000_000  # rows of the plan that may be broadcast (64 MB); a longer plan is a table, written in parts of so many rows
+RANKED = 50_000  # pieces of one length that are ranked in a task
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,7 +60,8 @@ class OpenBins:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset): ranks from there on go to sequences from there on."""
+    """Rows (length, first rank, first sequence, sequences, offset): from that rank on, pieces go round so many sequences, each
+    round behind the last one."""
     open_bins, made, steps = OpenBins(capacity), 0, array("q")
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
@@ -75,17 +78,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             full, rest = min(n, left // per), 0
             if full < n:
                 rest = left - full * per  # fewer than per
-            for i in range(per if full else 0):
-                steps.extend((length, rank + i * full, first, capacity - room + i * length))
-            for i in range(rest):
-                steps.extend((length, rank + full * per + i, first + full, capacity - room + i * length))
+            if full:
+                steps.extend((length, rank, first, full, capacity - room))
+            if rest:
+                steps.extend((length, rank + full * per, first + full, 1, capacity - room))
             used = full + bool(rest)
             for kept, at, count in ((room - per * length, first, full), (room - rest * length, first + full, bool(rest)), (room, first + used, n - used)):
                 if kept and count:
                     (open_bins.bins[kept].appendleft if kept == room else open_bins.bins[kept].append)((at, int(count)))
                     open_bins.mark(kept)
             rank, left = rank + full * per + rest, left - full * per - rest
-    return np.frombuffer(steps, np.int64).reshape(-1, 4) if steps else np.zeros((0, 4), np.int64)
+    return np.frombuffer(steps, np.int64).reshape(-1, 5) if steps else np.zeros((0, 5), np.int64)
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -108,66 +111,38 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut_up, PIECES)
 
 
-def place(rows: DataFrame, capacity: int = CAPACITY, buckets: int = 32) -> DataFrame:
+def place(rows: DataFrame, capacity: int = CAPACITY, most: int = RANKED) -> DataFrame:
     """Adds sequence_id and offset to rows with a length from 1 to capacity.
 
-    Ranks among equal lengths are counted by (length, bucket), so that a length of a third of all pieces is spread.
+    Ranks among equal lengths are counted in buckets, as many as the length's rows need, so that a length of a third of all
+    pieces is spread.
     """
     spark = rows.sparkSession
-    salted = cut(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")))
-    sizes = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity x buckets rows
-    before, histogram = {}, {}
-    for r in sorted(sizes, key=lambda r: (r["length"], r["bucket"])):
-        before[r["length"], r["bucket"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
-    steps = plan(histogram, capacity)
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")) - 1)
-    if len(steps) > PLAN_ROWS:
-        return follow(ranked, steps, before, {(r["length"], r["bucket"]): r["n"] for r in sizes}, capacity)
-    sent = spark.sparkContext.broadcast((before, steps))
+    held = cut(rows)
+    histogram = dict(held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())  # at most capacity rows
+    if not histogram:
+        return rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    parts = spark.createDataFrame([(length, -(-n // most)) for length, n in histogram.items()], "length long, parts int")
+    salted = held.join(F.broadcast(parts), "length").withColumn("bucket_", F.pmod(F.xxhash64(*rows.columns), "parts").cast("int")).drop("parts")
+    sizes = salted.groupBy("length", "bucket_").agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.withColumn("ahead_", F.sum("n").over(Window.partitionBy("length").orderBy("bucket_")) - F.col("n")).drop("n")
+    ranked = salted.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "bucket_").orderBy("doc_id", "piece", "start")) - 1)
+    ranked = ranked.join(ahead, ["length", "bucket_"]).select(*rows.columns, (F.col("rank_") + F.col("ahead_")).alias("rank_"))
+    sent = spark.sparkContext.broadcast(plan(histogram, capacity))
 
     def assign(batches):
-        shift, (ahead, table) = 1 << 44, sent.value
+        shift, table = 1 << 44, sent.value
         keys = table[:, 0] * -shift + table[:, 1] + capacity * shift  # in the plan's order
         for b in batches:
-            length = b.column("length").to_numpy()
-            ahead_of = np.fromiter(map(ahead.__getitem__, zip(length.tolist(), b.column("bucket").to_pylist(), strict=True)), np.int64, len(length))
-            rank = b.column("rank").to_numpy() + ahead_of
-            at = np.searchsorted(keys, (capacity - length) * shift + rank, "right") - 1
-            keep = [b.column(i) for i, x in enumerate(b.schema.names) if x not in ("rank", "bucket")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])], [*(x for x in b.schema.names if x not in ("rank", "bucket")), "sequence_id", "offset"])
+            length, rank = b.column("length").to_numpy(), b.column("rank_").to_numpy()
+            step = table[np.searchsorted(keys, (capacity - length) * shift + rank, "right") - 1]
+            turn, at = np.divmod(rank - step[:, 1], step[:, 3])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(step[:, 2] + at), pa.array(step[:, 4] + turn * length)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return ranked.mapInArrow(assign, f"{kept}, sequence_id long, offset long")
 
 
-def follow(ranked: DataFrame, steps: np.ndarray, before: dict, sizes: dict, capacity: int) -> DataFrame:
-    """place() by a plan that is too long to broadcast: each (length, bucket) meets its own steps, in the order of ranks.
-
-    A step that spans several buckets is repeated in each of them, from the bucket's first rank on.
-    """
-    spark, shift = ranked.sparkSession, 1 << 44
-    own = np.array([(length, bucket, ahead, sizes[length, bucket]) for (length, bucket), ahead in before.items()], np.int64)
-    keys = steps[:, 0] * -shift + steps[:, 1] + capacity * shift  # in the plan's order
-    at = (capacity - own[:, 0]) * shift + own[:, 2]
-    first, last = np.searchsorted(keys, at, "right") - 1, np.searchsorted(keys, at + own[:, 3] - 1, "right") - 1
-    ends = np.cumsum(last - first + 1)
-    path = fresh_path(spark, "packing-plan")
-    for lo in range(0, int(ends[-1]), PLAN_ROWS):
-        row = np.arange(lo, min(lo + PLAN_ROWS, int(ends[-1])))
-        k = np.searchsorted(ends, row, "right")
-        step = steps[last[k] - (ends[k] - 1 - row)]
-        begin = np.maximum(step[:, 1], own[k, 2])
-        columns = {"length": own[k, 0], "bucket": own[k, 1].astype(np.int32), "rank": begin - own[k, 2], "first": step[:, 2] + begin - step[:, 1], "offset": step[:, 3]}
-        spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(path)
-    table = spark.read.parquet(path).select("length", "bucket", "rank", F.struct("rank", "first", "offset").alias("step"))
-    kept = [c for c in ranked.columns if c not in ("bucket", "rank")]
-    met = ranked.withColumn("rank", F.col("rank").cast("long")).unionByName(table, allowMissingColumns=True)
-    window = Window.partitionBy("length", "bucket").orderBy("rank", F.col("step").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    told = met.withColumn("is_step", F.col("step").isNotNull()).withColumn("step", F.last("step", ignorenulls=True).over(window)).where(~F.col("is_step"))
-    return told.select(*kept, (F.col("step.first") + F.col("rank") - F.col("step.rank")).alias("sequence_id"), F.col("step.offset").alias("offset"))
-
-
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 

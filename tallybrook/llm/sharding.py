@@ -154,14 +154,15 @@ def level(way: list[tuple], shards: int, capacity: int, reach: Callable) -> list
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, buckets: int = 64) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 16, numbered: int = 100_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, under the law of near-equal bytes.
 
     Size: UTF-8 bytes of the text plus 1; a null text has size 1, crc32 0, and is in the group of the
     empty texts.  Rows with repeated or null doc_id are placed like any other; an empty table gives no rows.  The largest
     shard is as small as a contiguous cut of the digest order allows, and so is the largest of the shards that aren't one
     group above it.  No shard is empty if there are as many groups as shards.  A stretch of the order between two such groups
-    has whole shards, so its shards can be smaller than those of another stretch.
+    has whole shards, so its shards can be smaller than those of another stretch.  Slots are numbered in parts of some
+    ``numbered`` rows.
     """
     rows = docs.select("doc_id", "text").select(
         "doc_id",
@@ -174,8 +175,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, buckets: int = 64) -> DataFram
     shard = F.lit(0)
     for d in ends:
         shard = shard + (F.col("digest") > F.lit(d)).cast("int")
-    placed = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
-    sizes = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))  # shards x buckets rows
+    buckets = max(64, docs.count() // (shards * numbered))
+    placed = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)).cast("int").alias("bucket"))
+    sizes = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     ahead = sizes.withColumn("ahead", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
     ranked = placed.withColumn("own", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")))
-    return ranked.join(F.broadcast(ahead), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("own") - 1 + F.col("ahead")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return ranked.join(ahead, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("own") - 1 + F.col("ahead")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

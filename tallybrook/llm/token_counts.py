@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup.
 
-First tier: a compact table of the encodings of frequent pre-tokens, fitted on a bounded sample of rows and
-broadcast (at most ``table_size`` entries of at most ``table_bytes`` together, so its size does not follow the
+First tier: a compact hash table of frequent pre-tokens and their lengths in tokens, fitted on a bounded sample of rows
+and broadcast (at most ``table_size`` entries of at most ``table_bytes`` together, so its size does not follow the
 data).  Second tier: each worker encodes what the table lacks once and keeps it in a bounded cache.  The table and
 the caches only save work: every text is counted whole, whatever they hold, and no pre-token is ever shuffled
 beyond the bounded sample.
@@ -9,6 +9,8 @@ beyond the bounded sample.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +59,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, frequent: list[bytes] | None
     prepare(docs.sparkSession)
     if frequent is None:
         frequent = frequent_parts(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent, _tokens.Encoder(vocabulary, None, ids=False).encoded(frequent), strict=True)))
+    tag = uuid.uuid4().hex  # a worker's cache belongs to one table
 
     def lengths(batches):
-        key = ("frequent", vocabulary, len(sent.value))
-        if key not in _tokens._loaded:
-            base = _tokens.Encoder(vocabulary, None, ids=False)
-            _tokens._loaded[key] = dict(zip(sent.value, base.encoded(sent.value), strict=True))
-        enc = _tokens.encoder(vocabulary, _tokens._loaded[key], ids=False)
+        enc = _tokens.encoder(vocabulary, sent.value, ids=False, tag=tag)
         for b in batches:
             _, off = _bytes.utf8(b.column(1))
             n = [enc.of(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in b.column(1).cast(pa.large_binary())]

@@ -1,6 +1,7 @@
 """Token-id shards with a minimal perfect hash index.
 
-A store is a Parquet folder, so that Spark's writers commit it and any file system can hold it.  Each row is a shard:
+A store is a Parquet folder, so that Spark's writers commit it and any file system can hold it.  It is divided by ``part``,
+a range of doc_ids, so that keyed access reads no more parts than hold wanted keys.  Each row is a shard:
 
 - ``payload``: raw ids, little-endian unsigned 32-bit, of documents in ascending doc_id order;
 - ``keys``: the doc_ids (signed 64-bit) and ``nulls``: how many leading ones are null, for scans;
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _bytes, _tokens
-from tallybrook.llm._common import prepare
+from tallybrook.llm._common import cut, prepare
 
+PREFIX = 32  # characters of a text that tell the rows of one doc_id apart when parts are cut
 SHARD_BYTES = 8 << 20  # payload of a shard; a longer document has a shard of its own
 SHARD = "part int, seq int, first_doc long, last_doc long, n_docs long, n_ids long, nulls long, keys binary, ordinals binary, levels binary, bits binary, slots binary, payload binary"
 SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("length", "<u8")])
@@ -89,7 +91,10 @@ _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), *((x, pa.int64())
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encode every text, append end_id, and write the shards in ascending doc_id order (nulls first)."""
+    """Encode every text, append end_id, and write the shards in ascending order of doc_id (nulls first) and text.
+
+    The parts are ranges of doc_id and a prefix of the text, so that a repeated or null doc_id of many rows is dealt out.
+    """
     prepare(docs.sparkSession)
 
     def shards(batches):
@@ -110,7 +115,13 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, sh
             yield pa.RecordBatch.from_pylist([pack_shard(part, seq, own_docs, own_order, own_ids)], _ARROW)
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.option("compression", "zstd").parquet(path)
+    ranges = texts.repartitionByRange("doc_id", F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
+    ranges.mapInArrow(shards, SHARD).write.partitionBy("part").option("compression", "zstd").parquet(path)
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """A store's rows; an empty one has no parts."""
+    return spark.read.schema(SHARD).parquet(path)
 
 
 class Shard:
@@ -140,7 +151,7 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
     start counts the ids of all documents before it, in all shards.
     """
     prepare(spark)
-    store = spark.read.parquet(path)
+    store = opened(spark, path)
 
     def scan(batches):
         for b in batches:
@@ -155,23 +166,43 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(s.n, r["part"], np.int32)), pa.array(np.full(s.n, r["seq"], np.int32)), pa.array(s.keys, mask=null), pa.array(offset), pa.array(length), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
     rows = store.select(*(x.split()[0] for x in SHARD.split(", "))).mapInArrow(scan, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
-    sizes = store.select("part", "seq", "n_ids")  # a row for each shard
-    before = sizes.withColumn("before", F.sum("n_ids").over(Window.orderBy("part", "seq")) - F.col("n_ids")).drop("n_ids")
+    total, ahead = 0, []
+    for part, n in sorted(store.groupBy("part").agg(F.sum("n_ids")).collect()):  # a row for each of the writer's tasks
+        ahead.append((part, total))
+        total += n
+    parts = spark.createDataFrame(ahead, "part int, ahead long")
+    own = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    before = store.select("part", "seq", "n_ids").withColumn("own", own).join(parts, "part").select("part", "seq", (F.col("own") + F.col("ahead")).alias("before"))
     return rows.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(keys: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian bytes) of the wanted doc_ids that the store holds, by keyed access.
 
-    Only shards whose doc_id range holds a wanted key are read; null keys find nothing; repeated documents give a row
-    for each ordinal.
+    Keys are routed to the parts, and then the shards, whose doc_id range holds them; only those parts are read, and of
+    their payloads only the wanted documents' ids are returned.  Null keys find nothing; repeated documents give a row for
+    each of them.
     """
     spark = keys.sparkSession
     prepare(spark)
-    store = spark.read.parquet(path)
-    bounds = store.select("part", "seq", "first_doc", "last_doc")
-    wanted = keys.select("doc_id").where("doc_id is not null").distinct()
-    routed = wanted.join(bounds, (F.col("doc_id") >= F.col("first_doc")) & (F.col("doc_id") <= F.col("last_doc"))).groupBy("part", "seq").agg(F.collect_list("doc_id").alias("wanted"))
+    store = opened(spark, path)
+    bounds = store.select("part", "seq", "first_doc", "last_doc").where("first_doc is not null")
+    ranges = sorted(bounds.groupBy("part").agg(F.min("first_doc"), F.max("last_doc")).collect())  # a row for each of the writer's tasks
+    sent = spark.sparkContext.broadcast(tuple(np.array([r[i] for r in ranges], np.int64) for i in range(3)))
+
+    def route(batches):
+        part, first, last = sent.value
+        for b in batches:
+            doc = b.column(0).to_numpy()
+            lo, hi = np.searchsorted(last, doc), np.searchsorted(first, doc, "right")  # parts are in order, and meet in a repeated doc_id at most
+            n = np.maximum(hi - lo, 0)
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(np.repeat(doc, n))], ["part", "doc_id"])
+
+    wanted = cut(keys.select("doc_id").where("doc_id is not null").distinct().mapInArrow(route, "part int, doc_id long"))
+    some = [r[0] for r in wanted.select("part").distinct().collect()]
+    own = bounds.where(F.col("part").isin(some)).join(wanted, "part").where("doc_id between first_doc and last_doc")
+    routed = own.groupBy("part", "seq").agg(F.collect_list("doc_id").alias("wanted"))  # keys of one shard
 
     def fetch(batches):
         for b in batches:
@@ -187,4 +218,4 @@ def lookup(keys: DataFrame, path: str) -> DataFrame:
                     left, first, ordinal = left[found], first[found], ordinal + 1
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return store.join(routed, ["part", "seq"]).mapInArrow(fetch, "doc_id long, ids binary")
+    return store.where(F.col("part").isin(some)).join(routed, ["part", "seq"]).mapInArrow(fetch, "doc_id long, ids binary")
