@@ -43,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(cut(_star(edges, True)), False))
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -27,8 +27,8 @@ from tallybrook.llm import _bytes
 from tallybrook.llm._common import aside, cut, prepare, restored
 
 LENGTH, TUPLE = 200, 50
-HOT = 256  # different runs of one tuple beyond which their windows are dealt out by fingerprint
-MERGE_BYTES = 32 << 20  # of windows that are merged at a time
+HOT = 4096  # different runs of one tuple beyond which their windows are dealt out by fingerprint
+MERGE_BYTES = 8 << 20  # of windows that are merged at a time
 SIZE = (1 << 31) - 1  # the bits of n that are the text's size; those above are its CRC-32
 RUN = "name long, piece long, tk long, n long, doc_id long, x int, windows int, again boolean"
 _ARROW_RUN = pa.schema([("name", pa.int64()), ("piece", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("x", pa.int32()), ("windows", pa.int32()), ("again", pa.bool_())])
