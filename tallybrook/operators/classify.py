@@ -1,4 +1,8 @@
-"""URL classification against a rule list, as joins of distinct URLs' suffix chains with the rules."""
+"""URL classification against a rule list.
+
+The verdict follows from a URL's host and path.  A list of checked size is broadcast and met by each row where it is, one
+look-up for each number of labels that a rule's host has; a larger one is joined with the suffix chains of distinct URLs.
+"""
 
 from __future__ import annotations
 
@@ -59,6 +63,35 @@ def _sized(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(SMALL_RULES + 1).count() <= SMALL_RULES else rules
 
 
+MOST_LABELS = 8  # of a rule's host, for the look-ups of a broadcast list
+BEST = ("entry_id", "pattern", "category", "categories", "organization", "organization_url")
+
+
+def matched(df: DataFrame, rules: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df (with url) plus the struct of the best rule, null where none names the URL; rules: merged and filtered rules.
+
+    ``by``: a column of df with a comma-separated category filter for each row.
+    """
+    n, labels = rules.agg(F.count(F.lit(1)), F.collect_set(F.size(F.split("rule_host", r"\.")))).collect()[0]
+    if n > SMALL_RULES or max(labels, default=0) > MOST_LABELS:
+        found = match(df, rules, by).withColumnRenamed("match", name)
+        return df.join(found, ["url"] + ([by] if by else []), "left").select(*df.columns, name)
+    own = rules.groupBy("rule_host").agg(F.sort_array(F.collect_list(F.struct(F.col("rule_path").isNull().alias("last"), "entry_id", "rule_path", F.struct(*BEST).alias("best")))).alias("own"))
+    out, found = df.withColumns({"rule_of_host_": F.lower(url_host(F.col("url"))), "rule_of_path_": F.lower(rule_path(F.col("url")))}), []
+    for k in sorted(labels, reverse=True):  # the longest suffix first; a host of fewer labels stands for itself
+        held = F.broadcast(own.select(F.col("rule_host").alias(f"rule_host_{k}_"), F.col("own").alias(f"rules_{k}_")))
+        out = out.join(held, F.substring_index("rule_of_host_", ".", -k) == F.col(f"rule_host_{k}_"), "left")
+        found.append(f"rules_{k}_")
+    names = F.transform(F.split(F.col(by), ","), lambda x: F.lower(F.trim(x))) if by else None
+
+    def fits(r: Column) -> Column:
+        here = r["rule_path"].isNull() | F.startswith(F.col("rule_of_path_"), r["rule_path"])
+        return here & F.arrays_overlap(F.transform(r["best"]["categories"], F.lower), names) if by else here
+
+    best = [F.get(F.filter(F.col(c), fits), F.lit(0))["best"] for c in found]
+    return out.select(*df.columns, (F.coalesce(*best) if best else F.lit(None)).alias(name))
+
+
 def match(urls: DataFrame, rules: DataFrame, by: str | None = None) -> DataFrame:
     """url and match (a struct of the best rule) of every different non-null URL that some rule names.
 
@@ -80,8 +113,7 @@ def match(urls: DataFrame, rules: DataFrame, by: str | None = None) -> DataFrame
 def with_match(df: DataFrame, rules: DataFrame, name: str = "match", categories: list[str] | None = None, every: bool = False) -> DataFrame:
     """df (with url) plus the best rule's struct, null where no rule names the URL.  every: no category filter at all."""
     merged = merge_rules(rules)
-    found = match(df, merged if every else allowed(merged, categories)).withColumnRenamed("match", name)
-    return df.join(found, "url", "left")
+    return matched(df, merged if every else allowed(merged, categories), name)
 
 
 def is_tracker(df: DataFrame, rules: DataFrame, categories: str | None = None) -> DataFrame:
@@ -93,9 +125,8 @@ def is_tracker(df: DataFrame, rules: DataFrame, categories: str | None = None) -
 
 def is_tracker_by_row(df: DataFrame, rules: DataFrame, filter_column: str) -> DataFrame:
     """The same with a category filter in each row; null where URL or filter is null."""
-    found = match(df, merge_rules(rules), filter_column)
-    flag = F.when(F.col("url").isNotNull() & F.col(filter_column).isNotNull(), F.col("match").isNotNull())
-    return df.join(found, ["url", filter_column], "left").withColumn("is_tracker", flag).drop("match")
+    flag = F.when(F.col("url").isNotNull() & F.col(filter_column).isNotNull(), F.col("match_").isNotNull())
+    return matched(df, merge_rules(rules), "match_", filter_column).withColumn("is_tracker", flag).drop("match_")
 
 
 def describe(df: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,10 +137,9 @@ def describe(df: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def keep_matched(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows whose host, taken as a bare URL, is a tracker; hosts are classified once each."""
-    hosts = df.select(url_host(F.col("url")).alias("host_")).distinct()
-    listed = match(hosts.select(F.col("host_").alias("url")), allowed(merge_rules(rules), None)).select(F.col("url").alias("host_"))
-    return df.withColumn("host_", url_host(F.col("url"))).join(listed, "host_", "left_semi").drop("host_")
+    """Rows whose host, taken as a bare URL, is a tracker."""
+    bare = df.select(F.struct("*").alias("row_"), url_host(F.col("url")).alias("url"))
+    return matched(bare, allowed(merge_rules(rules), None), "match_").where("match_ is not null").select("row_.*")
 
 
 def list_info(rules: DataFrame, source: str) -> DataFrame:

@@ -11,24 +11,34 @@ from tallybrook.operators.classify import _sized
 BASE_CATEGORIES = ("Advertising", "Analytics", "Social")  # what the browser blocks by default; strict mode adds Content
 
 
+RELEASE = 1000  # stage of a version without a letter: behind all letters
+
+
 def version_key(v: Column) -> Column:
-    """Sortable key of a browser version; a pre-release sorts below its release."""
-    part = lambda i: F.regexp_extract(F.trim(v), r"^(\d+)(?:\.(\d+))?(?:([ab])(\d+))?", i)
-    number = lambda i: F.coalesce(F.expr("try_cast(null as int)"), F.nullif(part(i), F.lit("")).try_cast("int"), F.lit(0))
-    return F.struct(number(1).alias("major"), number(2).alias("minor"), F.when(part(3) == "", 1).otherwise(0).alias("final"), F.when(part(3) == "a", 0).when(part(3) == "b", 1).otherwise(2).alias("stage"), number(4).alias("n"))
+    """Sortable key of a browser version: major, minor, stage and the stage's number; 142.0a1 < 142.0b3 < 142.0."""
+    words = F.split(F.trim(v), r"\.")
+    minor = F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    leading = lambda c: F.coalesce(F.regexp_extract(c, r"^\d+", 0).try_cast("int"), F.lit(0))
+    tail = F.regexp_replace(minor, r"^\d+", "")
+    stage = F.when(tail == "", RELEASE).otherwise(F.ascii(tail))
+    return F.array(leading(F.get(words, F.lit(0))), leading(minor), stage, leading(F.substring(tail, 2, 9)))
 
 
 def applies(expression: Column, version: str) -> Column:
-    """All versionCompare clauses of a filter expression hold; other clauses are ignored; null or empty applies."""
-    clause = r'env\.version\s*\|\s*versionCompare\(\s*"[^"]+"\s*\)\s*(?:<=|>=|<|>|==|!=)\s*0'
+    """All version comparisons that a filter expression joins by && hold; other clauses are ignored; null or empty applies.
+
+    A comparison reads ``env.version|versionCompare("140.0") >= 0``: the sign of the order of both versions against 0.
+    """
     ours = version_key(F.lit(version))
 
-    def holds(c: Column) -> Column:
-        theirs = version_key(F.regexp_extract(c, r'"([^"]+)"', 1))
-        op = F.regexp_extract(c, r"\)\s*(<=|>=|<|>|==|!=)", 1)
-        return F.when(op == "<", ours < theirs).when(op == "<=", ours <= theirs).when(op == ">", ours > theirs).when(op == ">=", ours >= theirs).when(op == "==", ours == theirs).otherwise(ours != theirs)
+    def holds(clause: Column) -> Column:
+        theirs = version_key(F.get(F.split(clause, '"'), F.lit(1)))
+        sign = F.when(ours < theirs, -1).when(ours > theirs, 1).otherwise(0)
+        operator = F.regexp_replace(F.element_at(F.split(clause, r"\)"), -1), r"[\s0]", "")
+        told = F.when(operator == "<", sign < 0).when(operator == "<=", sign <= 0).when(operator == ">", sign > 0).when(operator == ">=", sign >= 0).when(operator == "==", sign == 0).when(operator == "!=", sign != 0)
+        return F.when(F.contains(clause, F.lit("versionCompare(")), F.coalesce(told, F.lit(True))).otherwise(True)
 
-    return F.coalesce(F.forall(F.regexp_extract_all(expression, F.lit(f"({clause})"), F.lit(1)), holds), F.lit(True))
+    return F.coalesce(F.forall(F.split(expression, "&&"), holds), F.lit(True))
 
 
 def glob_regex(pattern: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallybrook.functions.requests import protection_of
 from tallybrook.functions.urls import is_third_party, net_host, strip_query
 from tallybrook.operators.classify import is_tracker
+from tallybrook.sources.storage import cut
 
 PAGE = ["rep", "page_idx"]
 
@@ -23,17 +24,21 @@ def bag_match(blocked: DataFrame, control: DataFrame) -> DataFrame:
     The k-th blocked row of a URL claims the k-th observation of that URL.  A row that is left may claim an observation by
     its URL without query, if the control page saw exactly one such request and nobody has claimed it.
     """
-    control = control.withColumn("size_", F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0)))
-    seen = nth(control, [*PAGE, "url"]).select(*PAGE, "url", "k", "size_", F.col("pos").alias("cpos_"))
-    exact = nth(blocked, [*PAGE, "url"]).join(seen, [*PAGE, "url", "k"], "left").withColumn("path_", strip_query(F.col("url")))
-    claimed = exact.where("cpos_ is not null").select(*PAGE, "cpos_")
-    alone = control.withColumn("path_", strip_query(F.col("url"))).groupBy(*PAGE, "path_").agg(F.count(F.lit(1)).alias("n_"), F.min("pos").alias("cpos_"), F.min("size_").alias("loose_")).where("n_ = 1")
-    free = alone.join(claimed, [*PAGE, "cpos_"], "left_anti").select(*PAGE, "path_", "loose_")
-    left = exact.where("cpos_ is null").groupBy(*PAGE, "path_").agg(F.min("pos").alias("pos"))
-    loose = left.join(free, [*PAGE, "path_"]).select(*PAGE, "pos", "loose_")
-    out = exact.join(loose, [*PAGE, "pos"], "left")
-    kind = F.when(F.col("cpos_").isNotNull(), "exact").when(F.col("loose_").isNotNull(), "path").otherwise("unmatched")
-    return out.select(*blocked.columns, F.coalesce("size_", "loose_").alias("observed_bytes"), kind.alias("match_kind"))
+    more = [c for c in blocked.columns if c not in (*PAGE, "pos", "url")]
+    asked = blocked.select(*PAGE, "pos", "url", *more, F.lit(True).alias("asked_"), F.lit(None).cast("long").alias("size_"))
+    size = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0)).cast("long")
+    seen = control.select(*PAGE, "pos", "url", *(F.lit(None).cast(blocked.schema[c].dataType).alias(c) for c in more), F.lit(False).alias("asked_"), size.alias("size_"))
+    both = asked.unionByName(seen).repartition(*PAGE).withColumn("path_", strip_query(F.col("url")))  # the only shuffle: a page load is in one place
+    same, alike = Window.partitionBy(*PAGE, "url", "k"), Window.partitionBy(*PAGE, "path_")
+    both = nth(both, [*PAGE, "url", "asked_"]).withColumns({"both_": (F.count(F.lit(1)).over(same) == 2) & F.col("url").isNotNull(), "exact_": F.max("size_").over(same)})
+    left = F.col("asked_") & ~F.col("both_")
+    both = both.withColumns({
+        "seen_": F.count_if(~F.col("asked_")).over(alike), "taken_": F.count_if(~F.col("asked_") & F.col("both_")).over(alike),
+        "alone_": F.max("size_").over(alike), "first_": F.min(F.when(left, F.col("pos"))).over(alike),
+    })
+    loose = F.when(left & F.col("path_").isNotNull() & (F.col("seen_") == 1) & (F.col("taken_") == 0) & (F.col("pos") == F.col("first_")), F.col("alone_"))
+    kind = F.when(F.col("both_"), "exact").when(loose.isNotNull(), "path").otherwise("unmatched")
+    return both.where("asked_").select(*blocked.columns, F.when(F.col("both_"), F.col("exact_")).otherwise(loose).alias("observed_bytes"), kind.alias("match_kind"))
 
 
 def bag_difference(control: DataFrame, other: DataFrame) -> DataFrame:
@@ -68,11 +73,16 @@ def paired_pages(control: DataFrame, private: DataFrame, blocked: DataFrame, pag
 
 def redirects(entries: DataFrame, pages: DataFrame, hops: int = 10) -> DataFrame:
     """pages (page_idx, url) plus final_url: redirects followed within the page, hops at most; the first redirect of a URL counts."""
-    step = entries.where("redirect_url is not null and redirect_url <> ''").groupBy("page_idx", F.col("url").alias("final_url")).agg(F.min_by("redirect_url", "pos").alias("next_"))
-    out = pages.withColumn("final_url", F.col("url"))
-    for _ in range(hops):
-        out = out.join(step, ["page_idx", "final_url"], "left").withColumn("final_url", F.coalesce("next_", "final_url")).drop("next_")
-    return out.select(*pages.columns, "final_url")
+    step = cut(entries.where("redirect_url is not null and redirect_url <> ''").groupBy("page_idx", F.col("url").alias("final_url")).agg(F.min_by("redirect_url", "pos").alias("next_")))
+    done, open_ = None, pages.withColumn("final_url", F.col("url"))
+    for hop in range(hops):
+        met = open_.join(step, ["page_idx", "final_url"], "left")
+        ended = met.where("next_ is null").select(*pages.columns, "final_url")
+        open_ = cut(met.where("next_ is not null").select(*pages.columns, F.col("next_").alias("final_url")))
+        done = ended if done is None else done.unionByName(ended)
+        if open_.isEmpty():  # no page has gone on
+            return done
+    return done.unionByName(open_) if done is not None else open_
 
 
 def graded(asked: DataFrame, blocked_keys: DataFrame, seen_keys: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,18 @@ from tallybrook.operators.lookup import one_row
 from tallybrook.sources.fixtures import hash_number
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "i", buckets: int = 64) -> DataFrame:
-    """df plus gapless numbers from 0, ranked within hash buckets of the order columns so that no task sorts all rows."""
-    own = df.withColumn("b_", F.pmod(hash_number(*order), F.lit(buckets)))
-    sizes = own.groupBy("b_").agg(F.count(F.lit(1)).alias("n_"))  # a row for each bucket
+def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
+    """df plus gapless numbers from 0 by the hash of the order columns, then by these.
+
+    Ranges of the hash are ranked apart, 64 or as many as the cluster shuffles into, so that no task sorts all rows; the
+    numbers don't depend on how many there are.
+    """
+    parts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = df.withColumn("h_", hash_number(*order)).withColumn("b_", F.shiftright("h_", 60 - (parts - 1).bit_length()))
+    sizes = own.groupBy("b_").agg(F.count(F.lit(1)).alias("n_"))  # a row for each range
     ahead = sizes.withColumn("a_", F.sum("n_").over(Window.orderBy("b_")) - F.col("n_")).drop("n_")
-    ranked = own.withColumn("r_", F.row_number().over(Window.partitionBy("b_").orderBy(*order)) - 1)
-    return ranked.join(F.broadcast(ahead), "b_").withColumn(name, (F.col("r_") + F.col("a_")).cast("long")).drop("b_", "r_", "a_")
+    ranked = own.withColumn("r_", F.row_number().over(Window.partitionBy("b_").orderBy("h_", *order)) - 1)
+    return ranked.join(F.broadcast(ahead), "b_").withColumn(name, (F.col("r_") + F.col("a_")).cast("long")).drop("b_", "r_", "a_", "h_")
 
 
 def slots(spark: SparkSession, trials: int, draws: int) -> DataFrame:
@@ -96,12 +103,15 @@ def bootstrap_ratio(pages: DataFrame, order: list[str], num: str, den: str, tria
 
 
 def poisson(h: Column) -> Column:
-    """A Poisson(1) weight, up to 6, from a 60-bit hash: the number of cumulative probabilities that it exceeds."""
-    u = F.pmod(h, F.lit(1_000_000)) / 1_000_000.0
-    total, term, out = 0.0, 2.718281828459045**-1, F.lit(0)
-    for k in range(1, 7):
+    """A Poisson(1) weight from a 60-bit hash: how many cumulative probabilities its upper 52 bits exceed.
+
+    Beyond 17 no probability is left that these bits could tell.
+    """
+    u = F.shiftright(h, 8) / F.lit(float(1 << 52))
+    total, term, out = 0.0, math.exp(-1), F.lit(0)
+    for k in range(1, 18):
         total += term
-        out = out + (u >= round(total, 9)).cast("int")
+        out = out + (u >= total).cast("int")
         term /= k
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallybrook.functions import requests as R
 from tallybrook.functions import urls as U
 from tallybrook.operators import lookup as L
+from tallybrook.operators.classify import _sized as sized
 from tallybrook.plans.registry import query
 from tallybrook.sources import fixtures as S
 
@@ -131,7 +132,7 @@ def extract_semi_join(spark, sf):
     """SRC1, SRC3, FLT1, JN1: requests of listed hosts, by a left-semi join behind a date predicate."""
     domains = S.rules(spark).where(F.col("category").isin("Advertising", "Analytics", "Social")).select(F.substring_index("pattern", "/", 1).alias("host")).distinct()
     log = S.requests(spark, sf).where("date >= date'1995-01-01'").withColumn("host", U.net_host(F.col("url")))
-    return log.join(F.broadcast(domains), "host", "left_semi").select("page_idx", "pos", "host", "transfer_bytes", "date")
+    return log.join(sized(domains), "host", "left_semi").select("page_idx", "pos", "host", "transfer_bytes", "date")
 
 
 @query(f"""WITH {S.WITH_REQUESTS}, s AS (SELECT {LHOST} AS host, count(*) AS n, count(DISTINCT page_domain) AS pages, quantile_cont(transfer_bytes, 0.5) AS p50, quantile_cont(transfer_bytes, 0.9) AS p90 FROM requests GROUP BY 1 HAVING count(*) >= 10)

@@ -56,7 +56,13 @@ def temporal_holdout(spark, sf):
     return L.one_row(e, base).select("period", F.round("mae", 4).alias("mae"), F.round((F.col("mae") / F.col("base") - 1) * 100, 6).alias("degradation_pct"))
 
 
-@query()
+def _journeys(column: str, seed: int) -> str:
+    return f"""SELECT '{column}' AS estimator, {seed} AS seed, round(median(abs(p - a) / a * 100), 6) AS median_pct FROM (SELECT t.range AS trial, sum({column})::DOUBLE AS p, sum(a)::DOUBLE AS a
+  FROM range(50) t, range(20) s JOIN nb ON CAST(('0x' || substr(md5('s{seed}|' || t.range::VARCHAR || '|' || s.range::VARCHAR), 1, 15)) AS BIGINT) % (SELECT count(*) FROM nb) = nb.i GROUP BY 1) WHERE a <> 0"""
+
+
+@query(f"""WITH {TT._chain('mean')}, pg AS (SELECT page_domain, sum(pred) AS pred, sum(30000.0::DOUBLE) AS flat, sum(transfer_bytes)::DOUBLE AS a FROM pred GROUP BY 1), nb AS (SELECT *, row_number() OVER (ORDER BY {S.HASH.format('page_domain')}, page_domain) - 1 AS i FROM pg),
+ e AS ({' UNION ALL '.join(_journeys(c, k) for c in ('pred', 'flat') for k in (1, 2))}) SELECT estimator, max(median_pct) AS worst_pct, arg_max(seed, (median_pct, seed)) AS worst_seed FROM e GROUP BY estimator""")
 def estimator_comparison(spark, sf):
     """SIM15: two estimators over seeds; the worst seed of each is reported."""
     g = TT.predicted(spark, sf, "mean").withColumn("flat", F.lit(30000.0))
@@ -64,7 +70,12 @@ def estimator_comparison(spark, sf):
     return S.union_all(*rows).groupBy("estimator").agg(F.max("median_pct").alias("worst_pct"), F.max_by("seed", F.struct("median_pct", "seed")).alias("worst_seed"))
 
 
-@query()
+_BLOCK_KEY = "rep::VARCHAR || '|' || page_idx::VARCHAR || '|' || pos::VARCHAR"
+
+
+@query(f"""WITH {S.WITH_PAIRED}, k AS (SELECT rep, page_idx, pos, {LHOST} AS host, {_BLOCK_KEY} AS key FROM blocked), b AS (SELECT *, row_number() OVER (ORDER BY {S.HASH.format('key')}, rep, page_idx, pos) - 1 AS i FROM k),
+ d AS (SELECT x.rep, x.page_idx, y.host FROM (SELECT rep, page_idx, {S.HASH.format("'perm|' || key")} % (SELECT count(*) FROM b) AS i FROM b) x JOIN b y USING (i))
+ SELECT (SELECT round(avg(h), 6) FROM (SELECT count(DISTINCT host) AS h FROM b GROUP BY rep, page_idx)) AS hosts, (SELECT round(avg(h), 6) FROM (SELECT count(DISTINCT host) AS h FROM d GROUP BY rep, page_idx)) AS hosts_permuted""")
 def permuted_hosts(spark, sf):
     """SIM4: distinct hosts of a page when each block draws its host from the pool of all blocks."""
     b = M.numbered(S.blocked(spark, sf).select("rep", "page_idx", "pos", U.net_host(F.col("url")).alias("host")), ["rep", "page_idx", "pos"])

@@ -25,7 +25,7 @@ from tallybrook.sources import fixtures as S
 from tallybrook.streaming import totals as ST
 
 _PAGES = f"{TT._chain('mean')}, pg AS (SELECT page_domain, sum(pred) AS p, sum(transfer_bytes)::DOUBLE AS a FROM pred GROUP BY 1)"
-_NUMBERED = f"{_PAGES}, nb AS (SELECT *, row_number() OVER (ORDER BY {S.HASH.format('page_domain')} % 64, page_domain) - 1 AS i FROM pg)"
+_NUMBERED = f"{_PAGES}, nb AS (SELECT *, row_number() OVER (ORDER BY {S.HASH.format('page_domain')}, page_domain) - 1 AS i FROM pg)"
 _DRAW = "{} AS (SELECT t.range AS trial, s.range AS slot, CAST(('0x' || substr(md5('{}|' || t.range::VARCHAR || '|' || s.range::VARCHAR), 1, 15)) AS BIGINT) AS h FROM range({}) t, range({}) s)"
 
 
@@ -40,7 +40,7 @@ def journey_errors(spark, sf):
     return rounded(M.error_stats(M.journeys(graded(spark, sf), "page_domain", "pred", "transfer_bytes", 20, 200, "j"), inclusive=True))
 
 
-@query(f"""WITH {TT._chain('mean')}, k AS (SELECT pred AS p, transfer_bytes AS a, CAST(page_idx AS VARCHAR) || '|' || CAST(pos AS VARCHAR) AS key, page_idx, pos FROM pred), nb AS (SELECT p, a, row_number() OVER (ORDER BY {S.HASH.format('key')} % 64, page_idx, pos) - 1 AS i FROM k), {_DRAW.format('dr', 'u', 100, 50)},
+@query(f"""WITH {TT._chain('mean')}, k AS (SELECT pred AS p, transfer_bytes AS a, CAST(page_idx AS VARCHAR) || '|' || CAST(pos AS VARCHAR) AS key, page_idx, pos FROM pred), nb AS (SELECT p, a, row_number() OVER (ORDER BY {S.HASH.format('key')}, page_idx, pos) - 1 AS i FROM k), {_DRAW.format('dr', 'u', 100, 50)},
  tt AS (SELECT trial, sum(p) AS p, sum(a) AS a FROM dr JOIN nb ON dr.h % (SELECT count(*) FROM nb) = nb.i GROUP BY 1) SELECT count(*) AS n, round(median(abs(p - a) / a * 100), 6) AS median_pct, round(avg(CASE WHEN abs(p - a) / a * 100 < 10 THEN 1.0 ELSE 0 END), 6) AS within_10pct FROM tt WHERE a <> 0""")
 def uniform_totals(spark, sf):
     """SIM5, SIM16: errors of totals of uniform draws."""
@@ -48,13 +48,20 @@ def uniform_totals(spark, sf):
     return rounded(M.error_stats(t).select("n", "median_pct", "within_10pct"))
 
 
-@query()
+_ERRORS = """SELECT count(*) AS n, round(median(err), 6) AS median_pct, round(quantile_cont(err, 0.25), 6) AS p25_pct, round(quantile_cont(err, 0.75), 6) AS p75_pct, round(quantile_cont(err, 0.9), 6) AS p90_pct, round(avg(CASE WHEN err < 5 THEN 1.0 ELSE 0 END), 6) AS within_5pct, round(avg(CASE WHEN err < 10 THEN 1.0 ELSE 0 END), 6) AS within_10pct, round(avg(CASE WHEN err < 25 THEN 1.0 ELSE 0 END), 6) AS within_25pct, round(median(sg), 6) AS signed_median_pct
+ FROM (SELECT abs(p - a) / a * 100 AS err, (p - a) / a * 100 AS sg FROM tt WHERE a <> 0)"""
+
+
+@query(f"""WITH {_NUMBERED}, w AS (SELECT p, a, i, 1.0::DOUBLE / (i + 1) AS w FROM nb), c AS (SELECT p, a, sum(w) OVER (ORDER BY i) AS upto, w, sum(w) OVER () AS whole FROM w), {_DRAW.format('dr', 'z', 100, 20)},
+ x AS (SELECT trial, (h >> 8) / 4503599627370496.0::DOUBLE * (SELECT max(whole) FROM c) AS x FROM dr), tt AS (SELECT trial, sum(p) AS p, sum(a) AS a FROM x JOIN c ON x >= upto - w AND x < upto GROUP BY 1) {_ERRORS}""")
 def zipf_journey_errors(spark, sf):
     """SIM8: journeys by Zipf weights."""
     return rounded(M.error_stats(M.zipf_journeys(graded(spark, sf), "page_domain", "pred", "transfer_bytes", 20, 100, "z")))
 
 
-@query()
+@query(f"""WITH {TT._chain('mean')}, it AS (SELECT page_domain, row_number() OVER (ORDER BY {S.HASH.format('page_domain')}, page_domain) - 1 AS i FROM (SELECT DISTINCT page_domain FROM pred)), {_DRAW.format('dr', 'c', 20, 5)},
+ met AS (SELECT trial, slot, page_idx, pos, pred AS p, transfer_bytes AS a, CAST(('0x' || substr(md5('c|' || trial::VARCHAR || '|' || slot::VARCHAR || '|' || page_idx::VARCHAR || '|' || pos::VARCHAR), 1, 15)) AS BIGINT) AS hr FROM dr JOIN it ON dr.h % (SELECT count(*) FROM it) = it.i JOIN pred USING (page_domain)),
+ near AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY hr, slot, page_idx, pos) AS r FROM met), tt AS (SELECT trial, sum(p) AS p, sum(a)::DOUBLE AS a FROM near WHERE r <= 50 GROUP BY 1) {_ERRORS}""")
 def clustered_totals(spark, sf):
     """SIM6-7: domain-correlated draws."""
     log = graded(spark, sf).withColumn("host", U.net_host(F.col("url")))
@@ -79,7 +86,7 @@ def page_halves(spark, sf):
 
 
 @query(f"""WITH {TT._chain('mean')}, pg AS (SELECT page_domain, sum(pred) AS p, count(*)::DOUBLE AS c, sum(transfer_bytes)::DOUBLE AS a FROM pred GROUP BY 1), lv AS (SELECT page_domain, abs(p * (SELECT sum(a) / sum(p) FROM pg) - a) AS ea, abs(c * (SELECT sum(a) / sum(c) FROM pg) - a) AS eb FROM pg),
- nb AS (SELECT *, row_number() OVER (ORDER BY {S.HASH.format('page_domain')} % 64, page_domain) - 1 AS i FROM lv), {_DRAW.format('dr', 'w', 100, 40)}, tt AS (SELECT trial, sum(ea) AS a, sum(eb) AS b FROM dr JOIN nb ON dr.h % (SELECT count(*) FROM nb) = nb.i GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN a < b THEN 1.0 ELSE 0 END), 6) AS win_rate FROM tt""")
+ nb AS (SELECT *, row_number() OVER (ORDER BY {S.HASH.format('page_domain')}, page_domain) - 1 AS i FROM lv), {_DRAW.format('dr', 'w', 100, 40)}, tt AS (SELECT trial, sum(ea) AS a, sum(eb) AS b FROM dr JOIN nb ON dr.h % (SELECT count(*) FROM nb) = nb.i GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN a < b THEN 1.0 ELSE 0 END), 6) AS win_rate FROM tt""")
 def model_win_rate(spark, sf):
     """SIM3: how often a table beats a count at equal totals."""
     pages = graded(spark, sf).groupBy("page_domain").agg(F.sum("pred").alias("p"), F.count(F.lit(1)).alias("c"), F.sum("transfer_bytes").alias("a"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybrook.sources.storage import exists, scratch
+
 REQUESTS = """
 SELECT
   'https://' || CASE l_partkey % 10 WHEN 0 THEN 'tag.adnet.example' WHEN 1 THEN 'a1b2c3d4e5f6.tag.adnet.example'
@@ -87,9 +89,22 @@ def _derive(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(words, **tables)
 
 
+_written: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written to the shared folder when a session first asks for it and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written or not exists(spark, _written[key]):
+        path = scratch(spark, name)
+        build().write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived request log; position keys follow the page's order."""
-    return _derive(spark, REQUESTS, lineitem=read(spark, sf_dir, "lineitem"), orders=read(spark, sf_dir, "orders"))
+    return _once(spark, sf_dir, "requests", lambda: _derive(spark, REQUESTS, lineitem=read(spark, sf_dir, "lineitem"), orders=read(spark, sf_dir, "orders")))
 
 
 def control(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +116,7 @@ def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, PRIVATE, control_obs=control(spark, sf_dir), blocked=blocked(spark, sf_dir))
+    return _once(spark, sf_dir, "private", lambda: _derive(spark, PRIVATE, control_obs=control(spark, sf_dir), blocked=blocked(spark, sf_dir)))
 
 
 def rules(spark: SparkSession) -> DataFrame:

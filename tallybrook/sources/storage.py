@@ -9,11 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a scratch folder on a local master and an error elsewhere."""
+    sc = spark.sparkContext
+    there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not there:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="tallybrook-")
+        sc.setCheckpointDir(there)
+    return there
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; where it is unset (tests), a scratch folder."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallybrook-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -32,8 +42,4 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared storage."""
-    sc = spark.sparkContext
-    there = sc.getConf().get("spark.checkpoint.dir")
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="tallybrook-")
-    return f"{there}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
