@@ -21,7 +21,7 @@ def attached(rows: DataFrame, key: str, by: str, sums: dict[str, F.Column]) -> D
     salted = rows.withColumn("salt_", salt)
     least = salted.groupBy(key).agg(*(c.alias(k) for k, c in sums.items()), F.expr("bit_or(shiftleft(1L, salt_))").alias("salts_"))
     held = least.withColumn("salt_", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts_", i) == 1))).drop("salts_")
-    return salted.join(held, [key, "salt_"]).drop("salt_")
+    return salted.join(held.hint("merge"), [key, "salt_"]).drop("salt_")  # many small broadcasts would fill the driver
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
