@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm._common import cut
+from tallybrook.llm._common import delete_path, fresh_path, written
 
 
 SALTS = 32  # parts into which the rows of one key may be dealt
@@ -36,13 +36,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its least node) of every node of an edge table (u, v: longs); loops and repeats don't matter."""
-    edges, before = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    """node and component (its least node) of every node of an edge table (u, v: longs); loops and repeats don't matter.
+
+    Each star is written as a table, of which nothing but its files is known to the next plan, and its predecessor deleted.
+    """
+    spark, made, before = edges.sparkSession, [], None
+
+    def step(df: DataFrame) -> DataFrame:
+        made.append(fresh_path(spark, "edges"))
+        out = written(df, made[-1])
+        for old in made[:-1]:
+            delete_path(spark, old)
+        del made[:-1]
+        return out
+
+    edges = step(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if state == before or not state[0]:
             break
         before = state
-        edges = cut(_star(cut(_star(edges, True)), False))
+        edges = step(_star(step(_star(edges, True)), False))
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return step(roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

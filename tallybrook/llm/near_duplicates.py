@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm import _bytes
-from tallybrook.llm._common import aside, cut, delete_path, fresh_path, prepare, restored, written
+from tallybrook.llm._common import aside, delete_path, fresh_path, prepare, restored, written
 from tallybrook.llm.components import attached, components
 
 N, THRESHOLD = 5, 0.8
@@ -262,7 +262,7 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, bl
         return ends_table(table.column("node").to_numpy(), np.zeros(table.num_rows, np.int64), edges)
 
     spread = in_blocks(candidates, classes.select("node", F.lit(1).alias("size")), block).join(classes.select("node", "sig"), "node")
-    groups = cut(components(spread.groupBy("g", "x", "y").applyInArrow(prune, GROUP).select("u", "v")))
+    groups = components(spread.groupBy("g", "x", "y").applyInArrow(prune, GROUP).select("u", "v"))
 
     wanted = groups.select("node").join(classes.select("node", "copies", "least", F.col("w").alias("wanted_w")), "node")
     told = fingerprints(docs, "doc_id", "text", sketch=False)
@@ -296,7 +296,7 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, bl
 
     sizes = classes.select("node", F.greatest("bytes", F.lit(block_bytes // block)).alias("size"))
     spread = in_blocks(groups, sizes, block_bytes).join(texts, "node")
-    return cut(spread.groupBy("g", "x", "y").applyInArrow(verify, GROUP))
+    return written(spread.groupBy("g", "x", "y").applyInArrow(verify, GROUP), fresh_path(docs.sparkSession, "near-links"))
 
 
 def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +313,7 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     groups = components(found.where("v is not null").select("u", "v"))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     owned = classes.select("w", "node", "copies", "least").join(groups, "node", "left").join(links, F.col("node") == F.col("u"), "left")
-    owned = cut(owned.select("w", "node", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    owned = written(owned.select("w", "node", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), fresh_path(spark, "near-owned"))
     delete_path(spark, paths[2])
     named = attached(owned, "component", "node", {"class_id": F.min("least"), "first_node": F.min_by("node", F.struct(F.col("least").isNull(), "least", "w"))})
     return rows, named.select("w", "class_id", "n_links", (F.col("first_node") == F.col("node")).alias("chosen"), "least")

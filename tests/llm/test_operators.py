@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallybrook.llm._common import cut
 from tallybrook.llm import _bytes, decontamination, near_duplicates, packing, quality, queries, sharding, suffix_dedup, token_counts, token_store, top_k, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, x int, tk long, n long, w long, z string, spans string, block int, bucket int"
@@ -236,7 +237,7 @@ def test_near_duplicates(docs, none, rows):
 def classes_by_hand(docs):
     marked = near_duplicates.fingerprints(docs, "doc_id")
     grouped = marked.groupBy("w").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-    return near_duplicates.cut(grouped.withColumns({"bytes": F.lit(300).cast("long"), "node": F.monotonically_increasing_id()}))
+    return cut(grouped.withColumns({"bytes": F.lit(300).cast("long"), "node": F.monotonically_increasing_id()}))
 
 
 def test_near_duplicate_blocks(spark, rows):
