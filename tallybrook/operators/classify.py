@@ -168,6 +168,6 @@ def same_owner(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return owned.join(hit, ["tracker_owner", "page_url"], "left").select(*pairs.columns, F.coalesce("hit_", F.lit(False)).alias("same_owner"))
 
 
-def entries_by_pattern(rules: DataFrame) -> DataFrame:
-    """The list's entries without repeats, in order."""
-    return rules.dropDuplicates(["pattern", "category", "organization"]).withColumn("position", F.row_number().over(Window.orderBy("pattern", "category", "organization")))
+def entries_by_pattern(rules: DataFrame, order: list[str]) -> DataFrame:
+    """The list's entries without repeats, with their position in an order; a list has some thousand entries."""
+    return rules.dropDuplicates(["pattern", "category", "organization"]).withColumn("position", F.row_number().over(Window.orderBy(*order)))

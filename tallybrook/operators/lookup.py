@@ -52,3 +52,12 @@ def coverage(test: DataFrame, train: DataFrame, keys: list[str], name: str = "hi
 
 def hybrid(hit: Column, looked_up: Column, other: Column) -> Column:
     return F.when(hit, looked_up).otherwise(other)
+
+
+def with_dimension(rows: DataFrame, dimension: DataFrame, key: str, domain: str, value: str, default: str) -> DataFrame:
+    """rows plus a dimension's value of the key, or of it without a leading 'www.', or the default."""
+    dim = dimension.groupBy(F.lower(domain).alias("dim_")).agg(F.min(value).alias("value_"))
+    bare = dim.withColumnsRenamed({"dim_": "bare_", "value_": "value_bare_"})
+    whole = F.lower(F.col(key))
+    out = rows.join(dim, whole == F.col("dim_"), "left").join(bare, F.regexp_replace(whole, r"^www\.", "") == F.col("bare_"), "left")
+    return out.select(*rows.columns, F.coalesce("value_", "value_bare_", F.lit(default)).alias(value))

@@ -36,28 +36,54 @@ def _from_path(pattern: str, group: int = 1):
     return F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, group), F.lit(""))
 
 
-def har(spark: SparkSession, path: str, page_pattern: str = r"har_(\d+)_") -> DataFrame:
-    """page_idx, pos, url, method, transfer_size, redirect_url of every HAR entry; page_idx from the file name."""
-    raw = spark.read.schema(HAR).option("multiLine", True).json(path).select(_from_path(page_pattern).cast("bigint").alias("page_idx"), F.posexplode("log.entries").alias("pos", "e"))
+def har(spark: SparkSession, path: str, page_pattern: str = r"har_(\d+)_", bundled: bool = False) -> DataFrame:
+    """page_idx, pos, url, method, transfer_size, redirect_url of every HAR entry.
+
+    page_idx comes from the file name; in bundles, which hold one HAR a line, from each line.
+    """
+    raw = _documents(spark, path, HAR, page_pattern, bundled).select("page_idx", F.posexplode("log.entries").alias("pos", "e"))
     return raw.select("page_idx", "pos", F.col("e.request.url").alias("url"), F.col("e.request.method").alias("method"), F.col("e.response._transferSize").alias("transfer_size"), F.col("e.response.redirectURL").alias("redirect_url"))
 
 
-def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """Per-page sidecars; corrupt files and those without idx are skipped."""
-    return spark.read.schema(PAGE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("idx is not null")
+def _documents(spark: SparkSession, path: str, schema: str, page_pattern: str, bundled: bool) -> DataFrame:
+    """JSON documents with their page_idx; in bundles, lines that are no JSON are skipped."""
+    if bundled:
+        return spark.read.schema(f"page_idx bigint, {schema}").json(path).where("page_idx is not null")
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("page_idx", _from_path(page_pattern).cast("bigint"))
+
+
+def page_records(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Per-page sidecars, a file or (bundled) a line each; corrupt ones and those without idx are skipped."""
+    return spark.read.schema(PAGE).option("multiLine", not bundled).option("mode", "PERMISSIVE").json(path).where("idx is not null")
 
 
-def blocked_log(spark: SparkSession, path: str, page_pattern: str = r"blocked_(\d+)_") -> DataFrame:
-    raw = spark.read.schema(BLOCKED).option("multiLine", True).json(path)
-    return raw.select(_from_path(page_pattern).cast("bigint").alias("page_idx"), F.posexplode("blocked").alias("pos", "b")).select("page_idx", "pos", "b.*")
+def blocked_log(spark: SparkSession, path: str, page_pattern: str = r"blocked_(\d+)_", bundled: bool = False) -> DataFrame:
+    """page_idx, pos, url, resource_type, failure of every blocked request of a page."""
+    return _documents(spark, path, BLOCKED, page_pattern, bundled).select("page_idx", F.posexplode("blocked").alias("pos", "b")).select("page_idx", "pos", "b.*")
 
 
-def type_log(spark: SparkSession, path: str, page_pattern: str = r"types_(\d+)_") -> DataFrame:
+def type_log(spark: SparkSession, path: str, page_pattern: str = r"types_(\d+)_", bundled: bool = False) -> DataFrame:
     """page_idx, url, resource_type: a URL's first type on its page."""
-    raw = spark.read.option("wholetext", True).text(path).select(_from_path(page_pattern).cast("bigint").alias("page_idx"), F.posexplode(F.from_json("value", f"array<struct<{TYPES.replace(' string', ': string')}>>")).alias("pos", "t"))
+    kind = f"array<struct<{TYPES.replace(' string', ': string')}>>"
+    if bundled:
+        raw = _documents(spark, path, f"types {kind}", page_pattern, True).select("page_idx", F.posexplode("types").alias("pos", "t"))
+    else:
+        raw = spark.read.option("wholetext", True).text(path).select(_from_path(page_pattern).cast("bigint").alias("page_idx"), F.posexplode(F.from_json("value", kind)).alias("pos", "t"))
     return raw.groupBy("page_idx", "t.url").agg(F.min_by("t.resource_type", "pos").alias("resource_type"))
 
 
+def ablation_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page_idx, rep, host, width, control_bytes, ablated_bytes of every cell of a folder of ablation pages, one a line."""
+    cells = "page_idx bigint, rep int, cells array<struct<host: string, width: string, control_bytes: bigint, ablated_bytes: bigint>>"
+    return spark.read.schema(cells).json(path).where("page_idx is not null").select("page_idx", "rep", F.explode("cells").alias("c")).select("page_idx", "rep", "c.*")
+
+
+def sweep_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page_idx, rep, k, n_blocked, bytes of every step of a folder of sweep pages, one a line."""
+    steps = "page_idx bigint, rep int, steps array<struct<k: int, n_blocked: bigint, bytes: bigint>>"
+    return spark.read.schema(steps).json(path).where("page_idx is not null").select("page_idx", "rep", F.explode("steps").alias("s")).select("page_idx", "rep", "s.*")
+
+
 def services_list(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a blocklist: entry_id, pattern, category, organization, organization_url.
 
@@ -69,8 +95,8 @@ def services_list(spark: SparkSession, path: str) -> DataFrame:
     flat = flat.where(F.col("own").startswith("[")).select("c", "o", "u", "category", "organization", "organization_url", F.posexplode(F.from_json("own", "array<string>")).alias("p", "pattern"))
     order = F.struct("c", "o", "u", "p")
     one = flat.groupBy("pattern", "category", "organization", "organization_url").agg(F.min(order).alias("order"))
-    rank = one.agg(F.array_sort(F.collect_list("order")).alias("all"))  # a list has some thousand entries
-    return one.crossJoin(F.broadcast(rank)).select(F.array_position("all", F.col("order")).cast("int").alias("entry_id"), "pattern", "category", "organization", "organization_url")
+    every = one.groupBy().agg(F.array_sort(F.collect_list(F.struct("order", "pattern", "category", "organization", "organization_url"))).alias("all"))  # a list has some thousand entries
+    return every.select(F.posexplode("all").alias("at", "e")).select((F.col("at") + 1).alias("entry_id"), "e.pattern", "e.category", "e.organization", "e.organization_url")
 
 
 def entity_list(spark: SparkSession, path: str) -> DataFrame:
