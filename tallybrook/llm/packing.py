@@ -25,7 +25,7 @@ from tallybrook.llm import _tokens
 from tallybrook.llm._common import cut, prepare
 
 CAPACITY = 4096
-RANKED = 50_000  # pieces of one length that are ranked in a task
+RANKED = 1_000  # pieces of one length that are ranked in a task
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
