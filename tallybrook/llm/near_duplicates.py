@@ -173,12 +173,14 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-def fingerprints(docs: DataFrame, *kept: str, sketch: bool = True) -> DataFrame:
-    """The kept columns, w (the words' digest; null without words) and, if wanted, the signature (binary)."""
+def fingerprints(docs: DataFrame, *kept: str, text: str = "text", sketch: bool = True) -> DataFrame:
+    """The kept columns, w (the digest of the words of the column ``text``; null without words) and, if wanted, the signature (binary)."""
+    columns = [*kept, *[text] * (text not in kept)]  # the text goes to the workers once
+    at = columns.index(text)
 
     def told(batches):
-        for b in _bytes.smaller(batches):
-            data, off = _bytes.utf8(b.column(0).cast(pa.large_string()))
+        for b in _bytes.smaller(batches, at):
+            data, off = _bytes.utf8(b.column(at).cast(pa.large_string()))
             more = []
             if sketch:
                 hashes, first = _bytes.words(data, off)
@@ -187,10 +189,10 @@ def fingerprints(docs: DataFrame, *kept: str, sketch: bool = True) -> DataFrame:
                 if len(some):
                     sig[some] = signatures(h, np.concatenate([places[some], places[-1:]]))
                 more = [binary(sig)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(_bytes.word_digests(data, off), pa.binary()), *more], [*b.schema.names[1:], "w", *["sig"] * sketch])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(_bytes.word_digests(data, off), pa.binary()), *more], [*kept, "w", *["sig"] * sketch])
 
-    some = docs.select(F.coalesce("text", F.lit("")).alias("text_"), *kept)
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[1:]), "w binary", *["sig binary"] * sketch]
+    some = docs.select(*columns)
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[: len(kept)]), "w binary", *["sig binary"] * sketch]
     return some.mapInArrow(told, ", ".join(fields))
 
 
@@ -337,7 +339,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row of least doc_id; texts without words all stay."""
     _, classes = classes_of(docs, threshold)
     chosen = classes.where("chosen").select("w", "least")
-    some, back = aside(docs, "doc_id", "text")
-    rows = fingerprints(some, "doc_id", *back, sketch=False)
+    some, back = aside(docs, "doc_id")
+    rows = fingerprints(some, "doc_id", *back, text=next(k for k, c in back.items() if c == "text"), sketch=False)
     kept = rows.join(chosen, "w").where(F.col("doc_id").eqNullSafe(F.col("least")))
     return restored(kept.dropDuplicates(["w"]).select(*back).unionByName(rows.where("w is null").select(*back)), back)

@@ -54,22 +54,24 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts are judged as empty ones; rows with null or repeated doc_ids are judged by their texts like any other.
     """
-    some, back = aside(docs, "doc_id", "text")
-    return restored(scores(some, labels, *back).where("predicted = 1"), back)
+    some, back = aside(docs, "doc_id")
+    return restored(scores(some, labels, *back, text=next(k for k, c in back.items() if c == "text")).where("predicted = 1"), back)
 
 
-def features(docs: DataFrame, *kept: str) -> DataFrame:
+def features(docs: DataFrame, *kept: str, text: str = "text") -> DataFrame:
     """The kept columns and x, the features of every text (null: empty)."""
     prepare(docs.sparkSession)
+    columns = [*kept, *[text] * (text not in kept)]  # the text goes to the workers once
+    at = columns.index(text)
 
     def measure(batches):
-        for b in _bytes.smaller(batches):
-            x = text_features(b.column(0).cast(pa.large_string()))
+        for b in _bytes.smaller(batches, at):
+            x = text_features(b.column(at).cast(pa.large_string()))
             rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], rows], [*b.schema.names[1:], "x"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], rows], [*kept, "x"])
 
-    some = docs.select(F.coalesce("text", F.lit("")).alias("text_"), *kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[1:])
+    some = docs.select(*columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[: len(kept)])
     return some.mapInArrow(measure, f"{schema}, x array<double>")
 
 
@@ -201,9 +203,9 @@ def train(measured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> A
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in rows], float))
 
 
-def scores(docs: DataFrame, labels: DataFrame, *kept: str, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, *kept: str, text: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the kept columns, which have names that aside() gave, held_out, score and predicted."""
-    measured = cut(features(docs, "doc_id", *kept))
+    measured = cut(features(docs, "doc_id", *kept, text=text))
     sent = docs.sparkSession.sparkContext.broadcast(train(measured, labels, fit_rows))
 
     def scored(batches):
