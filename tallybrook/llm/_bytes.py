@@ -7,11 +7,15 @@ windows of one buffer cost a few vector operations.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 
+from tallybrook.llm import _tokens
+
 U64 = np.uint64
 BLOCK = 1 << 20  # bytes that are hashed at a time
 _BASE = 0x9E3779B97F4A7C15
@@ -98,8 +102,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such function in this C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def smaller(batches, column: int = 0, most: int = 4 << 20):
-    """Batches cut so that one text column has at most so many bytes each, or a single text: what tasks hold at a time."""
+    """Batches cut so that one text column has at most so many bytes each, or a single text: what tasks hold at a time.
+
+    Tasks that use it encode no tokens, so the worker's token caches go first; at the end its free memory is given back.
+    """
+    _tokens.forget()
     for b in batches:
         _, off = utf8(b.column(column))
         at = 0
@@ -107,6 +122,7 @@ def smaller(batches, column: int = 0, most: int = 4 << 20):
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield b.slice(at, end - at)
             at = end
+    give_back()
 
 
 #: Word bytes after lower-casing A-Z: 0-9, a-z and all bytes of non-ASCII characters; 0 elsewhere.

@@ -100,6 +100,12 @@ class Encoder:
 _encoders: dict = {}
 
 
+def forget() -> None:
+    """Drop this worker's encoder and tokenizer."""
+    _encoders.clear()
+    _loaded.clear()
+
+
 def encoder(path: str, frequent: dict[bytes, object] | None, ids: bool, tag: str = "") -> Encoder:
     """This worker's encoder; the cache outlives the task."""
     key = (path, ids, tag)
