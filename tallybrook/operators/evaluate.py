@@ -108,3 +108,11 @@ def key_drift(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     kb = b.groupBy(*key).agg(F.count(F.lit(1)).alias("nb"))
     m = ka.join(kb, key, "full")
     return m.agg(F.count_if(F.col("na").isNotNull() & F.col("nb").isNotNull()).alias("shared"), F.count_if(F.col("nb").isNull()).alias("gone"), F.count_if(F.col("na").isNull()).alias("new"), (F.sum(F.when(F.col("na").isNotNull(), F.col("nb")).otherwise(0)) / F.sum("nb")).alias("row_coverage"))
+
+
+def gradeable(df: DataFrame, by: list[str], pred: str, actual: str, least_share: float = 0.02, least_rows: int = 200, most_se_pct: float = 15.0) -> DataFrame:
+    """Groups with enough of the actual total, enough rows and a small enough standard error of their total to be graded."""
+    gap = (F.col(pred) - F.col(actual)).cast("double")
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(pred).cast("double").alias("p"), F.sum(actual).cast("double").alias("a"), F.stddev_samp(gap).alias("sd"))
+    out = one_row(g, g.agg(F.sum("a").alias("ta"))).select(*by, "n", F.try_divide("a", "ta").alias("share"), (F.try_divide(F.col("p") - F.col("a"), "a") * 100).alias("bias_pct"), (F.try_divide(F.col("sd") * F.sqrt("n"), "a") * 100).alias("se_pct"))
+    return out.where((F.col("share") >= least_share) & (F.col("n") >= least_rows) & (F.col("se_pct") <= most_se_pct))

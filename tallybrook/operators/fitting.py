@@ -120,3 +120,39 @@ def saturation(panel: DataFrame, count: str, value: str) -> DataFrame:
     c = F.col(count)
     bucket = F.when(c == 1, "1").when(c <= 3, "2-3").when(c <= 7, "4-7").when(c <= 15, "8-15").otherwise("16+")
     return panel.where(c >= 1).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum(count).alias("n_requests"), (F.sum(value).cast("double") / F.sum(count)).alias("per_request"))
+
+
+def two_terms(rows: DataFrame, x1: str, x2: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """n, b1 and b2 by group: the non-negative fit of y on two columns, in closed form from one aggregate of products.
+
+    If a free coefficient is negative or the columns are dependent, the better of the two one-column fits is the solution.
+    """
+    c = {n: F.col(n).cast("double") for n in (x1, x2, y)}
+    pairs = {"s11": (x1, x1), "s22": (x2, x2), "s12": (x1, x2), "t1": (x1, y), "t2": (x2, y)}
+    sums = rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c[a] * c[b]).alias(k) for k, (a, b) in pairs.items()))
+    s11, s22, s12, t1, t2 = (F.col(k) for k in pairs)
+    det = s11 * s22 - s12 * s12
+    free1, free2 = F.try_divide(s22 * t1 - s12 * t2, det), F.try_divide(s11 * t2 - s12 * t1, det)
+    one1, one2 = (F.coalesce(F.greatest(F.try_divide(t, s), F.lit(0.0)), F.lit(0.0)) for t, s in ((t1, s11), (t2, s22)))
+    inside, first = (det > 1e-9 * s11 * s22) & (free1 >= 0) & (free2 >= 0), one1 * t1 >= one2 * t2
+    return sums.select(*(by or []), "n", F.when(inside, free1).when(first, one1).otherwise(0.0).alias("b1"), F.when(inside, free2).when(first, 0.0).otherwise(one2).alias("b2"))
+
+
+def presence(page_hosts: DataFrame, page: str, host: str, value: str, min_pages: int) -> DataFrame:
+    """page, column and value of a sparse design: 1 for each host of at least min_pages pages, and the other hosts' summed
+    value in the column '(other)'."""
+    pages = page_hosts.groupBy(host).agg(F.count(F.lit(1)).alias("pages_")).where(F.col("pages_") >= min_pages).select(host, F.lit(True).alias("common_"))
+    common = F.coalesce("common_", F.lit(False))
+    cells = page_hosts.join(pages, host, "left").select(page, F.when(common, F.col(host)).otherwise("(other)").alias("column"), F.when(common, 1.0).otherwise(F.col(value).cast("double")).alias("value"))
+    return cells.groupBy(page, "column").agg(F.sum("value").alias("value"))
+
+
+def implied_factors(panel: DataFrame, saving: dict[str, str], saved: DataFrame) -> DataFrame:
+    """form, saved, factor and per_request: what is saved beyond the direct bytes, for each cascading byte and request.
+
+    panel: touched pages with direct, casc_n and casc_bytes; saved: one row with the columns that saving names by form.
+    """
+    t = one_row(panel.agg(*(F.sum(c).cast("double").alias(c) for c in ("direct", "casc_n", "casc_bytes"))), saved)
+    forms = t.selectExpr("direct", "casc_n", "casc_bytes", f"stack({len(saving)}, " + ", ".join(f"'{k}', {c}" for k, c in saving.items()) + ") as (form, saved)")
+    beyond = F.col("saved") - F.col("direct")
+    return forms.select("form", "saved", F.try_divide(beyond, "casc_bytes").alias("factor"), F.try_divide(beyond, "casc_n").alias("per_request"))

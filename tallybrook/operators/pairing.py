@@ -101,3 +101,21 @@ def by_width(obs: DataFrame, listed: Column, page_url: Column, size: Column) ->
     """Bytes by page of all, third-party and listed requests."""
     third = is_third_party(net_host(F.col("url")), net_host(page_url))
     return obs.groupBy(*PAGE).agg(F.sum(size).alias("page"), F.sum(F.when(third, size).otherwise(0)).alias("third_party"), F.sum(F.when(listed, size).otherwise(0)).alias("listed"))
+
+
+def candidate_hosts(asked: DataFrame, ever_blocked: DataFrame, page: list[str], size: Column, most: int) -> DataFrame:
+    """page, host, bytes and rank: hosts worth a page's follow-up loads, by their bytes on it.
+
+    asked: requests with host and qualifies (listed, third-party and of a cascading type); ever_blocked: host.
+    """
+    hosts = asked.groupBy(*page, "host").agg(F.sum(size).alias("bytes"), F.max("qualifies").alias("qualifies")).where("qualifies")
+    known = hosts.join(ever_blocked.select("host").distinct(), "host", "left_semi")
+    best = Window.partitionBy(*page).orderBy(F.desc("bytes"), "host")
+    return known.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(*page, "host", "bytes", "rank")
+
+
+def joint_ratio(cells: DataFrame, by: list[str], kind: str, value: str) -> DataFrame:
+    """By page: the number of single cells, and the joint cells' value over the sum of the singles'; pages of two singles or more."""
+    of = lambda k: F.sum(F.when(F.col(kind) == k, F.col(value)))
+    g = cells.groupBy(*by).agg(F.count_if(F.col(kind) == "single").alias("n_singles"), of("joint").cast("double").alias("joint"), of("single").alias("singles"))
+    return g.where("n_singles >= 2 and joint is not null").select(*by, "n_singles", F.try_divide("joint", "singles").alias("ratio"))

@@ -129,6 +129,18 @@ def win_rate(pages: DataFrame, order: list[str], a: str, b: str, truth: str, dra
     return per.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("a") < F.col("b"), 1.0).otherwise(0.0)).alias("win_rate"))
 
 
+def category_win_rate(cells: DataFrame, page: list[str], category: str, a: str, b: str, truth: str, draws: int, trials: int, seed: str) -> DataFrame:
+    """One row: how often model a, both levelled to the true total, has the smaller summed error of category totals.
+
+    cells: one row for each page and category.
+    """
+    t = cells.agg(*(F.sum(c).cast("double").alias(f"t_{k}") for k, c in (("a", a), ("b", b), ("y", truth))))
+    level = one_row(cells, t).select(*page, category, *((F.col(c) * F.try_divide("t_y", f"t_{k}") - F.col(truth)).alias(f"e_{k}") for k, c in (("a", a), ("b", b))))
+    met = drawn(slots(cells.sparkSession, trials, draws), numbered(cells.select(*page).distinct(), page), seed).join(level, page)
+    per = met.groupBy("trial", category).agg(F.abs(F.sum("e_a")).alias("a"), F.abs(F.sum("e_b")).alias("b")).groupBy("trial").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("a") < F.col("b"), 1.0).otherwise(0.0)).alias("win_rate"))
+
+
 def subsets(pages: DataFrame, page: str, parts: int, n: int, num: str, den: str, seed: str) -> DataFrame:
     """subset, n_pages, ratio of n random halves (parts=2), quarters (4), ... of the pages, by hash."""
     asked = pages.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("subset"))

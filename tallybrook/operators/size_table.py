@@ -16,7 +16,7 @@ from tallybrook.sources.storage import cut
 
 LEVELS = ("path", "template", "prefix", "host", "host_template", "ext_query", "ext", "context")
 #: Main-thread cost by context (ms per KiB), and follow-up transfer by level and context.
-CPU_MS_PER_KIB = {"script": 2.0, "image": 0.10, "video": 0.02, "other": 0.10, "audio": 0.02, "css": 0.30, "font": 0.05, "html": 0.30, "text": 0.20, "wasm": 2.00, "xml": 0.20}
+CPU_MS_PER_KIB = {"script": 2.0, "image": 0.10, "video": 0.02, "other": 0.10, "audio": 0.02, "css": 0.30, "font": 0.05, "html": 0.30, "text": 0.20, "wasm": 2.00, "xml": 0.20, "json": 0.10}
 CPU_MS_FIXED = 0.15
 FOLLOWUP_PER_REQUEST, FOLLOWUP_PER_HOST, FOLLOWUP_CPU_MS_PER_KIB = 47_000, 59_900, 0.9
 LEVEL_SCALE = {"path": 1.07, "template": 0.95, "prefix": 1.05, "host": 1.07, "host_template": 0.94, "ext_query": 1.09, "ext": 1.07, "context": 1.07, "bodyless": 1.00}
@@ -114,6 +114,11 @@ def score(requests: DataFrame, chosen: DataFrame, fallback: DataFrame, bodyless:
     return out.withColumn("cpu_ms", cpu_ms(F.col("est_bytes"), F.col("context"))).select(*requests.columns, "context", "host", "match_level", "est_bytes", "cpu_ms")
 
 
+def exp_link(score: Column) -> Column:
+    """Whole bytes of a score on the scale of log(1 + bytes), never below 0; the small term keeps halves off the edge."""
+    return F.greatest(F.round(F.exp(score) - 1 + 1e-6), F.lit(0.0)).cast("long")
+
+
 def cpu_ms(size: Column, context: Column) -> Column:
     return CPU_MS_FIXED + F.greatest(size, F.lit(0)) / 1024.0 * R.mapped(context, CPU_MS_PER_KIB, 0.10)
 

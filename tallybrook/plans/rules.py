@@ -10,6 +10,7 @@ from tallybrook.operators import classify as C
 from tallybrook.operators import decide as D
 from tallybrook.operators import evaluate as V
 from tallybrook.operators import pairing as P
+from tallybrook.operators.lookup import one_row
 from tallybrook.plans.features import LHOST, PATH, rounded
 from tallybrook.plans.registry import query
 from tallybrook.sources import fixtures as S
@@ -69,16 +70,18 @@ def tracker_descriptions(spark, sf):
     return found.withColumn("tracker_categories", F.array_join(F.array_sort("tracker_categories"), "+"))
 
 
-@query(f"WITH {S.WITH_RULES} SELECT DISTINCT category FROM rules")
+@query(f"WITH {WITH_ALL} SELECT c.category, count(b.url) AS n FROM (SELECT DISTINCT category FROM rules) c LEFT JOIN (SELECT r.url, b.category FROM requests r JOIN best b ON r.url = b.url) b ON b.category = c.category GROUP BY 1")
 def list_categories(spark, sf):
-    """CLS11: the categories of the list; the list is a parameter, so nothing is loaded or reset."""
-    return S.rules(spark).select("category").distinct()
+    """CLS11: the categories of the list, each with the requests that it describes; the list is a parameter."""
+    own = C.with_match(S.requests(spark, sf), S.rules(spark), every=True).where("match is not null").groupBy(F.col("match.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return S.rules(spark).select("category").distinct().join(own, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {S.WITH_RULES} SELECT 'invented' AS source, count(DISTINCT CASE WHEN NOT contains(pattern, '/') THEN pattern END) AS hosts, count(DISTINCT CASE WHEN contains(pattern, '/') THEN pattern END) AS rules, count(DISTINCT category) AS categories, count(DISTINCT organization) AS organizations FROM rules")
+@query(f"WITH {WITH_ALL} SELECT 'invented' AS source, count(DISTINCT CASE WHEN NOT contains(pattern, '/') THEN pattern END) AS hosts, count(DISTINCT CASE WHEN contains(pattern, '/') THEN pattern END) AS rules, count(DISTINCT category) AS categories, count(DISTINCT organization) AS organizations, (SELECT count(DISTINCT pattern) FROM best) AS patterns_met FROM rules")
 def list_info(spark, sf):
-    """SRC17: one row about the list."""
-    return C.list_info(S.rules(spark), "invented")
+    """SRC17: one row about the list, with the number of patterns that the log meets."""
+    met = C.describe(S.requests(spark, sf).select("url").distinct(), S.rules(spark)).agg(F.count_distinct("tracker_pattern").alias("patterns_met"))
+    return one_row(C.list_info(S.rules(spark), "invented"), met)
 
 
 @query(f"WITH {WITH_BEST} SELECT {LHOST} AS host, count(*) AS n FROM requests r WHERE EXISTS (SELECT 1 FROM merged m WHERE {DEFAULT} AND m.rule_path IS NULL AND ({LHOST} = m.rule_host OR ends_with({LHOST}, '.' || m.rule_host))) GROUP BY 1")
@@ -87,10 +90,11 @@ def matched_log(spark, sf):
     return C.keep_matched(S.requests(spark, sf), S.rules(spark)).groupBy(U.net_host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {S.WITH_RULES}, d AS (SELECT DISTINCT organization, split_part(pattern, '/', 1) AS domain FROM rules) SELECT organization, string_agg(domain, ',' ORDER BY domain) AS domains FROM d GROUP BY organization")
+@query(f"WITH {WITH_ALL}, d AS (SELECT DISTINCT organization, split_part(pattern, '/', 1) AS domain FROM rules), n AS (SELECT b.organization, count(*) AS n FROM requests r JOIN best b ON r.url = b.url GROUP BY 1) SELECT organization, string_agg(domain, ',' ORDER BY domain) AS domains, coalesce(any_value(n.n), 0) AS n FROM d LEFT JOIN n USING (organization) GROUP BY organization")
 def owner_domains(spark, sf):
-    """CLS13: each owner's domains."""
-    return C.domains_by_owner(S.rules(spark)).select("organization", F.array_join("domains", ",").alias("domains"))
+    """CLS13: each owner's domains and the requests that go to them."""
+    n = C.with_match(S.requests(spark, sf), S.rules(spark), every=True).where("match is not null").groupBy(F.col("match.organization").alias("organization")).agg(F.count(F.lit(1)).alias("n"))
+    return C.domains_by_owner(S.rules(spark)).join(n, "organization", "left").select("organization", F.array_join("domains", ",").alias("domains"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _PAGES = "CASE page_idx % 7 WHEN 0 THEN 'https://www.social.example/home' WHEN 1 THEN 'https://guard.example/' ELSE 'https://' || page_domain || '/' END"
