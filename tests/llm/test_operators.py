@@ -217,7 +217,7 @@ def overlap(rows, threshold=0.8):
     return [[bool(a and b) and len(a & b) / len(a | b) >= threshold for b in grams] for a in grams]
 
 
-def test_near_duplicates(docs, none, rows):
+def near_classes(rows):
     links = overlap(rows)
     root = list(range(len(rows)))
     for _ in rows:
@@ -227,6 +227,11 @@ def test_near_duplicates(docs, none, rows):
     for a, (i, t) in enumerate(rows):
         ids = [rows[b][0] for b in range(len(rows)) if root[b] == root[a] and rows[b][0] is not None]
         want[i, (min(ids) if ids else None) if words(t) else i, sum(links[a]) - 1 if words(t) else 0] += 1
+    return want, root
+
+
+def test_near_duplicates(docs, none, rows):
+    want, root = near_classes(rows)
     assert multiset(near_duplicates.near_duplicates(docs).collect()) == want
     assert near_duplicates.near_duplicates(none).count() == 0
     kept = near_duplicates.one_of_each(docs)
@@ -306,16 +311,13 @@ def test_equal_fingerprints_are_compared_by_bytes(monkeypatch):
     assert [[len(np.intersect1d(a, b)) for b in sets] for a in sets] == [[len(a & b) for b in grams] for a in grams]
 
 
-def test_decontamination(spark, docs, none, rows):
-    texts = [t for _, t in rows if t and len(words(t)) > 60]
-    items = [(1, " ".join(words(texts[0])[20:45])), (2, "one two"), (3, None), (4, ""), (None, "Tiny"), (5, " ".join(words(texts[1])[5:14])), (5, " ".join(words(texts[1])[5:14])), (6, "no such words here at all")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+def hits(rows, items):
     windows = collections.defaultdict(set)
     for i, t in items:
         w = words(t)
         for k in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[k : k + 10])].add(i)
-    want = collections.Counter()
+    out = collections.Counter()
     for i, t in rows:
         w, hit, own = words(t), set(), set()
         for n in {len(x) for x in windows}:
@@ -324,7 +326,15 @@ def test_decontamination(spark, docs, none, rows):
                     hit.update(range(k, k + n))
                     own |= windows[tuple(w[k : k + n])]
         names = sorted("null" if x is None else str(x) for x in own)
-        want[i, len(w), len(hit), len(own), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)] += 1
+        out[i, len(w), len(hit), len(own), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)] += 1
+    return out
+
+
+def test_decontamination(spark, docs, none, rows):
+    texts = [t for _, t in rows if t and len(words(t)) > 60]
+    items = [(1, " ".join(words(texts[0])[20:45])), (2, "one two"), (3, None), (4, ""), (None, "Tiny"), (5, " ".join(words(texts[1])[5:14])), (5, " ".join(words(texts[1])[5:14])), (6, "no such words here at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = hits(rows, items)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert multiset(decontamination.decontaminate(docs, bench).select(*columns).collect()) == want
     assert multiset(decontamination.decontaminate(docs, bench, test_bytes=60).select(*columns).collect()) == want
