@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.operators.lookup import one_row
-
-
-def average_ranks(df: DataFrame, c: str) -> DataFrame:
-    """Value and average rank of each different value of a column, from the counts of values.
-
-    The running count is taken within ranges of values plus the ranges' totals, so no task sees all values.
-    """
-    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange("value").withColumn("part_", F.spark_partition_id())
-    own = parts.withColumn("upto_", F.sum("n").over(Window.partitionBy("part_").orderBy("value")))
-    totals = parts.groupBy("part_").agg(F.sum("n").alias("t_"))  # a row for each range
-    before = totals.withColumn("before_", F.sum("t_").over(Window.orderBy("part_")) - F.col("t_")).drop("t_")
-    return own.join(F.broadcast(before), "part_").select("value", (F.col("before_") + F.col("upto_") - (F.col("n") - 1) / 2.0).alias("rank"))
+from tallybrook.operators.ranks import average_ranks, percentiles
 
 
 def spearman(df: DataFrame, a: str, b: str, name: str = "spearman") -> DataFrame:
@@ -31,21 +19,28 @@ def spearman(df: DataFrame, a: str, b: str, name: str = "spearman") -> DataFrame
     return m.select(F.when((va > 0) & (vb > 0), (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(va * vb)).alias(name))
 
 
-def errors(df: DataFrame, pred: str, actual: str, by: list[str] | None = None) -> DataFrame:
-    """n, mae, median_ae, rmse, mape (actual over 1000), totals and their ratio, overall or by group."""
+def errors(df: DataFrame, pred: str, actual: str, by: list[str] | None = None, median: bool = True) -> DataFrame:
+    """n, mae, median_ae (if wanted), rmse, mape (actual over 1000), totals and their ratio, overall or by group."""
     p, a = F.col(pred).cast("double"), F.col(actual).cast("double")
     gap = F.abs(p - a)
-    return df.where(p.isNotNull() & a.isNotNull()).groupBy(*by or ()).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mae"), F.median(gap).alias("median_ae"), F.sqrt(F.avg(gap * gap)).alias("rmse"),
+    some = df.where(p.isNotNull() & a.isNotNull()).withColumn("gap_", gap)
+    out = some.groupBy(*by or ()).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"),
         (F.avg(F.when(a > 1000, gap / F.when(a > 1000, a))) * 100).alias("mape"), F.sum(p).alias("pred_total"), F.sum(a).alias("actual_total"), F.try_divide(F.sum(p), F.sum(a)).alias("ratio"),
     )
+    if not median:
+        return out
+    middle = percentiles(some, "gap_", {"median_ae": 0.5}, by)
+    met = [F.col(b).eqNullSafe(F.col(f"{b}_m_")) for b in by or ()]
+    joined = out.join(middle.withColumnsRenamed({b: f"{b}_m_" for b in by}), met) if by else one_row(out, middle)
+    return joined.select(*by or (), "n", "mae", "median_ae", "rmse", "mape", "pred_total", "actual_total", "ratio")
 
 
 def page_rates(df: DataFrame, page: list[str], pred: str, actual: str) -> DataFrame:
     """One row over pages with an actual total: median ratio and shares of pages within 10, 25 and 50 percent."""
     t = df.groupBy(*page).agg(F.sum(pred).cast("double").alias("p"), F.sum(actual).cast("double").alias("a")).where("a > 0").withColumn("r", F.col("p") / F.col("a"))
     within = lambda x: F.avg(F.when(F.abs(F.col("r") - 1) <= x, 1.0).otherwise(0.0))
-    return t.agg(F.count(F.lit(1)).alias("n_pages"), F.median("r").alias("median_ratio"), *(within(x / 100).alias(f"within_{x}pct") for x in (10, 25, 50)))
+    return one_row(t.agg(F.count(F.lit(1)).alias("n_pages"), *(within(x / 100).alias(f"within_{x}pct") for x in (10, 25, 50))), percentiles(t, "r", {"median_ratio": 0.5}))
 
 
 def calibration(df: DataFrame, pred: str, actual: str, edges: list[float], least: int = 10) -> DataFrame:
@@ -61,7 +56,7 @@ def calibration(df: DataFrame, pred: str, actual: str, edges: list[float], least
 
 def quantile_bins(df: DataFrame, score: str, value: str, q: int = 5) -> DataFrame:
     """bin, n, mean of value by quantile bins of a score; equal scores share a bin."""
-    cuts = df.agg(F.percentile(F.col(score).cast("double"), [k / q for k in range(1, q)]).alias("cuts_"))
+    cuts = percentiles(df, score, {f"c{k}_": k / q for k in range(1, q)}).select(F.array(*(f"c{k}_" for k in range(1, q))).alias("cuts_"))
     bin_ = F.aggregate("cuts_", F.lit(0), lambda n, c: n + (F.col(score) > c).cast("int"))
     return one_row(df, cuts).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"))
 
@@ -69,7 +64,8 @@ def quantile_bins(df: DataFrame, score: str, value: str, q: int = 5) -> DataFram
 def coverage(df: DataFrame, low: str, high: str, actual: str) -> DataFrame:
     """One row: share of actual values within their interval, and its mean and median width."""
     w = F.col(high) - F.col(low)
-    return df.agg(F.avg(F.when((F.col(actual) >= F.col(low)) & (F.col(actual) <= F.col(high)), 1.0).otherwise(0.0)).alias("coverage"), F.avg(w).alias("mean_width"), F.median(w).alias("median_width"))
+    shares = df.agg(F.avg(F.when((F.col(actual) >= F.col(low)) & (F.col(actual) <= F.col(high)), 1.0).otherwise(0.0)).alias("coverage"), F.avg(w).alias("mean_width"))
+    return one_row(shares, percentiles(df.withColumn("width_", w), "width_", {"median_width": 0.5}))
 
 
 def confusion(df: DataFrame, predicted: Column, truth: Column, size: Column) -> DataFrame:

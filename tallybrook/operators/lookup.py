@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.operators.ranks import percentiles
+
 
 def one_row(df: DataFrame, totals: DataFrame) -> DataFrame:
     """df with the columns of a one-row table."""
@@ -18,8 +20,8 @@ def table(train: DataFrame, keys: list[str], target: str, name: str, how: str =
 
 
 def global_value(train: DataFrame, target: str, name: str, how: str = "median") -> DataFrame:
-    agg = {"median": F.median, "mean": F.avg}[how]
-    return train.agg(agg(F.col(target).cast("double")).alias(name))
+    """One row: the target's median or mean over all rows."""
+    return percentiles(train, target, {name: 0.5}) if how == "median" else train.agg(F.avg(F.col(target).cast("double")).alias(name))
 
 
 def fall_back(test: DataFrame, train: DataFrame, levels: list[list[str]], target: str, name: str = "pred", how: str = "median") -> DataFrame:

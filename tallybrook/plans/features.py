@@ -9,6 +9,7 @@ from tallybrook.functions import requests as R
 from tallybrook.functions import urls as U
 from tallybrook.operators import lookup as L
 from tallybrook.operators.classify import _sized as sized
+from tallybrook.operators.ranks import percentiles
 from tallybrook.plans.registry import query
 from tallybrook.sources import fixtures as S
 
@@ -200,7 +201,7 @@ def splits(spark, sf):
 def winsorised(spark, sf):
     """FLT3, FLT14: sizes capped at a quantile."""
     log = S.requests(spark, sf).where("transfer_bytes is not null and transfer_bytes >= 0")
-    return L.one_row(log, log.agg(F.percentile("transfer_bytes", 0.9).alias("cap"))).groupBy("resource_type").agg(F.round(F.sum(F.least("transfer_bytes", "cap")), 2).alias("capped"), F.count(F.lit(1)).alias("n"))
+    return L.one_row(log, percentiles(log, "transfer_bytes", {"cap": 0.9})).groupBy("resource_type").agg(F.round(F.sum(F.least("transfer_bytes", "cap")), 2).alias("capped"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {S.WITH_REQUESTS}, a AS (SELECT 'script' AS block, {LHOST} AS host, count(*) AS n, count(DISTINCT page_domain) AS pages, avg(transfer_bytes) AS mean_bytes, NULL::BIGINT AS wasted FROM requests WHERE resource_type = 'script' GROUP BY 2),

@@ -252,7 +252,7 @@ def forest_importances(spark, sf):
     """ML4, TOP5: a random forest's fifteen features of most importance, and its error on later rows."""
     train, test = SP.features(spark, sf)
     model = RandomForestRegressor(numTrees=10, maxDepth=5, seed=5).fit(train)
-    mae = V.errors(model.transform(test).withColumn("p", F.greatest("prediction", F.lit(0.0))), "p", "label").select("mae")
+    mae = V.errors(model.transform(test).withColumn("p", F.greatest("prediction", F.lit(0.0))), "p", "label", median=False).select("mae")
     names = [a["name"] for kind in train.schema["features"].metadata["ml_attr"]["attrs"].values() for a in sorted(kind, key=lambda a: a["idx"])]
     top = sorted(zip(names, model.featureImportances.toArray(), strict=True), key=lambda x: (-x[1], x[0]))[:15]
     return L.one_row(spark.createDataFrame([(k + 1, n, float(v)) for k, (n, v) in enumerate(top)], "rank int, feature string, importance double"), mae)
@@ -267,7 +267,7 @@ def tweedie_sweep(spark, sf):
         for power in (1.2, 1.5, 1.8):
             fit = GeneralizedLinearRegression(labelCol="y", family="tweedie", variancePower=power, linkPower=0.0, maxIter=8, regParam=0.1).fit(train.withColumn("y", F.col(target) + 1))
             p = fit.transform(test).withColumn("p", F.greatest(F.col("prediction") - 1, F.lit(0.0)))
-            out.append(V.errors(p, "p", target).select(F.lit(target).alias("target"), F.lit(power).alias("power"), "n", "mae", "ratio"))
+            out.append(V.errors(p, "p", target, median=False).select(F.lit(target).alias("target"), F.lit(power).alias("power"), "n", "mae", "ratio"))
     return S.union_all(*out)
 
 

@@ -153,11 +153,11 @@ def regressors(spark, sf):
     for name, m in models.items():
         fit = m.fit(train.withColumn("label", F.col("label") + 1) if name == "tweedie" else train)
         p = F.greatest(F.col("prediction") - (1 if name == "tweedie" else 0), F.lit(0.0))
-        out.append(V.errors(fit.transform(test).withColumn("p", p), "p", "label").select(F.lit(name).alias("model"), "n", "mae", "ratio"))
+        out.append(V.errors(fit.transform(test).withColumn("p", p), "p", "label", median=False).select(F.lit(name).alias("model"), "n", "mae", "ratio"))
     some = GBTClassifier(labelCol="some", maxIter=5, maxDepth=3).fit(train.withColumn("some", (F.col("label") > 0).cast("double")))
     size = GBTRegressor(maxIter=5, maxDepth=3).fit(train.where("label > 0"))
     two = size.transform(some.transform(test).withColumn("share", vector_to_array("probability")[1]).drop("prediction", "rawPrediction", "probability"))
-    out.append(V.errors(two.withColumn("p", F.greatest(F.col("share") * F.col("prediction"), F.lit(0.0))), "p", "label").select(F.lit("two_stage").alias("model"), "n", "mae", "ratio"))
+    out.append(V.errors(two.withColumn("p", F.greatest(F.col("share") * F.col("prediction"), F.lit(0.0))), "p", "label", median=False).select(F.lit("two_stage").alias("model"), "n", "mae", "ratio"))
     return S.union_all(*out)
 
 

@@ -9,6 +9,7 @@ from tallybrook.functions import urls as U
 from tallybrook.operators import evaluate as V
 from tallybrook.operators import lookup as L
 from tallybrook.operators import size_table as T
+from tallybrook.operators.ranks import percentiles
 from tallybrook.plans.features import LHOST, PATH, QUERY, rounded
 from tallybrook.plans.registry import query
 from tallybrook.sources import fixtures as S
@@ -41,8 +42,9 @@ def predicted(spark, sf, how="median"):
 @query(f"WITH {_chain('median')} SELECT pred_level, count(*) AS n, round(avg(abs(pred - transfer_bytes)), 4) AS mae, round(median(abs(pred - transfer_bytes)), 4) AS median_ae FROM pred GROUP BY 1")
 def path_table_median(spark, sf):
     """AGG4, JN5, EST7: path, host and type, host, global medians in turn."""
-    gap = F.abs(F.col("pred") - F.col("transfer_bytes"))
-    return rounded(predicted(spark, sf).groupBy("pred_level").agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mae"), F.median(gap).alias("median_ae")), 4)
+    gaps = predicted(spark, sf).withColumn("gap", F.abs(F.col("pred") - F.col("transfer_bytes")))
+    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
+    return rounded(percentiles(gaps, "gap", {"median_ae": 0.5}, ["pred_level"], F.sum("n").alias("n"), mean.alias("mae")).select("pred_level", "n", "mae", "median_ae"), 4)
 
 
 @query(f"WITH {_chain('mean')} SELECT resource_type, count(*) AS n, round(avg(abs(pred - transfer_bytes)), 4) AS mae, round(sum(pred) / sum(transfer_bytes), 6) AS ratio FROM pred GROUP BY 1")
