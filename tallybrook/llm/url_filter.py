@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybrook.llm.components import SALTS
+
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, category, valid_from, valid_until (null: open) from dated entries (pattern, action, category, entry_date).
@@ -32,18 +34,20 @@ def host_of(url: F.Column) -> F.Column:
 def evaluate(captures: DataFrame, active: DataFrame) -> DataFrame:
     """capture_id, host, fetch_date, blocked, pattern, category, n_active of every capture (capture_id, url, fetch_date).
 
-    Captures are evaluated once for each host and day, so a host of a third of all captures costs no more than another;
+    Captures are evaluated once for each host and day, and a day's captures of a host are dealt out by a hash of their ids
+    before they meet its result, so a host of a third of all captures is no task of its own;
     the most specific active pattern decides, n_active counts all of them.  Null or host-less URLs and null dates are
     never blocked; repeated captures stay repeated; other columns are not read.
     """
-    rows = captures.select("capture_id", host_of(F.col("url")).alias("host"), "fetch_date")
-    asked = rows.where("host is not null and fetch_date is not null").select("host", "fetch_date").distinct()
+    rows = captures.select("capture_id", host_of(F.col("url")).alias("host"), "fetch_date").withColumn("salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int"))
+    asked = rows.where("host is not null and fetch_date is not null").groupBy("host", "fetch_date").agg(F.expr("bit_or(shiftleft(1L, salt))").alias("salts"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    keys = asked.select("host", "fetch_date", F.explode(suffixes).alias("pattern"))
+    keys = asked.select("host", "fetch_date", "salts", F.explode(suffixes).alias("pattern"))
     met = keys.join(active, "pattern").where((F.col("fetch_date") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("fetch_date") < F.col("valid_until"))))
-    found = met.groupBy("host", "fetch_date").agg(F.max_by(F.struct("pattern", "category"), F.length("pattern")).alias("best"), F.count(F.lit(1)).alias("n_active"))
-    out = rows.join(found, ["host", "fetch_date"], "left")
+    found = met.groupBy("host", "fetch_date").agg(F.max_by(F.struct("pattern", "category"), F.length("pattern")).alias("best"), F.count(F.lit(1)).alias("n_active"), F.first("salts").alias("salts"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)  # the parts that have rows
+    out = rows.join(found.withColumn("salt", F.explode(held)).drop("salts"), ["host", "fetch_date", "salt"], "left")
     return out.select("capture_id", "host", "fetch_date", F.col("best").isNotNull().alias("blocked"), F.col("best.pattern").alias("pattern"), F.col("best.category").alias("category"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"))
 
 
