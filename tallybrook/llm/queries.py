@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import decontamination, near_duplicates, packing, quality, sharding, suffix_dedup, token_counts, token_store, top_k, url_filter
+from tallybrook.llm import alignment, byte_bpe, decontamination, near_duplicates, packing, prefix_trie, quality, sharding, suffix_dedup, token_counts, token_store, top_k, url_filter
 from tallybrook.llm._common import fresh_path, table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +69,27 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern())
+    return byte_bpe.digest(byte_bpe.decode(ids, ranks, pattern()))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.digest(alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), pattern()))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.family_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_sharding, op3_token_counts, op4_ngram_jaccard_join, op5_benchmark_decontamination,
         op6_token_store, op7_exact_top_k, op8_quality_classifier, op9_best_fit_packing, op10_suffix_array_dedup,
+        op11_byte_level_bpe, op12_tokenizer_alignment, op13_prefix_trie,
     )
 }
 
