@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tallybrook.functions.urls import PUBLIC_SUFFIXES, is_opaque, registrable, suffix_chain
 from tallybrook.operators.lookup import one_row
+from tallybrook.sources.storage import cut
 
-MOST_COLUMNS = 4_000  # of a Gram matrix that is solved on the driver (128 MB)
+MOST_COLUMNS = 4_000  # of a Gram matrix that is solved on the driver (128 MB); beyond it the fit stays a table
 
 
 def gram(cells: DataFrame, row: list[str], column: str, value: str, target: DataFrame, y: str) -> tuple[DataFrame, DataFrame]:
@@ -41,23 +42,73 @@ def nnls(gram_: np.ndarray, xy: np.ndarray, rounds: int = 5000) -> np.ndarray:
     return out
 
 
-def fit_nnls(cells: DataFrame, row: list[str], column: str, value: str, target: DataFrame, y: str) -> DataFrame:
-    """column and coef: the non-negative fit of y on the columns' values; the columns' number is bounded and checked."""
+def fit_nnls(cells: DataFrame, row: list[str], column: str, value: str, target: DataFrame, y: str, most: int = MOST_COLUMNS, tolerance: float = 1e-7) -> DataFrame:
+    """column and coef: the non-negative fit of y on the columns' values; columns that are all zero have 0.
+
+    Up to so many columns the driver solves the normal equations; with more the fit is iterated over the cells.
+    """
     spark = cells.sparkSession
+    if len(cells.select(column).distinct().limit(most + 1).collect()) > most:
+        return iterated_nnls(cells, row, column, value, target, y, tolerance=tolerance)
     g, xy = gram(cells, row, column, value, target, y)
-    right = xy.orderBy("a").limit(MOST_COLUMNS + 1).collect()
-    if len(right) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} columns; pool the rare ones first")
+    right = xy.orderBy("a").collect()  # a row for each column
     names = [r["a"] for r in right]
     at = {n: k for k, n in enumerate(names)}
     m = np.zeros((len(names), len(names)))
-    for r in g.collect():  # MOST_COLUMNS squared at most
+    for r in g.collect():  # most squared at most
         if r["a"] in at and r["b"] in at:
             m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["x"]
     coef = nnls(m, np.array([r["xy"] for r in right]))
     return spark.createDataFrame([(n, float(c)) for n, c in zip(names, coef, strict=True)], f"{column} string, coef double")
 
 
+def iterated_nnls(cells: DataFrame, row: list[str], column: str, value: str, target: DataFrame, y: str, rounds: int = 2000, tolerance: float = 1e-7) -> DataFrame:
+    """column and coef of any number of columns: accelerated projected gradients, with both products as joins.
+
+    Columns are scaled to length 1.  A round joins the cells with the coefficients by column and with the residuals by
+    row; only sums over all coefficients reach the driver.  It ends when no coefficient of the projected step moves by
+    more than the tolerance, as a share of the largest, which bounds how far the optimality conditions are missed.
+    """
+    c = cells.select(*row, F.col(column).alias("c_"), F.col(value).cast("double").alias("v_")).groupBy(*row, "c_").agg(F.sum("v_").alias("v_")).where("v_ <> 0")
+    scale = cut(c.groupBy("c_").agg(F.sqrt(F.sum(F.col("v_") * F.col("v_"))).alias("s_")))
+    c = cut(c.join(scale, "c_").select(*row, "c_", (F.col("v_") / F.col("s_")).alias("v_")).repartition(*row))
+    right = cut(target.groupBy(*row).agg(F.coalesce(F.sum(F.col(y).cast("double")), F.lit(0.0)).alias("y_")))
+
+    def product(z: DataFrame, less: DataFrame | None) -> DataFrame:
+        """c_ and g_: the cells' products with (their products with z, less the right side)."""
+        p = c.join(z, "c_").groupBy(*row).agg(F.sum(F.col("v_") * F.col("z_")).alias("p_"))
+        if less is not None:
+            p = p.join(less, row, "left").withColumn("p_", F.col("p_") - F.coalesce("y_", F.lit(0.0)))
+        return c.join(p, row).groupBy("c_").agg(F.sum(F.col("v_") * F.col("p_")).alias("g_"))
+
+    z, length = scale.select("c_", F.lit(1.0).alias("z_")), 1.0
+    for _ in range(12):  # power rounds towards the largest eigenvalue
+        z = cut(product(z, None).withColumnRenamed("g_", "z_"))
+        length = z.agg(F.sqrt(F.sum(F.col("z_") * F.col("z_")))).first()[0] or 0.0
+        if not length:
+            break
+        z = z.withColumn("z_", F.col("z_") / length)
+    length = 1.1 * length or 1.0
+    state = scale.select("c_", F.lit(0.0).alias("w_"), F.lit(0.0).alias("z_"))
+    t = 1.0
+    for _ in range(rounds):
+        onward = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        stepped = state.join(product(state.select("c_", "z_"), right), "c_", "left").withColumn("new_", F.greatest(F.lit(0.0), F.col("z_") - F.coalesce("g_", F.lit(0.0)) / length))
+        back, moved = F.col("z_") - F.col("new_"), F.col("new_") - F.col("w_")
+        told = cut(stepped.select("c_", F.col("new_").alias("w_"), (F.col("new_") + (t - 1) / onward * moved).alias("z_"), (back * moved).alias("turn_"), F.abs(back).alias("gap_")))
+        m = told.agg(F.sum("turn_").alias("turn"), F.max("gap_").alias("gap"), F.max("w_").alias("top")).first()
+        if m["gap"] is None or m["gap"] <= tolerance * max(m["top"], 1e-300):
+            state = told
+            break
+        restart = m["turn"] > 0  # the step went against the momentum
+        state, t = told.select("c_", "w_", (F.col("w_") if restart else F.col("z_")).alias("z_")), 1.0 if restart else onward
+    else:
+        raise ValueError(f"the fit hasn't settled within {rounds} rounds")
+    zero = cells.select(F.col(column).alias("c_")).distinct()
+    fitted = state.join(scale, "c_").select("c_", (F.col("w_") / F.col("s_")).alias("coef"))
+    return zero.join(fitted, "c_", "left").select(F.col("c_").alias(column), F.coalesce("coef", F.lit(0.0)).alias("coef"))
+
+
 def demeaned(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """df with the columns' group means taken off."""
     means = df.groupBy(group).agg(*(F.avg(c).alias(f"m_{c}") for c in columns))

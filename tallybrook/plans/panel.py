@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.functions import requests as R
 from tallybrook.functions import urls as U
+from tallybrook.operators import boosting as B
 from tallybrook.operators import classify as C
 from tallybrook.operators import evaluate as V
 from tallybrook.operators import fitting as G
@@ -258,19 +259,48 @@ def forest_importances(spark, sf):
     return L.one_row(spark.createDataFrame([(k + 1, n, float(v)) for k, (n, v) in enumerate(top)], "rank int, feature string, importance double"), mae)
 
 
+POWERS, QUANTILES = (1.2, 1.5, 1.8), (0.1, 0.5, 0.9)
+TREES, DEPTH, RATE = 8, 3, 0.3
+
+
+def arrays(df, *targets):
+    """Features as an array, and the targets with one added where a Tweedie loss is to meet zeros."""
+    return df.withColumns({"x": vector_to_array("features"), "y": F.array(*targets)})
+
+
 @query()
 def tweedie_sweep(spark, sf):
-    """ML5: Tweedie regressions of three powers on two targets, one added before the fit and taken off after it."""
-    train, test = SP.features(spark, sf, F.length("url").cast("double").alias("url_length"))
+    """ML5: boosted Tweedie trees of three powers on two targets, one added before the fit and taken off after it; the six
+    models grow in the same passes.  Beside them the log-linear Tweedie model of each."""
+    train, test = (df.cache() for df in SP.features(spark, sf, F.length("url").cast("double").alias("url_length")))
+    kinds = [(target, power) for target in ("label", "url_length") for power in POWERS]
+    models = [B.Target(f"{t}_{p}", k // len(POWERS), "tweedie", p) for k, (t, p) in enumerate(kinds)]
+    grown = B.fit(arrays(train, F.col("label") + 1, F.col("url_length") + 1), "x", "y", models, TREES, DEPTH, RATE)
+    scored = B.predict(arrays(test).drop("y", "features"), "x", grown).cache()
     out = []
-    for target in ("label", "url_length"):
-        for power in (1.2, 1.5, 1.8):
-            fit = GeneralizedLinearRegression(labelCol="y", family="tweedie", variancePower=power, linkPower=0.0, maxIter=8, regParam=0.1).fit(train.withColumn("y", F.col(target) + 1))
-            p = fit.transform(test).withColumn("p", F.greatest(F.col("prediction") - 1, F.lit(0.0)))
-            out.append(V.errors(p, "p", target, median=False).select(F.lit(target).alias("target"), F.lit(power).alias("power"), "n", "mae", "ratio"))
+    for k, (target, power) in enumerate(kinds):
+        line = GeneralizedLinearRegression(labelCol="y", family="tweedie", variancePower=power, linkPower=0.0, maxIter=8, regParam=0.1).fit(train.withColumn("y", F.col(target) + 1))
+        for name, p in (("trees", scored.withColumn("p", F.col("predictions")[k])), ("log_linear", line.transform(test).withColumn("p", F.col("prediction")))):
+            e = V.errors(p.withColumn("p", F.greatest(F.col("p") - 1, F.lit(0.0))), "p", target, median=False)
+            out.append(e.select(F.lit(name).alias("model"), F.lit(target).alias("target"), F.lit(power).alias("power"), "n", "mae", "ratio"))
     return S.union_all(*out)
 
 
+def quantile_scores(spark, sf):
+    """Later rows with the quantile models' low, middle and high: of crossing predictions the lower one is the lower bound."""
+    train, test = SP.features(spark, sf)
+    grown = B.fit(arrays(train, "label"), "x", "y", [B.Target(f"q{q}", 0, "quantile", q) for q in QUANTILES], TREES, DEPTH, RATE)
+    scored = B.predict(arrays(test).drop("y", "features"), "x", grown).withColumn("own", F.array_sort("predictions"))
+    return scored.select("page_idx", "pos", "resource_type", "label", *(F.col("own")[k].alias(n) for k, n in enumerate(("low", "middle", "high"))))
+
+
+@query()
+def quantile_models(spark, sf):
+    """ML7: boosted quantile models of 0.1, 0.5 and 0.9, and how often and how wide their interval holds on later rows."""
+    rows = quantile_scores(spark, sf)
+    return L.one_row(V.coverage(rows, "low", "high", "label"), V.errors(rows, "middle", "label").select("n", "mae", "median_ae"))
+
+
 @query()
 def type_probabilities(spark, sf):
     """ML12-13: class probabilities as features of a regression, and how the odds of a later period go with its errors."""

@@ -43,3 +43,34 @@ def test_gradeable_bounds(spark):
     df = spark.createDataFrame(rows, "g string, p double, a double")
     assert [r["g"] for r in V.gradeable(df, ["g"], "p", "a").collect()] == ["big"]
     assert {r["g"] for r in V.gradeable(df, ["g"], "p", "a", most_se_pct=1000.0).collect()} == {"big", "loud"}
+
+
+def sparse_design(n_rows, n_columns, seed):
+    rng = np.random.default_rng(seed)
+    cells = {(i, int(j)): round(float(v), 3) for i in range(n_rows) for j, v in zip(rng.choice(n_columns, 3, replace=False), rng.random(3) * [1, 5, 50] + 0.1, strict=True)}
+    cells |= {(i, n_columns): 1.0 for i in range(n_rows)}  # one column that every row has
+    y = rng.random(n_rows) * 20 - 4
+    return cells, y
+
+
+@pytest.mark.parametrize(("n_rows", "n_columns"), [(60, 12), (12_000, 10_000)])
+def test_iterated_nnls_is_optimal(spark, n_rows, n_columns):
+    """The optimality conditions, on columns of very different size; and on few columns the driver's own solution."""
+    cells, y = sparse_design(n_rows, n_columns, 5)
+    rows = spark.createDataFrame([(i, f"c{j}", v) for (i, j), v in cells.items()], "row int, name string, v double").cache()
+    target = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "row int, y double")
+    coef = {r["name"]: r["coef"] for r in G.fit_nnls(rows, ["row"], "name", "v", target, "y", most=4 if n_columns < 100 else G.MOST_COLUMNS, tolerance=1e-5).collect()}
+    present = {j for _, j in cells}
+    assert len(coef) == len(present) and min(coef.values()) >= 0
+    rest, slope, size = y.copy(), np.zeros(n_columns + 1), np.zeros(n_columns + 1)
+    for (i, j), v in cells.items():
+        rest[i] -= v * coef[f"c{j}"]
+    for (i, j), v in cells.items():
+        slope[j] -= v * rest[i]
+        size[j] += v * v
+    far = slope / np.sqrt(np.maximum(size, 1e-12))
+    top = max(coef[f"c{j}"] * np.sqrt(size[j]) for j in present)
+    assert all(far[j] >= -1e-3 * top and (coef[f"c{j}"] == 0 or abs(far[j]) <= 1e-3 * top) for j in present)
+    if n_columns < 100:
+        direct = {r["name"]: r["coef"] for r in G.fit_nnls(rows, ["row"], "name", "v", target, "y").collect()}
+        assert all(coef[k] == pytest.approx(v, abs=1e-3 * max(direct.values())) for k, v in direct.items())
