@@ -6,10 +6,13 @@ the cover follows the content, so that equal strings have their samples at equal
 window of 200 bytes the one of least fingerprint is sampled (1.3 % of all positions instead of two thirds).
 
 1. Sampled tuples are named by their fingerprints; neighbouring windows that share a sample form a run.
-2. Names that occur once are final: no window of theirs repeats.  Runs of other names are named by all their bytes
-   (the recursion); runs whose name occurs again repeat as a whole.
+2. Names that occur once are final: no window of theirs repeats.  Runs of other names are told by 128 bits of BLAKE2 of
+   all their bytes; runs that occur again repeat as a whole.
 3. The remaining suffixes, the windows of runs that share a sampled tuple but not all bytes, are merged: per tuple name
-   they are sorted by their 200-byte fingerprints, and adjacent equal ones repeat.
+   they are sorted by fingerprint, and adjacent ones repeat if their bytes are equal.  The windows of a name with very many
+   runs are dealt out instead, and told by 128 bits of BLAKE2.
+
+Fingerprints that can be made to collide only say what is compared.
 
 All occurrences of a string take part in step 1, so copies in any number of documents, or within one, are found.
 """
@@ -29,14 +32,14 @@ from tallybrook.llm._common import aside, cut, prepare, restored
 LENGTH, TUPLE = 200, 50
 HOT = 4096  # different runs of one tuple beyond which their windows are dealt out by fingerprint
 MERGE_BYTES = 8 << 20  # of windows that are merged at a time
-SIZE = (1 << 31) - 1  # the bits of n that are the text's size; those above are its CRC-32
-RUN = "name long, piece long, tk long, n long, doc_id long, x int, windows int, again boolean"
-_ARROW_RUN = pa.schema([("name", pa.int64()), ("piece", pa.int64()), ("tk", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("x", pa.int32()), ("windows", pa.int32()), ("again", pa.bool_())])
+SIZE = (1 << 31) - 1  # the bits of n that are the text's size
+RUN = ["name", "piece", "more", "tk", "n", "doc_id", "span"]  # longs: piece and more are the run's digest, span is (x, windows, again)
+AGAIN, WINDOWS = 1, 31  # bits of span
 SPANS = "tk long, n long, start long, stop long"
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = TUPLE) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows with a common sample: (text, first window, windows, name, piece, again).
+    """Runs of neighbouring windows with a common sample: (text, first window, windows, name, again, first byte in data).
 
     again: the sampled tuple may occur more than once within the run.
     """
@@ -62,7 +65,14 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     same = np.concatenate([[0], np.cumsum(h[sampled[1:]] == h[sampled[:-1]])]) if len(sampled) else np.zeros(1, np.int64)
     lo, hi = np.searchsorted(sampled, start), np.searchsorted(sampled, stop + w - 1) - 1
     again = (hi > lo) & (same[np.maximum(hi, 0)] > same[np.minimum(lo, len(same) - 1)])
-    return owner, start - offsets[owner], stop - start, least[start].view(np.int64), prefix.ranges(start, stop - 1 + length).view(np.int64), again
+    return owner, start - offsets[owner], stop - start, least[start].view(np.int64), again, start
+
+
+def run_digests(data: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """128 bits of BLAKE2 of each run's bytes, as two numbers."""
+    raw = memoryview(np.ascontiguousarray(data))
+    out = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + windows + length - 1).tolist(), strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def slices(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, block: int = _bytes.BLOCK):
@@ -81,9 +91,11 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, block: i
 
 
 def keyed(docs: DataFrame, *kept: str) -> DataFrame:
-    """text (null: empty), its key (tk, n) and the kept columns; the key is the text's size and 96 bits of hashes."""
+    """text (null: empty), its key (tk, n) and the kept columns; the key is the text's size and 96 bits of its SHA-256."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(*kept, text.alias("text_"), F.xxhash64(text).alias("tk"), F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.octet_length(text).cast("long")).alias("n"))
+    sha = F.sha2(text, 256)
+    number = lambda at, digits: F.conv(F.substring(sha, at, digits), 16, -10).cast("long")
+    return docs.select(*kept, text.alias("text_"), number(1, 16).alias("tk"), F.shiftleft(number(17, 8), 31).bitwiseOR(F.octet_length(text).cast("long")).alias("n"))
 
 
 def long_texts(docs: DataFrame) -> DataFrame:
@@ -104,14 +116,15 @@ def all_runs(docs: DataFrame) -> DataFrame:
                 if (times := seen.get(key, 0)) < 2:
                     seen[key], use[i] = times + 1, True
             for part, offsets, texts, begin in slices(data, off):
-                owner, x, windows, name, piece, again = runs_of(part, offsets)
+                owner, x, windows, name, again, start = runs_of(part, offsets)
                 keep = use[texts[owner]]
-                owner, x, windows, name, piece, again = (v[keep] for v in (owner, x, windows, name, piece, again))
+                owner, x, windows, name, again, start = (v[keep] for v in (owner, x, windows, name, again, start))
                 if len(owner):
-                    at = texts[owner]
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(piece), pa.array(tk[at]), pa.array(n[at]), ids.take(pa.array(at)), pa.array((x + begin[owner]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(again)], schema=_ARROW_RUN)
+                    at, told = texts[owner], run_digests(part, start, windows)
+                    span = (x + begin[owner]) << 32 | windows << AGAIN | again
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(told[:, 0]), pa.array(told[:, 1]), pa.array(tk[at]), pa.array(n[at]), ids.take(pa.array(at)), pa.array(span)], RUN)
 
-    return keyed(long_texts(docs), "doc_id").mapInArrow(find, RUN)
+    return keyed(long_texts(docs), "doc_id").mapInArrow(find, ", ".join(f"{c} long" for c in RUN))
 
 
 def packed_texts(docs: DataFrame, *kept: str) -> DataFrame:
@@ -134,11 +147,14 @@ def unpack(z: bytes, n: int) -> bytes:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(tk, n, start, stop): byte ranges of each text that repeated windows cover; they may overlap."""
     runs = all_runs(docs)
-    names = runs.groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("again")).where("times > 1 or again").select("name")
+    again = F.col("span").bitwiseAND(1) == 1
+    names = runs.groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.max(again).alias("again")).where("times > 1 or again").select("name")
     members = cut(runs.join(names, "name", "left_semi"))
-    pieces = cut(members.groupBy("name", "piece").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("again"), F.first(F.struct("tk", "n", "doc_id", "x", "windows")).alias("one")))
-    whole = members.join(pieces.where("times > 1").select("name", "piece"), ["name", "piece"], "left_semi")
-    spans = whole.select("tk", "n", F.col("x").cast("long").alias("start"), (F.col("x").cast("long") + F.col("windows") + LENGTH - 1).alias("stop"))
+    placed = [F.shiftright("span", 32).alias("x"), F.shiftright("span", AGAIN).bitwiseAND((1 << WINDOWS) - 1).alias("windows")]
+    own = ["name", "piece", "more"]
+    pieces = cut(members.groupBy(*own).agg(F.count(F.lit(1)).alias("times"), F.max(again).alias("again"), F.first(F.struct("tk", "n", "doc_id", *placed)).alias("one")))
+    whole = members.join(pieces.where("times > 1").select(*own), own, "left_semi").select("tk", "n", *placed)
+    spans = whole.select("tk", "n", F.col("x").alias("start"), (F.col("x") + F.col("windows") + LENGTH - 1).alias("stop"))
     kinds = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("times") == 1).alias("single"), F.max("again").alias("again")).where("single > 0 and (kinds > 1 or again)")
     needed = pieces.select("name", "one.*", (F.col("times") == 1).alias("single")).join(kinds.select("name", F.ceil(F.col("kinds") / HOT).cast("int").alias("deal")), "name")
     lists = needed.groupBy("tk", "n", "doc_id").agg(F.collect_list(F.struct("name", "x", "windows", "single", "deal")).alias("wanted"))  # runs of one text
@@ -157,15 +173,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 for q in r["wanted"]:
                     for at in range(q["x"], q["x"] + q["windows"], _bytes.BLOCK // 2):
                         m = min(_bytes.BLOCK // 2, q["x"] + q["windows"] - at)
-                        h = _bytes.Prefix(data[at : at + m + LENGTH - 1]).windows(LENGTH) if m + LENGTH > 4 * LENGTH else short_windows(data[at : at + m + LENGTH - 1])
-                        for part in range(q["deal"]):
-                            own = np.flatnonzero(h % np.uint64(q["deal"]) == part) if q["deal"] > 1 else np.arange(m)
-                            if len(own):
-                                out.append({"name": q["name"], "part": part, "tk": r["tk"], "n": r["n"], "single": q["single"], "at": (at + own).astype("<u4").tobytes(), "h": h[own].tobytes()})
+                        raw = data[at : at + m + LENGTH - 1].tobytes()
+                        row = {"name": q["name"], "part": 0, "tk": r["tk"], "n": r["n"], "single": q["single"], "x": at, "raw": raw}
+                        out += [row] if q["deal"] == 1 else dealt(row, q["deal"])
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.int64()), ("part", pa.int32()), ("tk", pa.int64()), ("n", pa.int64()), ("single", pa.bool_()), ("at", pa.binary()), ("h", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist(out, MERGE)
 
-    rest = met.mapInArrow(windows, "name long, part int, tk long, n long, single boolean, at binary, h binary").repartition("name", "part")
+    rest = met.mapInArrow(windows, "name long, part int, tk long, n long, single boolean, x long, raw binary, at binary, told binary").repartition("name", "part")
 
     def merge(batches):
         held, size = None, 0
@@ -184,30 +198,74 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.unionAll(rest.sortWithinPartitions("name", "part").mapInArrow(merge, SPANS))
 
 
+MERGE = pa.schema([("name", pa.int64()), ("part", pa.int32()), ("tk", pa.int64()), ("n", pa.int64()), ("single", pa.bool_()), ("x", pa.int64()), ("raw", pa.binary()), ("at", pa.binary()), ("told", pa.binary())])
+
+
+def dealt(row: dict, deal: int) -> list[dict]:
+    """A run's windows by their digest's remainder: places and digests instead of the bytes."""
+    raw = memoryview(row["raw"])
+    told = np.frombuffer(b"".join([hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in range(len(raw) - LENGTH + 1)]), np.uint64).reshape(-1, 2)
+    parts = told[:, 0] % np.uint64(deal)
+    return [row | {"part": int(p), "raw": None, "at": np.flatnonzero(parts == p).astype("<u4").tobytes(), "told": told[parts == p].tobytes()} for p in np.unique(parts).tolist()]
+
+
 def merged_windows(t: pa.Table):
     """Spans of the single runs' windows that occur again, from whole groups of (name, part)."""
-    raw_h, off = _bytes.utf8(t.column("h"))
-    raw_at, _ = _bytes.utf8(t.column("at"))
-    h, at, sizes = raw_h.view(np.uint64), raw_at.view("<u4").astype(np.int64), np.diff(off) // 8
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    name = t.column("name").to_numpy()[row]
-    order = np.lexsort((h, name))
-    same = (h[order[1:]] == h[order[:-1]]) & (name[order[1:]] == name[order[:-1]])  # adjacent prefixes
-    dup = np.zeros(len(h), bool)
-    dup[order[1:][same]] = dup[order[:-1][same]] = True
-    dup &= t.column("single").to_numpy()[row]
-    at, row = at[dup], row[dup]
+    names, single = t.column("name").to_numpy(), t.column("single").to_numpy()
+    raw, off = _bytes.utf8(t.column("raw"))
+    size = np.diff(off)
+    held = size > 0
+    m = np.where(held, size - LENGTH + 1, 0)
+    row = np.repeat(np.arange(len(m)), m)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+    place = off[:-1][row] + at  # where each window begins in raw
+    dup = repeated_bytes(raw, place, names[row])
+    told, told_off = _bytes.utf8(t.column("told"))
+    places, _ = _bytes.utf8(t.column("at"))
+    k = np.diff(told_off) // 16
+    own, spots, told = np.repeat(np.arange(len(k)), k), places.view("<u4").astype(np.int64), told.view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((told[:, 1], told[:, 0], names[own]))
+    same = (told[order[1:]] == told[order[:-1]]).all(1) & (names[own[order[1:]]] == names[own[order[:-1]]])
+    more = np.zeros(len(own), bool)
+    more[order[1:][same]] = more[order[:-1][same]] = True
+    row, at, dup = np.concatenate([row, own]), np.concatenate([at, spots]), np.concatenate([dup, more])
+    dup &= single[row]
+    row, at = row[dup], at[dup]
     if len(at):
         new = np.ones(len(at), bool)
         new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
         own = row[first]
-        yield pa.RecordBatch.from_arrays([pa.array(t.column("tk").to_numpy()[own]), pa.array(t.column("n").to_numpy()[own]), pa.array(at[first]), pa.array(at[last] + LENGTH)], ["tk", "n", "start", "stop"])
+        x = t.column("x").to_numpy()[own]
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("tk").to_numpy()[own]), pa.array(t.column("n").to_numpy()[own]), pa.array(x + at[first]), pa.array(x + at[last] + LENGTH)], ["tk", "n", "start", "stop"])
 
 
-def short_windows(data: np.ndarray) -> np.ndarray:
-    return _bytes.Prefix(data).windows(LENGTH)
+def repeated_bytes(raw: np.ndarray, place: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether the window at each place has the bytes of another one of its name; fingerprints only bring them together."""
+    out = np.zeros(len(place), bool)
+    if len(place) < 2:
+        return out
+    h = np.concatenate([_bytes.Prefix(raw[a : a + _bytes.BLOCK + LENGTH - 1]).windows(LENGTH) for a in range(0, len(raw) - LENGTH + 1, _bytes.BLOCK)])[place]
+    order = np.lexsort((h, name))
+    meet = np.flatnonzero((h[order[1:]] == h[order[:-1]]) & (name[order[1:]] == name[order[:-1]]))
+    every = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    equal = np.zeros(len(meet), bool)
+    for a in range(0, len(meet), 1 << 14):
+        some = meet[a : a + (1 << 14)]
+        equal[a : a + (1 << 14)] = (every[place[order[some]]] == every[place[order[some + 1]]]).all(1)
+    good = meet[equal]
+    out[order[good]] = out[order[good + 1]] = True
+    if not equal.all():  # windows of one fingerprint and other bytes: tell them by their bytes
+        group = np.zeros(len(order), np.int64)
+        group[1:] = np.cumsum((h[order[1:]] != h[order[:-1]]) | (name[order[1:]] != name[order[:-1]]))
+        odd = np.isin(group, group[meet[~equal]])
+        seen: dict[tuple[int, bytes], int] = {}
+        for g, i in zip(group[odd].tolist(), order[odd].tolist(), strict=True):
+            other = seen.setdefault((g, raw[place[i] : place[i] + LENGTH].tobytes()), i)
+            if other != i:
+                out[i] = out[other] = True
+    return out
 
 
 def covered(docs: DataFrame, *kept: str) -> DataFrame:
@@ -240,7 +298,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     Texts are UTF-8 bytes, null ones empty; texts under 200 bytes lose nothing.  A text that occurs twice, repeated rows
-    included, is removed whole if it has 200 bytes.  Null doc_ids are kept; other columns are not read.
+    included, is removed whole if it has 200 bytes.  Windows are compared by their bytes, and runs, texts and the windows of
+    very frequent tuples by 96 bits or more of a cryptographic hash.  Null doc_ids are kept; other columns are not read.
     """
 
     def sum_up(batches):

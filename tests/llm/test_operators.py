@@ -292,6 +292,48 @@ def test_ranges_of_structure_are_told_apart(n):
     assert _bytes.Prefix(one).ranges(*ends) != _bytes.Prefix(other).ranges(*ends)
 
 
+def morse_blocks(period, n=64):
+    """Two texts of blocks that share a sampled tuple and differ by a letter in Thue-Morse order, complemented in the second."""
+    rng = random.Random(period)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(50)) for _ in range(20_000)]
+    h = _bytes.Prefix(np.frombuffer("".join(some).encode(), np.uint8)).windows(50)[::50]
+    tuple_ = some[int(np.argmin(h))]  # of least fingerprint, so that every window samples it
+    dots, word = "." * min(7, (period - 51) // 3), thue_morse(n)[0]
+    own = ["".join(rng.choice("klmnopqrst") for _ in range(period - 51 - 2 * len(dots))) for _ in range(n)]
+    mark = lambda o, x: "".join(x if k % 60 == 59 else c for k, c in enumerate(o))  # noqa: E731  every window holds the letter
+    letter = lambda w, flip: "XY"[(w == "b") ^ flip]
+    text = lambda flip: "".join(tuple_ + dots + letter(w, flip) + dots + mark(o, letter(w, flip)) for w, o in zip(word, own, strict=True))
+    return text(False), text(True)
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_structured_texts_keep_what_repeats_nowhere(spark, monkeypatch, hot):
+    """Fingerprints of these windows and runs collide; their bytes don't.  Also with all windows dealt out."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    texts = [t for p in (64, 104, 128, 256) for t in morse_blocks(p)]
+    texts += [texts[4][:1000] + "!" * 90 + texts[1][300:900], *(w * 20 for w in thue_morse(64))]
+    rows = list(enumerate(texts))
+    found = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: sum(mask) for i, (_, mask) in enumerate(removed(rows))}
+    assert {r["doc_id"]: r["n_removed"] for r in found} == want
+    assert sum(not n for n in want.values()) > 4 and want[8] > 1000
+    few = suffix_dedup.digest(spark.createDataFrame(rows[:8], "doc_id long, text string")).collect()
+    assert {r["n_removed"] for r in few} == {0}
+
+
+def test_windows_of_one_fingerprint_are_told_by_bytes(monkeypatch):
+    """With a fingerprint that tells nothing, equal windows of a name are found, and no others."""
+    monkeypatch.setattr(_bytes.Prefix, "windows", lambda self, k: np.zeros(max(0, len(self.sums) + 7 - k), np.uint64))
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 99, 3000).astype(np.uint8)
+    raw[1500:1800] = raw[200:500]
+    place = np.arange(0, len(raw) - 199)
+    name = np.zeros(len(place), np.int64)
+    got = suffix_dedup.repeated_bytes(raw, place, name)
+    times = collections.Counter(raw[p : p + 200].tobytes() for p in place)
+    assert got.tolist() == [times[raw[p : p + 200].tobytes()] > 1 for p in place] and got.sum() >= 202
+
+
 def test_structured_words_in_operators(spark):
     one, other = thue_morse(1024)
     docs = spark.createDataFrame([(1, one), (2, other), (3, f"x {one} y"), (4, f"x {other} y z v w")], "doc_id long, text string")

@@ -1,5 +1,6 @@
 """Byte-level BPE by chunks, the alignment of two tokenizers and the prefix trie, against brute force."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -104,10 +105,17 @@ def alignments(rows):
     for i, t in rows:
         a, b, x, y = spelled(both, t or "")
         x, y = ([0, *np.cumsum([len(v) for v in z]).tolist()] for z in (x, y))
-        links = [(a[p], b[q]) for p in range(len(a)) for q in range(max(0, np.searchsorted(y, x[p], "right") - 1), len(b)) if y[q] < x[p + 1] and x[p] < y[q + 1]] if len(a) < 4000 else None
+        links, q = [], 0
+        for p in range(len(a)):
+            while y[q + 1] <= x[p]:
+                q += 1
+            r = q
+            while r < len(b) and y[r] < x[p + 1]:
+                links.append((a[p], b[r]))
+                r += 1
         cuts, at, groups = sorted(set(x[1:]) & set(y[1:])), [0, 0], []
         for c in cuts:
-            ends = x.index(c), y.index(c)
+            ends = bisect.bisect_left(x, c), bisect.bisect_left(y, c)
             groups.append(",".join(map(str, a[at[0] : ends[0]])) + "|" + ",".join(map(str, b[at[1] : ends[1]])))
             at = ends
         counts.update(links)
