@@ -227,7 +227,7 @@ def pair_counts(rows: DataFrame, sent) -> DataFrame:
         for at in range(0, len(held[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in held], ["pair", "n"])
 
-    counts = rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = cut(rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     b = F.col("pair").bitwiseAND(0xFFFFFFFF)
     most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))  # a row for each id of b
     return cut(counts.join(F.broadcast(most), b == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
