@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybrook.functions.urls import url_tokens
 from tallybrook.operators.lookup import one_row
+from tallybrook.sources.storage import cut, workers_import
 
 MIN_DF, MOST_TERMS, DIMENSIONS = 5, 50_000, 50  # the tables broadcast below have MOST_TERMS rows at most
+SPARE, ROUNDS, STRIPE = 10, 30, 1024  # directions beyond the wanted ones, rounds at most, terms of a stripe
 
 
 def terms(text: Column) -> Column:
@@ -46,21 +47,77 @@ def tfidf(texts: DataFrame, text: str, terms_: DataFrame) -> DataFrame:
 
 def directions(train: DataFrame, text: str, terms_: DataFrame, k: int = DIMENSIONS) -> DataFrame:
     """term and direction: the k first right singular vectors of the TF-IDF matrix of train's rows, each with its
-    largest entry positive; fewer where there are fewer terms."""
+    largest entry positive; fewer where there are fewer terms, or no more variance.
+
+    A randomised range finder: a few more directions than wanted are multiplied by the matrix and its transpose, over
+    blocks of rows in Arrow, and made orthonormal, until the wanted ones settle.  The directions are MOST_TERMS times
+    k + SPARE numbers (24 MB) at most, which the driver sends out and gets back as sums by stripes of terms.
+    """
     spark = train.sparkSession
-    names = [r["term"] for r in terms_.orderBy("at").collect()]  # MOST_TERMS at most
+    workers_import(spark)
     schema = "term string, direction array<double>"
-    if not names:
+    size = terms_.count()
+    if not size:
         return spark.createDataFrame([], schema)
     rows = train.groupBy(text).agg(F.count(F.lit(1)).alias("rows"))
     scaled = tfidf(train, text, terms_).join(rows, text).select(text, "at", (F.col("weight") * F.sqrt("rows")).alias("w"))  # a text weighs as much as its rows together
-    scaled = scaled.groupBy(text).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("all"))
-    size = len(names)
-    vectors = scaled.select("all").rdd.map(lambda r: Vectors.sparse(size, [x["at"] for x in r["all"]], [x["w"] for x in r["all"]])).cache()
-    v = RowMatrix(vectors, numCols=size).computeSVD(min(k, size)).V.toArray()
-    vectors.unpersist()
+    held = scaled.groupBy(text).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("all"))
+    matrix = cut(held.select(F.col("all.at").cast("array<int>").alias("at"), F.col("all.w").alias("w")))
+    wide = min(size, k + SPARE)
+    q = np.linalg.qr(np.random.default_rng(11).normal(size=(size, wide)))[0]
+    before = None
+    for _ in range(ROUNDS):
+        y = gram_product(matrix, q)
+        values, turn = np.linalg.eigh(q.T @ y)
+        order = np.argsort(values)[::-1]
+        values, v = np.maximum(values[order], 0.0), q @ turn[:, order]
+        kept = min(k, int((np.sqrt(values) > 1e-9 * np.sqrt(values[0])).sum())) if values[0] > 0 else 0
+        v = v[:, :kept]
+        if wide == size or (before is not None and before.shape == v.shape and np.abs(np.abs((before * v).sum(0)) - 1).max(initial=0) < 1e-12):
+            break
+        before, q = v, np.linalg.qr(y)[0]
     v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-    return spark.createDataFrame([(n, [float(x) for x in row]) for n, row in zip(names, v, strict=True)], schema)
+    placed = spark.createDataFrame(pa.table({"at": pa.array(np.arange(size)), "direction": lists(v)}))
+    return terms_.select("term", F.col("at").cast("long").alias("at")).join(F.broadcast(placed), "at").select("term", "direction")  # MOST_TERMS rows at most
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    return pa.array(x.tolist(), pa.list_(pa.float64()))
+
+
+def gram_product(matrix: DataFrame, q: np.ndarray) -> np.ndarray:
+    """The matrix's transpose times the matrix times q: rows are sparse (at, w), sums meet by stripes of terms."""
+    spark, (size, wide) = matrix.sparkSession, q.shape
+    sent = spark.sparkContext.broadcast(q)
+
+    def multiply(batches):
+        out = np.zeros((size, wide))
+        for b in batches:
+            at, w = b.column(0), b.column(1)
+            n = np.diff(at.offsets.to_numpy())
+            row, at, w = np.repeat(np.arange(len(n)), n), at.flatten().to_numpy(), w.flatten().to_numpy()
+            begins = np.cumsum(n) - n
+            along = np.add.reduceat(np.vstack([sent.value[at] * w[:, None], np.zeros((1, wide))]), np.minimum(begins, len(at)), axis=0)
+            along[n == 0] = 0.0
+            for a in range(0, wide, 16):  # a few columns at a time
+                some = along[row, a : a + 16] * w[:, None]
+                for c in range(some.shape[1]):
+                    out[:, a + c] += np.bincount(at, some[:, c], size)
+        stripes = range(0, size, STRIPE)
+        yield pa.RecordBatch.from_pydict({"stripe": pa.array(stripes, pa.int32()), "sums": pa.array([out[a : a + STRIPE].tobytes() for a in stripes], pa.binary())})
+
+    def add(batches):
+        held = {}
+        for b in batches:
+            for stripe, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[stripe] = held.get(stripe, 0.0) + np.frombuffer(sums)
+        for stripe, sums in held.items():
+            yield pa.RecordBatch.from_pydict({"stripe": pa.array([stripe], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    form = "stripe int, sums binary"
+    parts = matrix.mapInArrow(multiply, form).repartition("stripe").mapInArrow(add, form).collect()  # the sums of all terms
+    sent.destroy()
+    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(parts, key=lambda r: r["stripe"])]).reshape(size, wide)
 
 
 def width(along: DataFrame) -> int:

@@ -48,6 +48,26 @@ def test_embedding_equals_numpy(spark):
             assert p not in got
 
 
+def test_directions_equal_numpy_on_many_terms(spark):
+    """More terms than directions, in many partitions: the same subspace, and the same singular values."""
+    rng = np.random.default_rng(2)
+    paths = ["/" + "/".join(f"w{int(v)}x" for v in np.minimum(rng.zipf(1.4, 6), 150)) for _ in range(600)]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(7)
+    words = E.vocabulary(df, "path", min_df=2).cache()
+    rows = E.tfidf(df, "path", words).collect()
+    n, x = words.count(), {}
+    for r in rows:
+        x.setdefault(r["path"], np.zeros(n))[r["at"]] = r["weight"]
+    m = np.stack([x[p] for p in paths if p in x])
+    _, s, vt = np.linalg.svd(m)
+    k = 5
+    v = np.array([r["direction"] for r in E.directions(df, "path", words, k).join(words, "term").orderBy("at").collect()])
+    assert n > k + E.SPARE and v.shape == (n, k)
+    assert np.allclose(v.T @ v, np.eye(k), atol=1e-9)
+    assert np.allclose(np.linalg.norm(m @ v, axis=0), s[:k], rtol=1e-7)
+    assert np.linalg.norm(v - vt[:k].T @ (vt[:k] @ v)) < 1e-4
+
+
 def test_no_terms(spark):
     none = spark.createDataFrame([(None,), ("",)], "path string")
     words = E.vocabulary(none, "path")
