@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cumulative(df: DataFrame, c: str, by: list[str] | None = None) -> DataFrame:
-    """by, value, n, upto and total: of each different value of a column its rows, the rows up to it, and all rows that have one.
+def cumulative(df: DataFrame, c: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """by, value, n, upto and total: of each different value of a column its rows, the rows up to it, and all rows that have
+    one; with a weight column the rows' weights.
 
     The running count is taken within ranges of values plus the ranges' totals; a group may lie in many ranges.
     """
     by = by or []
-    counts = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("double").alias("value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     parts = counts.repartitionByRange(*by, "value").withColumn("part_", F.spark_partition_id())
     own = parts.withColumn("own_", F.sum("n").over(Window.partitionBy("part_", *by).orderBy("value")))
     totals = parts.groupBy("part_", *by).agg(F.sum("n").alias("t_"))  # a row for each range, and one more for each group that begins in it

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.operators.lookup import one_row
+from tallybrook.operators.ranks import cumulative
 from tallybrook.sources.fixtures import hash_number
+from tallybrook.sources.storage import cut
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
@@ -141,8 +143,62 @@ def category_win_rate(cells: DataFrame, page: list[str], category: str, a: str,
     return per.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("a") < F.col("b"), 1.0).otherwise(0.0)).alias("win_rate"))
 
 
-def subsets(pages: DataFrame, page: str, parts: int, n: int, num: str, den: str, seed: str) -> DataFrame:
-    """subset, n_pages, ratio of n random halves (parts=2), quarters (4), ... of the pages, by hash."""
-    asked = pages.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("subset"))
-    kept = asked.where(F.pmod(hash_number(F.lit(seed), "subset", page), F.lit(parts)) == 0)
+def least_hashed(rows: DataFrame, by: list[str], order: list[str], wanted: Column, seed: str) -> DataFrame:
+    """Of each group of rows the wanted number of least hash, ties by the order columns; all if there are fewer.
+
+    Rows are counted by group and range of the hash; whole ranges are taken or left, and only the range that the number
+    falls into is ranked, so that no task sorts a group.  wanted may use the group's columns and its size, size_.
+    """
+    parts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = rows.withColumn("h_", hash_number(F.lit(seed), *by, *order)).withColumn("b_", F.shiftright("h_", 60 - (parts - 1).bit_length()))
+    sizes = own.groupBy(*by, "b_").agg(F.count(F.lit(1)).alias("n_"))  # a row for each range of each group
+    group = Window.partitionBy(*by)
+    ahead = sizes.withColumns({"upto_": F.sum("n_").over(group.orderBy("b_")), "size_": F.sum("n_").over(group)}).withColumn("left_", wanted - (F.col("upto_") - F.col("n_"))).where("left_ > 0")
+    met = own.join(ahead.select(*by, "b_", "n_", "left_"), [*by, "b_"])
+    ranked = met.where("left_ < n_").withColumn("r_", F.row_number().over(Window.partitionBy(*by, "b_").orderBy("h_", *order))).where("r_ <= left_")
+    return met.where("left_ >= n_").select(*rows.columns).unionByName(ranked.select(*rows.columns))
+
+
+def subsets(pages: DataFrame, page: str, share: float, n: int, num: str, den: str, seed: str) -> DataFrame:
+    """subset, n_pages, ratio of n random subsets of exactly this share of the pages (rounded to even halves, 1 at least)."""
+    asked = pages.select(page, num, den, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("subset"))
+    kept = least_hashed(asked, ["subset"], [page], F.greatest(F.lit(1), F.bround(F.col("size_") * share)).cast("long"), seed)
     return kept.groupBy("subset").agg(F.count(F.lit(1)).alias("n_pages"), F.try_divide(F.sum(num).cast("double"), F.sum(den).cast("double")).alias("ratio"))
+
+
+def page_correlated(rows: DataFrame, page: str, order: list[str], pred: str, actual: str, pages: int, draws: int, trials: int, seed: str) -> DataFrame:
+    """Totals of trials that visit pages of two rows and more with replacement and take all their rows, visit by visit.
+
+    A trial that has met more than twice the wanted rows keeps the wanted number of them, without replacement.
+    """
+    sums = rows.groupBy(page).agg(F.count(F.lit(1)).alias("rows_")).where("rows_ >= 2")
+    chosen = drawn(slots(rows.sparkSession, trials, pages), numbered(sums, [page]), seed).select("trial", "slot", page)
+    met = chosen.join(rows.select(page, *order, pred, actual), page).select("trial", "slot", *order, pred, actual)
+    wanted = F.when(F.col("size_") > 2 * draws, draws).otherwise(F.col("size_"))
+    return totals(least_hashed(met, ["trial"], ["slot", *order], wanted, seed), pred, actual)
+
+
+def rank_metrics(rows: DataFrame, by: list[str], order: list[str], pred: str, actual: str, trials: int, seed: str) -> DataFrame:
+    """by, metric, value, low, high: mean and median absolute error and rank correlation, with intervals of row resamples.
+
+    Each row has a Poisson weight in each trial, and 1 in trial 0, which gives the value.  The median is the least error
+    up to which half of the weight lies; ranks of equal values are averaged over their weight.  Weights of equal values
+    are added up first, and running sums are taken over ranges, so no task sees a trial's rows.
+    """
+    one = rows.select(*by, *order, F.col(pred).cast("double").alias("p_"), F.col(actual).cast("double").alias("a_"), F.explode(F.sequence(F.lit(0), F.lit(trials))).alias("trial"))
+    w = F.when(F.col("trial") == 0, 1).otherwise(poisson(hash_number(F.lit(seed), "trial", *order)))
+    own = [*by, "trial"]
+    pairs = one.withColumn("w_", w).where("w_ > 0").groupBy(*own, "p_", "a_").agg(F.sum("w_").alias("w_"))
+    pairs = cut(pairs.withColumn("gap_", F.abs(F.col("p_") - F.col("a_"))))
+    half = cumulative(pairs, "gap_", own, "w_").groupBy(*own).agg(F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("value"))).alias("median_ae"))
+    ranks = lambda c, r: cumulative(pairs, c, own, "w_").select(*own, F.col("value").alias(c), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(r))
+    both = pairs.join(ranks("p_", "rp_"), [*own, "p_"]).join(ranks("a_", "ra_"), [*own, "a_"])
+    weigh = lambda x: F.sum(F.col("w_") * x).cast("double")
+    rp, ra = F.col("rp_"), F.col("ra_")
+    m = both.groupBy(*own).agg(F.sum("w_").cast("double").alias("n"), weigh(F.col("gap_")).alias("gap"), *(weigh(x).alias(k) for k, x in {"sp": rp, "sa": ra, "spp": rp * rp, "saa": ra * ra, "spa": rp * ra}.items()))
+    vp, va = (F.col("n") * F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") for x in "pa")
+    rho = F.when((vp > 0) & (va > 0), (F.col("n") * F.col("spa") - F.col("sp") * F.col("sa")) / F.sqrt(vp * va))
+    per = m.select(*own, (F.col("gap") / F.col("n")).alias("mae"), rho.alias("spearman")).join(half, own)
+    long = per.select(*own, F.expr("stack(3, 'mae', mae, 'median_ae', median_ae, 'spearman', spearman) as (metric, v)"))
+    later = F.when(F.col("trial") > 0, F.col("v"))  # trials values at most
+    return long.groupBy(*by, "metric").agg(F.max(F.when(F.col("trial") == 0, F.col("v"))).alias("value"), F.percentile(later, 0.025).alias("low"), F.percentile(later, 0.975).alias("high"))

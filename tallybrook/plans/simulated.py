@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -29,6 +29,21 @@ _NUMBERED = f"{_PAGES}, nb AS (SELECT *, row_number() OVER (ORDER BY {S.HASH.for
 _DRAW = "{} AS (SELECT t.range AS trial, s.range AS slot, CAST(('0x' || substr(md5('{}|' || t.range::VARCHAR || '|' || s.range::VARCHAR), 1, 15)) AS BIGINT) AS h FROM range({}) t, range({}) s)"
 
 
+#: The Poisson weight of a 60-bit hash in SQL: how many cumulative probabilities its upper 52 bits exceed.
+def _poisson_sql(h: str) -> str:
+    total, term, parts = 0.0, math.exp(-1), []
+    for k in range(1, 18):
+        total += term
+        parts.append(f"((({h}) >> 8) / 4503599627370496.0::DOUBLE >= {total!r}::DOUBLE)::INTEGER")
+        term /= k
+    return "(" + " + ".join(parts) + ")"
+
+
+def _weight(seed: str, *key: str) -> str:
+    text = " || '|' || ".join(f"{k}::VARCHAR" for k in key)
+    return _poisson_sql(f"CAST(('0x' || substr(md5('{seed}|' || {text}), 1, 15)) AS BIGINT)")
+
+
 def graded(spark, sf):
     return TT.predicted(spark, sf, "mean")
 
@@ -68,7 +83,12 @@ def clustered_totals(spark, sf):
     return rounded(M.error_stats(M.clustered(log, "page_domain", ["page_idx", "pos"], "pred", "transfer_bytes", 5, 50, 20, "c")))
 
 
-@query()
+def _ratio_sql(metric: str, rows: str, key: str, num: str, den: str, trials: int, seed: str) -> str:
+    per = f"SELECT trial, sum(w * {num}) / sum(w * {den}) AS r FROM (SELECT *, {_weight(seed, 'trial', key)} AS w FROM {rows}, (SELECT range AS trial FROM range(1, {trials + 1}))) GROUP BY 1"
+    return f"SELECT '{metric}' AS metric, round((SELECT sum({num}) / sum({den}) FROM {rows}), 6) AS value, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM ({per})"
+
+
+@query(f"""WITH {_PAGES}, gp AS (SELECT page_idx, sum(abs(pred - transfer_bytes)) AS gap, count(*)::DOUBLE AS n FROM pred GROUP BY 1) {_ratio_sql('ratio', 'pg', 'page_domain', 'p', 'a', 200, 'b')} UNION ALL {_ratio_sql('mae', 'gp', 'page_idx', 'gap', 'n', 50, 'm')}""")
 def bootstrap_intervals(spark, sf):
     """SIM1-2: intervals of a ratio of page sums and of a mean error, by Poisson weights."""
     g = graded(spark, sf)
@@ -78,11 +98,42 @@ def bootstrap_intervals(spark, sf):
     return rounded(ratio.unionByName(M.bootstrap_ratio(gap, ["page_idx"], "gap", "n", 50, "m").select(F.lit("mae").alias("metric"), F.col("ratio").alias("value"), "low", "high")))
 
 
-@query(f"""WITH {_PAGES}, x AS (SELECT page_domain, p, a, unnest(range(1, 21)) AS subset FROM pg) SELECT subset, count(*) AS n_pages, round(sum(p) / sum(a), 6) AS ratio FROM x WHERE CAST(('0x' || substr(md5('h|' || subset::VARCHAR || '|' || page_domain), 1, 15)) AS BIGINT) % 2 = 0 GROUP BY subset""")
+def _subsets_sql(name: str, share: float, seed: str) -> str:
+    h = "CAST(('0x' || substr(md5('" + seed + "|' || subset::VARCHAR || '|' || page_domain), 1, 15)) AS BIGINT)"
+    return f"""SELECT '{name}' AS size, subset, count(*) AS n_pages, round(sum(p) / sum(a), 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY {h}, page_domain) AS r, count(*) OVER (PARTITION BY subset) AS n FROM x) WHERE r <= greatest(1, round_even(n * {share}::DOUBLE, 0)) GROUP BY subset"""
+
+
+@query(f"""WITH {_PAGES}, x AS (SELECT page_domain, p, a, unnest(range(1, 21)) AS subset FROM pg) {_subsets_sql('half', 0.5, 'h')} UNION ALL {_subsets_sql('quarter', 0.25, 'q')}""")
 def page_halves(spark, sf):
-    """SIM10: the ratio over random halves of the pages."""
+    """SIM10: the ratio over random subsets of exactly half, and a quarter, of the pages."""
     pages = graded(spark, sf).groupBy("page_domain").agg(F.sum("pred").alias("p"), F.sum("transfer_bytes").alias("a"))
-    return rounded(M.subsets(pages, "page_domain", 2, 20, "p", "a", "h"))
+    some = (M.subsets(pages, "page_domain", share, 20, "p", "a", seed).withColumn("size", F.lit(name)) for name, share, seed in (("half", 0.5, "h"), ("quarter", 0.25, "q")))
+    return rounded(S.union_all(*some))
+
+
+@query(f"""WITH {TT._chain('mean')}, it AS (SELECT page_domain, row_number() OVER (ORDER BY {S.HASH.format('page_domain')}, page_domain) - 1 AS i FROM pred GROUP BY 1 HAVING count(*) >= 2), {_DRAW.format('dr', 'p', 30, 6)},
+ met AS (SELECT trial, slot, page_idx, pos, pred AS p, transfer_bytes AS a, CAST(('0x' || substr(md5('p|' || trial::VARCHAR || '|' || slot::VARCHAR || '|' || page_idx::VARCHAR || '|' || pos::VARCHAR), 1, 15)) AS BIGINT) AS hr FROM dr JOIN it ON dr.h % (SELECT count(*) FROM it) = it.i JOIN pred USING (page_domain)),
+ near AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY hr, slot, page_idx, pos) AS r, count(*) OVER (PARTITION BY trial) AS n FROM met), tt AS (SELECT trial, sum(p) AS p, sum(a)::DOUBLE AS a FROM near WHERE n <= 2 * 150 OR r <= 150 GROUP BY 1) {_ERRORS}""")
+def page_correlated_totals(spark, sf):
+    """SIM7: page-correlated draws: whole pages, thinned where they hold more than twice the wanted rows."""
+    return rounded(M.error_stats(M.page_correlated(graded(spark, sf), "page_domain", ["page_idx", "pos"], "pred", "transfer_bytes", 6, 150, 30, "p")))
+
+
+_HIT = f"{TT._chain('median')}, k AS (SELECT DISTINCT host, path FROM tr), mh AS (SELECT host, avg(transfer_bytes) AS v FROM tr GROUP BY 1), hit AS (SELECT pred.page_idx, pred.pos, pred.pred, pred.transfer_bytes AS y, k.host IS NOT NULL AS seen FROM pred LEFT JOIN k ON pred.host = k.host AND pred.path = k.path)"
+_TRIALS = 20
+
+
+@query(f"""WITH {_HIT}, x AS (SELECT seen, pred AS p, y::DOUBLE AS a, abs(pred - y) AS g, trial, CASE WHEN trial = 0 THEN 1 ELSE {_weight('r', 'trial', 'page_idx', 'pos')} END AS w FROM hit, (SELECT range AS trial FROM range({_TRIALS + 1}))), z AS (SELECT * FROM x WHERE w > 0),
+ o AS (SELECT *, sum(w) OVER (PARTITION BY seen, trial ORDER BY g) AS upto, sum(w) OVER (PARTITION BY seen, trial) AS total, sum(w) OVER (PARTITION BY seen, trial ORDER BY p) - (sum(w) OVER (PARTITION BY seen, trial, p) - 1) / 2.0::DOUBLE AS rp, sum(w) OVER (PARTITION BY seen, trial ORDER BY a) - (sum(w) OVER (PARTITION BY seen, trial, a) - 1) / 2.0::DOUBLE AS ra FROM z),
+ s AS (SELECT seen, trial, sum(w)::DOUBLE AS n, sum(w * g) AS gap, min(g) FILTER (WHERE upto * 2 >= total) AS med, sum(w * rp) AS sp, sum(w * ra) AS sa, sum(w * rp * rp) AS spp, sum(w * ra * ra) AS saa, sum(w * rp * ra) AS spa FROM o GROUP BY 1, 2),
+ m AS (SELECT seen, trial, gap / n AS mae, med, CASE WHEN n * spp - sp * sp > 0 AND n * saa - sa * sa > 0 THEN (n * spa - sp * sa) / sqrt((n * spp - sp * sp) * (n * saa - sa * sa)) END AS rho FROM s),
+ l AS (SELECT seen, trial, 'mae' AS metric, mae AS v FROM m UNION ALL SELECT seen, trial, 'median_ae', med FROM m UNION ALL SELECT seen, trial, 'spearman', rho FROM m)
+ SELECT seen, metric, round(max(v) FILTER (WHERE trial = 0), 4) AS value, round(quantile_cont(v, 0.025) FILTER (WHERE trial > 0), 4) AS low, round(quantile_cont(v, 0.975) FILTER (WHERE trial > 0), 4) AS high FROM l GROUP BY 1, 2""")
+def seen_unseen_intervals(spark, sf):
+    """SIM1, SIM13: mean and median error and rank correlation on seen and unseen paths, with intervals of row resamples."""
+    train, _ = TT.split(spark, sf)
+    rows = L.coverage(TT.predicted(spark, sf), train, ["host", "path"], "seen")
+    return rounded(M.rank_metrics(rows, ["seen"], ["page_idx", "pos"], "pred", "transfer_bytes", _TRIALS, "r"), 4)
 
 
 @query(f"""WITH {TT._chain('mean')}, pg AS (SELECT page_domain, sum(pred) AS p, count(*)::DOUBLE AS c, sum(transfer_bytes)::DOUBLE AS a FROM pred GROUP BY 1), lv AS (SELECT page_domain, abs(p * (SELECT sum(a) / sum(p) FROM pg) - a) AS ea, abs(c * (SELECT sum(a) / sum(c) FROM pg) - a) AS eb FROM pg),
