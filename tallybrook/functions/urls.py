@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -199,3 +202,9 @@ def rebuilt_url(host: Column, path: Column, length: Column, params: Column) -> C
     there = F.coalesce(path, F.lit("/"))
     left = query_length_left(F.coalesce(length, F.lit(0)), host, there)
     return F.concat(F.lit("https://"), host, there, filler_query(left, F.coalesce(params, F.lit(1))))
+
+
+def under_any(host: Column, suffixes: tuple[str, ...]) -> Column:
+    """Whether a host is one of the suffixes or below one; a null host is not."""
+    low = F.lower(host)
+    return F.coalesce(F.lit(False) if not suffixes else reduce(or_, ((low == x) | low.endswith("." + x) for x in suffixes)), F.lit(False))

@@ -53,6 +53,38 @@ def literal_suffix(pattern: Column) -> Column:
     return F.when(tail.contains("."), tail)
 
 
+def url_keys(url: Column, grams: bool) -> Column:
+    """What patterns without a literal host are looked up by: a URL's words ("t:"), and its runs of three characters ("g:")."""
+    low = F.lower(url)
+    words = F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0), lambda t: F.concat(F.lit("t:"), t))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 2)), lambda i: F.concat(F.lit("g:"), F.substring(low, i, F.lit(3))))
+    return F.array_distinct(F.concat(words, runs) if grams else words)
+
+
+def pattern_keys(pattern: Column) -> Column:
+    """Keys that every URL of a pattern has: its whole words, or without one all runs of three of its literal characters."""
+    low = F.lower(pattern)
+    words = F.transform(F.regexp_extract_all(low, F.lit("(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])"), 0), lambda t: F.concat(F.lit("t:"), t))
+    parts = F.filter(F.split(low, r"\*"), lambda p: F.length(p) >= 3)
+    runs = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.concat(F.lit("g:"), F.substring(p, i, F.lit(3))))))
+    return F.array_distinct(F.when(F.size(words) > 0, words).otherwise(runs))
+
+
+def indexed(exceptions: DataFrame, urls: DataFrame) -> tuple[DataFrame, bool]:
+    """exceptions plus key_, and whether runs of characters are among the keys.
+
+    A literal host's suffix is the key ("h:"); else, of the keys that the pattern's URLs must have, the one that fewest of
+    the asked URLs have.  Only patterns of no three literal characters in a row have none, and meet every URL ("*").
+    """
+    host = literal_suffix(F.col("url_pattern"))
+    loose = exceptions.where(host.isNull()).select("exception_id", F.explode(pattern_keys(F.col("url_pattern"))).alias("key_"))
+    grams = bool(loose.where(F.col("key_").startswith("g:")).limit(1).collect())
+    wanted = loose.select("key_").distinct()
+    held = urls.select("url").distinct().select(F.explode(url_keys(F.col("url"), grams)).alias("key_")).join(_sized(wanted), "key_", "left_semi").groupBy("key_").agg(F.count(F.lit(1)).alias("n_"))
+    best = loose.join(held, "key_", "left").groupBy("exception_id").agg(F.min(F.struct(F.coalesce("n_", F.lit(0)).alias("n_"), "key_"))["key_"].alias("rare_"))
+    return exceptions.join(best, "exception_id", "left").withColumn("key_", F.coalesce(F.concat(F.lit("h:"), host), "rare_", F.lit("*"))).drop("rare_"), grams
+
+
 def listed_hosts(rules: DataFrame, strict: bool = False) -> DataFrame:
     """Hosts that the categories in force name; path-scoped entries never match a host."""
     wanted = (*BASE_CATEGORIES, "Content") if strict else BASE_CATEGORIES
@@ -78,10 +110,12 @@ def decide(requests: DataFrame, listed: DataFrame, entities: DataFrame, exceptio
     own = chain.join(_sized(entities), F.col("suffix_") == F.lower("resource")).select("host_", F.lower("property").alias("property_")).distinct()
     pages = pairs.select("page_").distinct().where("page_ is not null").select("page_", F.explode(suffix_chain(F.col("page_"))).alias("property_"))
     entity_pages = pairs.select("host_", "page_").distinct().join(pages, "page_").join(own, ["host_", "property_"], "left_semi").select("host_", "page_").distinct().withColumn("entity_", F.lit(True))
-    keyed = exceptions.withColumns({"key_": literal_suffix(F.col("url_pattern")), "url_re_": glob_regex(F.col("url_pattern")), "top_re_": F.when(F.col("top_pattern").isNotNull(), glob_regex(F.col("top_pattern")))})
-    asked = pairs.select("url", "page_url", F.explode(F.concat(suffix_chain(F.coalesce("host_", F.lit("")), 1), F.array(F.lit("*")))).alias("key_"))
+    keyed, grams = indexed(exceptions, pairs)
+    keyed = keyed.withColumns({"url_re_": glob_regex(F.col("url_pattern")), "top_re_": F.when(F.col("top_pattern").isNotNull(), glob_regex(F.col("top_pattern")))})
+    suffixes = F.transform(suffix_chain(F.coalesce("host_", F.lit("")), 1), lambda h: F.concat(F.lit("h:"), h))
+    asked = pairs.select("url", "page_url", F.explode(F.concat(suffixes, F.coalesce(url_keys(F.col("url"), grams), F.array().cast("array<string>")), F.array(F.lit("*")))).alias("key_"))
     fit = F.expr("url rlike url_re_") & (F.col("top_re_").isNull() | F.expr("page_url rlike top_re_"))
-    excepted = asked.join(_sized(keyed.withColumn("key_", F.coalesce("key_", F.lit("*")))), "key_").where(fit).groupBy("url", "page_url").agg(F.min_by("category", "exception_id").alias("exception_"))
+    excepted = asked.join(_sized(keyed), "key_").where(fit).groupBy("url", "page_url").agg(F.min_by("category", "exception_id").alias("exception_"))
     all_ = pairs.join(on_list, "host_", "left").join(skipped, "host_", "left").join(entity_pages, ["host_", "page_"], "left").join(excepted, ["url", "page_url"], "left")
     reason = (
         F.when(F.col("listed_").isNull(), "not-listed").when(~is_third_party(F.col("host_"), F.col("page_")), "first-party").when(F.col("entity_").isNotNull(), "same-entity")
@@ -89,3 +123,14 @@ def decide(requests: DataFrame, listed: DataFrame, entities: DataFrame, exceptio
     )
     decided = all_.select("url", "page_url", reason.alias("reason"))
     return requests.join(decided, ["url", "page_url"], "left").withColumn("would_block", F.col("reason") == "blocked")
+
+
+def drift(pages: DataFrame, delta: str, touched: str) -> DataFrame:
+    """One row: page loads' deltas where something was blocked and where not, the latter's mean as drift of every page, and
+    the whole delta in a blocked and a drift part."""
+    t, d = F.col(touched), F.col(delta)
+    total = lambda where: F.coalesce(F.sum(F.when(where, d)), F.lit(0)).cast("long")
+    m = pages.agg(F.count_if(t).alias("n_pages_with_blocks"), F.count_if(~t).alias("n_pages_without_blocks"), F.coalesce(F.sum(d), F.lit(0)).cast("long").alias("measured_delta"), total(t).alias("delta_with_blocks"), total(~t).alias("delta_without_blocks"))
+    m = m.withColumn("drift_per_page", F.coalesce(F.try_divide("delta_without_blocks", "n_pages_without_blocks"), F.lit(0.0)))
+    moved = F.col("drift_per_page") * F.col("n_pages_with_blocks")
+    return m.withColumns({"blocked_part": F.col("delta_with_blocks") - moved, "drift_part": moved + F.col("delta_without_blocks")})

@@ -171,6 +171,19 @@ def hash_samples(spark, sf):
     return S.requests(spark, sf).agg(F.count_if(url < 5).alias("url_5pct"), F.count_if(both < 10).alias("page_url_10pct"), F.count_if(page % 4 == 0).alias("pages_quarter"), F.count_distinct(F.when(page % 4 == 0, F.col("page_domain"))).alias("whole_pages"), F.count_if(page == 0).alias("pages_eighth"))
 
 
+_TYPES = {"script": ("application/javascript", "text/javascript; charset=utf-8", "application/x-javascript"), "image": ("image/gif", "IMAGE/WEBP", "image/svg+xml"), "html": ("text/html; charset=UTF-8", "text/html", "text/plain"), "other": ("application/json", "font/woff2", "video/mp4")}
+_TYPE_SQL = "CASE resource_type " + " ".join(f"WHEN '{k}' THEN CASE pos % 4 WHEN 0 THEN NULL WHEN 1 THEN '{a}' WHEN 2 THEN '{b}' ELSE '{c}' END" for k, (a, b, c) in _TYPES.items()) + " END"
+
+
+@query(f"""WITH {S.WITH_REQUESTS}, t AS (SELECT transfer_bytes, trim(split_part(lower({_TYPE_SQL}), ';', 1)) AS ct FROM requests), g AS (SELECT transfer_bytes AS y, CASE WHEN ct LIKE '%javascript' THEN 'javascript' WHEN ct LIKE 'image/%' THEN 'image' WHEN ct = 'text/html' THEN 'html' WHEN ct = 'text/plain' THEN 'text' WHEN ct = 'application/json' THEN 'json' WHEN ct = 'video/mp4' THEN 'video' ELSE 'other' END AS content_group FROM t)
+ SELECT content_group, count(*) AS n, round(avg(y), 4) AS mean_bytes, round(median(y), 4) AS median_bytes FROM g GROUP BY 1""")
+def content_groups(spark, sf):
+    """REQ9: sizes by group of the content type; parameters and case of the type don't count, unknown types are other."""
+    log = S.requests(spark, sf).withColumn("content_type", F.expr(_TYPE_SQL)).withColumn("content_group", R.content_group(F.trim(F.split_part(F.lower("content_type"), F.lit(";"), F.lit(1)))))
+    counts = log.groupBy("content_group").agg(F.count(F.lit(1)).alias("n"), F.avg("transfer_bytes").alias("mean_bytes"))
+    return rounded(counts.join(percentiles(log, "transfer_bytes", {"median_bytes": 0.5}, ["content_group"]), "content_group"), 4)
+
+
 @query()
 def block_sample(spark, sf):
     """FLT6: a block sample; random by nature, so rows only."""

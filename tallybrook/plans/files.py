@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tallybrook.functions import urls as U
 from tallybrook.operators import classify as C
+from tallybrook.operators import decide as D
 from tallybrook.operators import lookup as L
 from tallybrook.plans import paired as PP
+from tallybrook.plans import rules as RR
 from tallybrook.plans.features import LHOST, PATH
 from tallybrook.plans.registry import query
 from tallybrook.plans.rules import WITH_BEST
@@ -175,3 +177,27 @@ def summary_report(spark, sf):
     path = scratch(spark, "summary")
     X.write_summary(path, log=S.requests(spark, sf).agg(F.count(F.lit(1)).alias("n")), blocked=S.blocked(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_idx").alias("pages")))
     return spark.read.schema("log struct<n: bigint>, blocked struct<n: bigint, pages: bigint>").json(path).select(F.col("log.n").alias("n_requests"), F.col("blocked.n").alias("n_blocked"), F.col("blocked.pages").alias("pages_blocked"))
+
+
+_BLOCK = S.HASH.format("page_idx::VARCHAR") + " % 16"
+
+
+@query(f"""WITH {S.WITH_REQUESTS} SELECT page_idx, pos, url FROM requests WHERE {S.HASH.format("'k|' || (" + _BLOCK + ")::VARCHAR")} % 4 = 0""")
+def file_block_sample(spark, sf):
+    """FLT6: one block in four of a table of sixteen; the others' files are not opened."""
+    path = scratch(spark, "log-blocks")
+    X.write_blocks(S.requests(spark, sf), path, "page_idx", blocks=16)
+    return X.block_sample(spark, path, 4, "k").select("page_idx", "pos", "url")
+
+
+@query(f"WITH {RR.DECIDED} SELECT reason, count(*) AS n, count(*) FILTER (WHERE reason = 'blocked') AS n_blocked FROM decided GROUP BY reason")
+def decisions_by_read_lists(spark, sf):
+    """SRC19: the decision with its entity, exception and skip lists written as the browser keeps them and read again."""
+    path = scratch(spark, "lists")
+    entities = spark.sql(RR._ENTITIES).withColumn("name", F.col("resource"))
+    skips = spark.sql(RR._SKIP).withColumn("filter_expression", F.lit(None).cast("string"))
+    X.write_lists(path, entities, spark.sql(RR._EXCEPTIONS), skips)
+    exceptions = D.active_exceptions(X.exception_list(spark, f"{path}/exceptions"), "142.0", private_browsing=False)
+    skip = X.skip_list(spark, f"{path}/skips").where(D.applies(F.col("filter_expression"), "142.0")).select("pattern")
+    found = D.decide(RR._paged(spark, sf), D.listed_hosts(S.rules(spark)), X.entity_list(spark, f"{path}/entities"), exceptions, skip)
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("would_block").alias("n_blocked"))

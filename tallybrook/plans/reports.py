@@ -17,6 +17,7 @@ from tallybrook.plans import tables as TT
 from tallybrook.plans.features import LHOST, rounded
 from tallybrook.plans.registry import query
 from tallybrook.sources import fixtures as S
+from tallybrook.sources.storage import cached, scratch
 
 _ENTRIES = "SELECT * FROM (VALUES ('adnet.example', 1.2), ('tag.adnet.example', 0.7), ('metrics.example', 1.5)) AS t(key, scale)"
 
@@ -28,12 +29,18 @@ def levelling_weights(spark, sf):
     return G.levelling_weights(hosts, spark.sql(_ENTRIES))
 
 
-@query()
+_WEIGHTS = f"""{S.WITH_PAIRED}, wt AS (SELECT CASE WHEN ends_with({LHOST}, 'tag.adnet.example') THEN 'tag.adnet.example' WHEN ends_with({LHOST}, 'adnet.example') THEN 'adnet.example' ELSE 'metrics.example' END AS key, count(*) AS weight FROM blocked WHERE resource_type IN ('script', 'html') GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_WEIGHTS}, e AS (SELECT key, scale::DOUBLE AS scale, coalesce(weight, 0)::DOUBLE AS w FROM ({_ENTRIES}) LEFT JOIN wt USING (key)),
+ r AS (SELECT 0 AS step, list(key ORDER BY key) AS ks, list(scale ORDER BY key) AS v, list(w ORDER BY key) AS ws, NULL::DOUBLE AS mean FROM e
+  UNION ALL SELECT step + 1, ks, list_transform(v, lambda x: least(greatest(x / m, 0.1::DOUBLE), 4.0::DOUBLE)), ws, m FROM (SELECT *, list_inner_product(v, ws) / list_sum(ws) AS m FROM r) WHERE step < 80 AND list_sum(ws) > 0 AND (mean IS NULL OR abs(mean - 1) >= 1e-9))
+ SELECT unnest(ks) AS key, round(unnest(v), 9) AS scale FROM (SELECT ks, v FROM r ORDER BY step DESC LIMIT 1)""")
 def levelled_scales(spark, sf):
     """AGG45: the entries' scales, levelled to a weighted mean of one."""
     weights = {r["key"]: r["weight"] for r in levelling_weights(spark, sf).collect()}  # a row for each entry
     scales = G.level({r["key"]: float(r["scale"]) for r in spark.sql(_ENTRIES).collect()}, weights)
-    return spark.createDataFrame([(k, float(v)) for k, v in scales.items()], "key string, scale double")
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in scales.items()], "key string, scale double"), 9)
 
 
 @query(f"""WITH {TT._chain('mean')}, a AS (SELECT page_domain, sum(pred) / 2 AS p FROM pred GROUP BY 1), b AS (SELECT page_domain, sum(transfer_bytes)::DOUBLE AS y FROM tr GROUP BY 1) SELECT count(*) AS n_domains, round(sum(p) / sum(y), 6) AS ratio FROM a JOIN b USING (page_domain)""")
@@ -102,8 +109,7 @@ def estimate_questions(spark, sf):
 @query(f"""WITH {PP._CELLS}, b AS (SELECT width, n_aborted, diff_bytes FROM cells WHERE NOT (host LIKE '%site3.adnet.example' OR host LIKE '%site4.adnet.example')) SELECT width, count(*) AS n, round(sum(diff_bytes)::DOUBLE / sum(n_aborted), 6) AS per_request FROM b GROUP BY width""")
 def cascade_without_consent(spark, sf):
     """FLT16, AGG39: the cascade for each request, hosts of consent managers left out."""
-    consent = F.col("host").endswith("site3.adnet.example") | F.col("host").endswith("site4.adnet.example")
-    g = PP.cells(spark, sf).where(~consent).groupBy("width").agg(F.count(F.lit(1)).alias("n"), (F.sum("diff_bytes").cast("double") / F.sum("n_aborted")).alias("per_request"))
+    g = PP.cells(spark, sf).where(~U.under_any(F.col("host"), ("site3.adnet.example", "site4.adnet.example"))).groupBy("width").agg(F.count(F.lit(1)).alias("n"), (F.sum("diff_bytes").cast("double") / F.sum("n_aborted")).alias("per_request"))
     return rounded(g)
 
 
@@ -112,3 +118,11 @@ def blocked_price_errors(spark, sf):
     """AGG26, SNK6: a flat price for blocked requests against what was observed."""
     e = V.errors(P.bag_match(S.blocked(spark, sf), S.control(spark, sf)).select("rep", F.coalesce("observed_bytes", F.lit(0)).alias("a"), F.lit(25000).alias("p")), "p", "a", ["rep"])
     return e.select("rep", "n", F.round("mae", 4).alias("mae"), F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH {PP.MATCHED}, sc AS (WITH {TT.SCORED} SELECT page_idx, pos, est_bytes, match_level FROM scored) SELECT rep, page_idx, pos, url, est_bytes AS predicted, observed_bytes AS observed, match_kind, match_level, est_bytes - observed_bytes AS error FROM bag JOIN sc USING (page_idx, pos)""")
+def score_rows(spark, sf):
+    """SNK6: blocked requests' predicted and observed bytes side by side, written as a table and read again."""
+    priced = TT.scored(spark, sf).select("page_idx", "pos", "est_bytes", "match_level")
+    rows = PP.matched(spark, sf).join(priced, ["page_idx", "pos"]).select("rep", "page_idx", "pos", "url", F.col("est_bytes").alias("predicted"), F.col("observed_bytes").alias("observed"), "match_kind", "match_level", (F.col("est_bytes") - F.col("observed_bytes")).alias("error"))
+    return cached(spark, scratch(spark, "score-rows"), lambda: rows)

@@ -180,3 +180,39 @@ def graded_requests(spark, sf):
     key = ["rep", "page_idx", "url"]
     asked = P.graded(S.control(spark, sf).select(*key).distinct(), S.blocked(spark, sf), S.private(spark, sf), key)
     return asked.groupBy("rep").agg(F.count_if("truth").alias("n_true"), F.count_if(~F.col("truth")).alias("n_false"))
+
+
+_REASONED = f"{S.WITH_PAIRED}, {DECIDED[len(S.WITH_REQUESTS) + 2 :]}"
+
+
+@query(f"""WITH {_REASONED}, o AS (SELECT c.rep, c.page_idx, d.reason, greatest(coalesce(c.transfer_size, 0), 0) AS had, greatest(coalesce(p.transfer_size, 0), 0) AS has, p.pos IS NULL AS gone FROM control_obs c JOIN decided d USING (page_idx, pos) LEFT JOIN private_obs p USING (rep, page_idx, pos)),
+ t AS (SELECT DISTINCT rep, page_idx, true AS touched FROM blocked WHERE failure LIKE '%TRACKING%') SELECT coalesce(touched, false) AS touched, reason, count(*) AS n, count(*) FILTER (WHERE gone) AS n_gone, coalesce(sum(had) FILTER (WHERE gone), 0)::BIGINT AS gone_bytes, coalesce(sum(had - has) FILTER (WHERE NOT gone), 0)::BIGINT AS changed_bytes FROM o LEFT JOIN t USING (rep, page_idx) GROUP BY 1, 2""")
+def delta_by_reason(spark, sf):
+    """PAIR5: what the pages saved, on touched and untouched page loads, by the reason of the decision: bytes of requests
+    that are gone, and changes of those that stayed; all cells add up to the measured delta."""
+    sized = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0))
+    key = ["rep", "page_idx", "pos"]
+    had = S.control(spark, sf).select(*key, sized.alias("had")).join(decided(spark, sf).select("page_idx", "pos", "reason"), ["page_idx", "pos"])
+    o = had.join(S.private(spark, sf).select(*key, sized.alias("has")), key, "left")
+    touched = S.blocked(spark, sf).where("failure like '%TRACKING%'").select("rep", "page_idx").distinct().withColumn("touched", F.lit(True))
+    gone = F.col("has").isNull()
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, c)), F.lit(0)).cast("long")
+    g = o.join(touched, ["rep", "page_idx"], "left").groupBy(F.coalesce("touched", F.lit(False)).alias("touched"), "reason")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("n_gone"), total(F.col("had"), gone).alias("gone_bytes"), total(F.col("had") - F.col("has"), ~gone).alias("changed_bytes"))
+
+
+def _parts_sql(cells: str) -> str:
+    return f"""WITH {_REASONED}, pg AS (SELECT rep, page_idx, sum(greatest(coalesce(c.transfer_size, 0), 0)) - coalesce(any_value(p.y), 0) AS delta FROM control_obs c LEFT JOIN (SELECT rep, page_idx, sum(greatest(coalesce(transfer_size, 0), 0)) AS y FROM private_obs GROUP BY 1, 2) p USING (rep, page_idx) GROUP BY 1, 2),
+ t AS (SELECT DISTINCT rep, page_idx FROM blocked WHERE failure LIKE '%TRACKING%'), m AS (SELECT count(t.rep) AS n1, count(*) - count(t.rep) AS n0, coalesce(sum(delta) FILTER (WHERE t.rep IS NOT NULL), 0)::BIGINT AS d1, coalesce(sum(delta) FILTER (WHERE t.rep IS NULL), 0)::BIGINT AS d0 FROM pg LEFT JOIN t ON pg.rep = t.rep AND pg.page_idx = t.page_idx) {cells}"""
+
+
+@query(_parts_sql("SELECT n1 AS n_pages_with_blocks, n0 AS n_pages_without_blocks, d1 + d0 AS measured_delta, d1 AS delta_with_blocks, d0 AS delta_without_blocks, round(coalesce(d0::DOUBLE / nullif(n0, 0), 0), 6) AS drift_per_page, round(d1 - coalesce(d0::DOUBLE / nullif(n0, 0), 0) * n1, 4) AS blocked_part, round(coalesce(d0::DOUBLE / nullif(n0, 0), 0) * n1 + d0, 4) AS drift_part FROM m"))
+def drift_parts(spark, sf):
+    """PAIR5: the measured delta in what blocking took and what drifted, by the drift of page loads without blocks."""
+    sized = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0))
+    page = ["rep", "page_idx"]
+    total = lambda df, name: df.groupBy(*page).agg(F.sum(sized).alias(name))
+    own = total(S.control(spark, sf), "x").join(total(S.private(spark, sf), "y"), page, "left").withColumn("delta", F.col("x") - F.coalesce("y", F.lit(0)))
+    touched = S.blocked(spark, sf).where("failure like '%TRACKING%'").select(*page).distinct().withColumn("t", F.lit(True))
+    m = D.drift(own.join(touched, page, "left").select("delta", F.coalesce("t", F.lit(False)).alias("touched")), "delta", "touched")
+    return m.select(*(F.round(c, 6 if c == "drift_per_page" else 4).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes))

@@ -238,6 +238,16 @@ def weekly_totals(spark, sf):
     return ST.run_to_end(spark, f"{sf}/events.parquet", ST.weekly, "complete").select("user_id", "week", "n", F.round("total", 4).alias("total"))
 
 
+@query(f"""WITH {TT.SCORED} SELECT page_domain, time_bucket(INTERVAL 7 DAY, date::TIMESTAMP, TIMESTAMP '1970-01-01') AS week, count(*) AS n, sum(est_bytes)::BIGINT AS est_bytes FROM scored GROUP BY 1, 2""")
+def weekly_estimates(spark, sf):
+    """STR1: requests priced by the fitted table as they arrive on a stream, in weekly totals of each page."""
+    from tallybrook.sources.storage import scratch
+
+    path = scratch(spark, "request-stream")
+    S.requests(spark, sf).withColumn("ts", F.col("date").cast("timestamp_ntz")).write.parquet(path)
+    return ST.run_to_end(spark, path, lambda stream: ST.weekly_scored(stream, TT.scorer(spark, sf)), "complete")
+
+
 @query("""SELECT user_id, event_type, 1 AS firsts FROM (SELECT DISTINCT user_id, event_type FROM events)""")
 def first_flags(spark, sf):
     """STR2: the first event of each key on a stream."""

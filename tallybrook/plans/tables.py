@@ -223,12 +223,17 @@ SCORED = f"""{_fit_sql(0.0)}, chosen AS (SELECT level, key, est FROM fitted WHER
  scored AS (SELECT v.*, CAST(round(CASE WHEN quiet THEN (SELECT avg(transfer_bytes) FROM requests WHERE transfer_bytes IS NOT NULL AND http_method IN ('HEAD', 'OPTIONS')) ELSE value END) AS BIGINT) AS est_bytes FROM v)"""
 
 
-def scored(spark, sf):
-    """Requests priced with a 500-entry table that is fitted on the same log."""
-    log = S.requests(spark, sf)
-    body, quiet = T.split_bodyless(log)
+def scorer(spark, sf):
+    """A pricing of request tables with a 500-entry table that is fitted on the log."""
+    body, quiet = T.split_bodyless(S.requests(spark, sf))
     f = fitted(spark, sf).withColumn("gain", F.round("gain", 3))
-    return T.score(log, T.choose(f, 500), T.context_fallback(f, body), T.bodyless_mean(quiet, 300.0))
+    chosen, fallback, mean = T.choose(f, 500), T.context_fallback(f, body), T.bodyless_mean(quiet, 300.0)
+    return lambda log: T.score(log, chosen, fallback, mean)
+
+
+def scored(spark, sf):
+    """Requests priced with a table that is fitted on the same log."""
+    return scorer(spark, sf)(S.requests(spark, sf))
 
 
 @query(f"WITH {SCORED} SELECT page_idx, pos, match_level, est_bytes, round(0.15 + est_bytes / 1024.0 * {_RATE}, 6) AS cpu_ms FROM scored")

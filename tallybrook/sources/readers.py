@@ -133,6 +133,29 @@ def domain_labels(spark: SparkSession, path: str, categories: tuple[str, ...]) -
     return labels
 
 
+def write_blocks(df: DataFrame, path: str, *key: str, blocks: int) -> None:
+    """df in so many blocks by the hash of a key, a folder each, so that a sample of blocks reads no other."""
+    block = F.pmod(hash_number(*key), F.lit(blocks)).cast("int")
+    df.withColumn("block", block).repartition("block").write.mode("overwrite").option("compression", "zstd").partitionBy("block").parquet(path)
+
+
+def block_sample(spark: SparkSession, path: str, every: int, seed: str) -> DataFrame:
+    """The rows of one in so many blocks, chosen by hash.  The choice is a filter on the folders' names: the scan lists and
+    opens the chosen blocks only."""
+    return spark.read.parquet(path).where(F.pmod(hash_number(F.lit(seed), "block"), F.lit(every)) == 0)
+
+
+def write_lists(path: str, entities: DataFrame, exceptions: DataFrame, skips: DataFrame, feature: str = "tracking-protection") -> None:
+    """entities (name, resource, property), exceptions (exception_id, ...) and skips (pattern, filter_expression) as one
+    JSON document each, in the form that the readers take; each list is one document by its form, whose size the lists bound."""
+    own = entities.groupBy("name").agg(F.struct(F.collect_set("property").alias("properties"), F.collect_set("resource").alias("resources")).alias("e"))
+    own.agg(F.map_from_entries(F.collect_list(F.struct("name", "e"))).alias("entities")).write.mode("overwrite").json(f"{path}/entities")
+    item = F.struct(F.array(F.lit(feature)).alias("classifierFeatures"), "filter_expression", "category", F.col("private_only").alias("isPrivateBrowsingOnly"), F.col("url_pattern").alias("urlPattern"), F.col("top_pattern").alias("topLevelUrlPattern"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("exception_id", item.alias("x")))), lambda e: e["x"])
+    exceptions.agg(ordered.alias("data")).write.mode("overwrite").json(f"{path}/exceptions")
+    skips.agg(F.collect_list(F.struct(F.lit(feature).alias("feature"), "pattern", "filter_expression")).alias("data")).write.mode("overwrite").json(f"{path}/skips")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

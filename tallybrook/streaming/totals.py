@@ -17,6 +17,12 @@ def weekly(events: DataFrame) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("week"), "n", "total")
 
 
+def weekly_scored(requests: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """page_domain, week, n and est_bytes of requests that are priced as they arrive: score joins the stream with tables."""
+    priced = score(requests).withWatermark("ts", "7 days").groupBy("page_domain", F.window("ts", "7 days"))
+    return priced.agg(F.count(F.lit(1)).alias("n"), F.sum("est_bytes").alias("est_bytes")).select("page_domain", F.col("window.start").cast("timestamp_ntz").alias("week"), "n", "est_bytes")
+
+
 def firsts(events: DataFrame, horizon: str = "400 days") -> DataFrame:
     """The first event of each (user_id, event_type) within the horizon; state older than that is forgotten."""
     return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type", "ts")
