@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tallybrook.llm._common import cut, prepare, shuffle_width
 
 BLOCK = 8
+SALTS = 16  # tasks that the blocks of one start and first turn are dealt to
 CHUNK = 1 << 16  # conversation ids that are written into one string at a time
 ROOT = "root"
 NONE_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -113,7 +114,8 @@ def nodes_of(blocks: DataFrame, sums: dict[str, str], block: int = BLOCK) -> Dat
     whole = blocks.groupBy("start", digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("least"), F.max("length").alias("length"), *totals, F.any_value(F.struct("b", "end", "words_before", "turns")).alias("one"))
     whole = cut(whole.select("start", "digest", F.col("one.turns")[0]["digest"].alias("opening"), "n", "least", "length", *sums, "one.b", "one.end", "one.words_before", "one.turns"))
     split = whole.groupBy("start", "opening").agg((F.min("digest") != F.max("digest")).alias("split")).where("split")  # siblings that diverge inside the block
-    marked = chained(whole.join(split, ["start", "opening"], "left"))
+    salt = split.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a first turn may open a third of all
+    marked = chained(whole.withColumn("salt", F.pmod(F.hash("digest"), F.lit(SALTS))).join(salt, ["start", "opening", "salt"], "left"))
     each = marked.select("start", "split", "b", "n", "least", "length", *sums, "nodes", F.posexplode("nodes"))
     each = each.select("split", (F.col("b") * block + F.col("pos") + 1).alias("depth"), F.col("col.name").alias("name"), F.when(F.col("pos") == 0, F.col("start")).otherwise(F.get("nodes", F.col("pos") - 1)["name"]).alias("parent"), F.col("col.words").alias("words"), F.col("col.before").alias("before"), "n", "least", "length", *sums)
     plain = each.where("split is null").drop("split")
