@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.operators.ranks import percentiles
+from tallybrook.sources.storage import cut
+
+SMALL = 100_000  # keys of a level's table that is sent to all tasks
 
 
 def one_row(df: DataFrame, totals: DataFrame) -> DataFrame:
@@ -31,7 +34,9 @@ def fall_back(test: DataFrame, train: DataFrame, levels: list[list[str]], target
     """
     out, found, level = test, [], F.lit(len(levels))
     for k, keys in enumerate(levels):
-        out = out.join(table(train, keys, target, f"v{k}_", how), keys, "left")
+        own = cut(table(train, keys, target, f"v{k}_", how))
+        small = own.limit(SMALL + 1).count() <= SMALL  # else the rows meet a large table by their keys
+        out = out.join(F.broadcast(own) if small else own, keys, "left")
         found.append(F.col(f"v{k}_"))
     for k in reversed(range(len(levels))):
         level = F.when(F.col(f"v{k}_").isNotNull(), k).otherwise(level)

@@ -260,7 +260,7 @@ def forest_importances(spark, sf):
 
 
 POWERS, QUANTILES = (1.2, 1.5, 1.8), (0.1, 0.5, 0.9)
-TREES, DEPTH, RATE = 8, 3, 0.3
+TREES, DEPTH, RATE = 5, 3, 0.4
 
 
 def arrays(df, *targets):
