@@ -23,12 +23,18 @@ SKETCH = 0.001  # relative rank error of the bins' edges; none for features of f
 
 
 class Target(NamedTuple):
-    """A model to grow: a name, the target's place in y, the loss, and the Tweedie power or the quantile."""
+    """A model to grow: a name, the target's place in y, the loss, and the Tweedie power or the quantile.
+
+    Depth, rate and shrink are those of the fit unless the model has its own; no depth goes beyond the fit's.
+    """
 
     name: str
     y: int
     loss: str
     level: float = 0.0
+    depth: int | None = None
+    rate: float | None = None
+    shrink: float | None = None
 
 
 class Trees(NamedTuple):
@@ -125,11 +131,12 @@ def histograms(rows: DataFrame, trees: Trees, since: int, level: int) -> DataFra
     return sums.groupBy("model", "node", "feature", "bin").agg(*(F.sum(c).alias(c) for c in "ghn"))
 
 
-def best_splits(sums: DataFrame, shrink: float, least: float) -> list:
+def best_splits(sums: DataFrame, shrinks: list[float], least: float) -> list:
     """For each model and node its sums and its split of most gain: ties go to the first feature and the lowest bin."""
     own = Window.partitionBy("model", "node", "feature")
     upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     c = sums.select("*", *(F.sum(x).over(upto).alias(f"{x}_left") for x in "gh"), *(F.sum(x).over(own).alias(f"{x}_all") for x in "gh"))
+    shrink = F.get(F.array(*(F.lit(float(x)) for x in shrinks)), F.col("model"))
     part = lambda g, h: g * g / (h + shrink)
     g, h, gl, hl = (F.col(x) for x in ("g_all", "h_all", "g_left", "h_left"))
     gain = part(gl, hl) + part(g - gl, h - hl) - part(g, h)
@@ -178,25 +185,27 @@ def fit(rows: DataFrame, x: str, y: str, targets: list[Target], n_trees: int, de
 
     if not sizes:
         return trees
+    own = lambda name, value: [value if (x := getattr(t, name)) is None else x for t in targets]
+    depths, rates, shrinks = own("depth", depth), own("rate", rate), own("shrink", shrink)
     base, since, nodes = cut(rows.select(x, y).mapInArrow(prepare, ROWS)), 0, 2 ** (depth + 1) - 1
     for _ in range(n_trees):
         grown = [np.full((len(targets), nodes), -1, np.int64), np.zeros((len(targets), nodes), np.int64), np.zeros((len(targets), nodes))]
         trees = trees._replace(feature=[*trees.feature, grown[0]], bin=[*trees.bin, grown[1]], value=[*trees.value, grown[2]])
         feature, at, value = grown
         for level in range(depth):
-            found = best_splits(histograms(base, trees, since, level), shrink, least)
+            found = best_splits(histograms(base, trees, since, level), shrinks, least)
             for r in found:
                 k, i, (g, h), best = r["model"], r["node"] + 2**level - 1, r["all"], r["best"]
-                value[k, i] = -g / (h + shrink) * rate
-                if best:
+                worth = lambda g, h, k=k: -g / (h + shrinks[k]) * rates[k]
+                value[k, i] = worth(g, h)
+                if best and level < depths[k]:
                     feature[k, i], at[k, i] = -best["f"], -best["b"]
-                    value[k, 2 * i + 1] = -best["gl"] / (best["hl"] + shrink) * rate
-                    value[k, 2 * i + 2] = -(g - best["gl"]) / (h - best["hl"] + shrink) * rate
+                    value[k, 2 * i + 1], value[k, 2 * i + 2] = worth(best["gl"], best["hl"]), worth(g - best["gl"], h - best["hl"])
             if not any(r["best"] for r in found):
                 break
         if any(t.loss == "quantile" for t in targets):
             for (k, i), q in leaf_quantiles(base, trees, since).items():
-                value[k, i] = q * rate
+                value[k, i] = q * rates[k]
         if len(trees.feature) - since >= every:
             base, since = cut(base.mapInArrow(settled(trees, since), ROWS)), len(trees.feature)
     return trees

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybrook.operators import boosting as B
+from tallybrook.operators import tuning as N
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +96,27 @@ def test_missing_values_and_empty_tables(spark, frame):
     assert B.predict(df.limit(0), "x", m).count() == 0
     one = B.fit(frame.withColumn("y", F.array(F.lit(4.0))), "x", "y", [B.Target("t", 0, "tweedie", 1.5), B.Target("q", 0, "quantile", 0.5)], 2, 2)
     assert np.allclose([r["predictions"] for r in B.predict(frame, "x", one).collect()], 4.0)
+
+
+def test_halving_is_repeatable(frame):
+    """The same trials, errors and survivors whatever the partitions; each rung keeps the better half."""
+    rows = frame.select("x", F.col("y")[0].alias("label"), (F.col("id") % 3).alias("fold"))
+    one = N.halving(rows, "x", "label", "fold", 3, 5, (1, 2), 3)
+    other = N.halving(rows.repartition(5), "x", "label", "fold", 3, 5, (1, 2), 3)
+    told = lambda found: [(t["trial"], t["depth"], t["rung"], round(t["cv_mae"], 6), t["kept"]) for t in found]
+    assert told(one) == told(other)
+    first = sorted((t for t in one if t["rung"] == 0), key=lambda t: t["cv_mae"])
+    assert [t["kept"] for t in first] == [True, True, False, False, False]
+    assert {t["trial"] for t in one if t["rung"] == 1} == {t["trial"] for t in first[:2]} and sum(t["kept"] for t in one if t["rung"] == 1) == 1
+
+
+def test_held_out_rows_are_not_seen(frame):
+    """A fold's error is that of a model fitted on the other folds alone."""
+    rows = frame.select("id", "x", F.col("y")[0].alias("label"), (F.col("id") % 2).alias("fold"))
+    t = [{"trial": 0, "depth": 2, "rate": 0.5, "shrink": 2.0}]
+    got, gaps = N.fold_errors(rows, "x", "label", "fold", 2, t, 2)[0], []
+    edges = rows.withColumn("y", F.array("label"))
+    for f in (0, 1):
+        m = B.fit(edges.withColumn("y", F.array(F.when(F.col("fold") != f, F.col("label")))), "x", "y", [B.Target("t", 0, "squared")], 2, 2, 0.5, 2.0)
+        gaps += [abs(max(r["predictions"][0], 0.0) - r["label"]) for r in B.predict(rows.where(F.col("fold") == f), "x", m).collect()]
+    assert got == pytest.approx(np.mean(gaps), rel=1e-9)

@@ -46,6 +46,7 @@ HOLDS = {
     "tuned_trees": lambda rows: rows[0]["max_depth"] in (2, 4) and rows[0]["step_size"] in (0.1, 0.3) and rows[0]["cv_mae"] > 0 and same_sizes(rows),
     "type_probabilities": lambda rows: len(rows) == 2 and all(-1 <= r["error_correlation"] <= 1 for r in rows),
     "feature_ablation": same_sizes,
+    "halving_search": lambda rows: [sum(r["rung"] == k for r in rows) for k in range(3)] == [6, 3, 1] and [sum(r["rung"] == k and r["kept"] for r in rows) for k in range(3)] == [3, 1, 1],
 }
 
 
