@@ -31,7 +31,7 @@ from tallybrook.llm._common import aside, cut, prepare, restored
 
 LENGTH, TUPLE = 200, 50
 HOT = 4096  # different runs of one tuple beyond which their windows are dealt out by fingerprint
-MERGE_BYTES = 8 << 20  # of windows that are merged at a time
+MERGE_BYTES = 1 << 20  # of runs whose windows are merged at a time; a window takes some 100 bytes
 SIZE = (1 << 31) - 1  # the bits of n that are the text's size
 RUN = ["name", "piece", "more", "tk", "n", "doc_id", "span"]  # longs: piece and more are the run's digest, span is (x, windows, again)
 AGAIN, WINDOWS = 1, 31  # bits of span
