@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.operators.ranks import percentiles
+from tallybrook.operators.ranks import counted, key_percentiles, percentiles
 from tallybrook.sources.storage import cut
 
 SMALL = 100_000  # keys of a level's table that is sent to all tasks
@@ -16,40 +16,44 @@ def one_row(df: DataFrame, totals: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(totals))
 
 
-def table(train: DataFrame, keys: list[str], target: str, name: str, how: str = "median") -> DataFrame:
-    """The target's median or mean by keys, with its count."""
-    agg = {"median": F.median, "mean": F.avg}[how]
-    return train.where(F.col(target).isNotNull()).groupBy(*keys).agg(agg(F.col(target).cast("double")).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+def level(counts: DataFrame, keys: list[str], name: str, how: str = "median") -> DataFrame:
+    """The median or mean of counted values (value, n) by keys, with its count; one row without keys."""
+    n = F.sum("n").alias(f"{name}_n")
+    if how == "mean":
+        return counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(name), n)
+    return key_percentiles(counts, {name: 0.5}, keys, n) if keys else percentiles(counts, "value", {name: 0.5}, None, n, weight="n")
 
 
-def global_value(train: DataFrame, target: str, name: str, how: str = "median") -> DataFrame:
-    """One row: the target's median or mean over all rows."""
-    return percentiles(train, target, {name: 0.5}) if how == "median" else train.agg(F.avg(F.col(target).cast("double")).alias(name))
+def table(train: DataFrame, keys: list[str], target: str, name: str, how: str = "median") -> DataFrame:
+    """The target's median or mean by keys, with its count."""
+    return level(counted(train, target, keys), keys, name, how)
 
 
 def fall_back(test: DataFrame, train: DataFrame, levels: list[list[str]], target: str, name: str = "pred", how: str = "median") -> DataFrame:
     """test plus the value of the first of several key levels that the training rows hold, then the global value.
 
-    Also ``{name}_level``: the number of the level that answered, the number of levels for the global value.
+    Also ``{name}_level``: the number of the level that answered, the number of levels for the global value.  The training
+    rows are read once, into counts by all keys and value, from which each level is taken.
     """
-    out, found, level = test, [], F.lit(len(levels))
+    out, found, answered = test, [], F.lit(len(levels))
+    counts = counted(train, target, list(dict.fromkeys(k for keys in levels for k in keys)))
     for k, keys in enumerate(levels):
-        own = cut(table(train, keys, target, f"v{k}_", how))
+        own = cut(level(counts, keys, f"v{k}_", how))
         small = own.limit(SMALL + 1).count() <= SMALL  # else the rows meet a large table by their keys
         out = out.join(F.broadcast(own) if small else own, keys, "left")
         found.append(F.col(f"v{k}_"))
     for k in reversed(range(len(levels))):
-        level = F.when(F.col(f"v{k}_").isNotNull(), k).otherwise(level)
-    out = one_row(out, global_value(train, target, "global_", how))
-    return out.select(*test.columns, F.coalesce(*found, F.col("global_")).alias(name), level.cast("int").alias(f"{name}_level"))
+        answered = F.when(F.col(f"v{k}_").isNotNull(), k).otherwise(answered)
+    out = one_row(out, level(counts, [], "global_", how))
+    return out.select(*test.columns, F.coalesce(*found, F.col("global_")).alias(name), answered.cast("int").alias(f"{name}_level"))
 
 
 def smoothed(test: DataFrame, train: DataFrame, keys: list[str], target: str, k: float, fallback: list[str], name: str = "pred") -> DataFrame:
     """Mean of the keys shrunk to the global mean by weight k; keys unseen in training take the fallback keys' mean."""
-    out = fall_back(test, train, [fallback], target, "fallback_", "mean").join(table(train, keys, target, "mean_", "mean"), keys, "left")
-    out = one_row(out, global_value(train, target, "global_", "mean"))
+    counts = counted(train, target, list(dict.fromkeys([*keys, *fallback])))
+    out = one_row(test.join(level(counts, keys, "mean_", "mean"), keys, "left").join(level(counts, fallback, "second_", "mean"), fallback, "left"), level(counts, [], "global_", "mean"))
     value = (F.col("mean__n") * F.col("mean_") + k * F.col("global_")) / (F.col("mean__n") + k)
-    return out.select(*test.columns, F.coalesce(value, F.col("fallback_")).alias(name))
+    return out.select(*test.columns, F.coalesce(value, F.col("second_"), F.col("global_")).alias(name))
 
 
 def coverage(test: DataFrame, train: DataFrame, keys: list[str], name: str = "hit") -> DataFrame:

@@ -9,7 +9,7 @@ from tallybrook.functions import urls as U
 from tallybrook.operators import evaluate as V
 from tallybrook.operators import lookup as L
 from tallybrook.operators import size_table as T
-from tallybrook.operators.ranks import percentiles
+from tallybrook.operators.ranks import counted, key_percentiles, percentiles
 from tallybrook.plans.features import LHOST, PATH, QUERY, rounded
 from tallybrook.plans.registry import query
 from tallybrook.sources import fixtures as S
@@ -106,7 +106,7 @@ def score_quintiles(spark, sf):
 def interval_coverage(spark, sf):
     """AGG30, ML7: quantile intervals by host, and how often they hold."""
     train, test = split(spark, sf)
-    q = train.groupBy("host").agg(F.percentile("transfer_bytes", 0.1).alias("lo"), F.percentile("transfer_bytes", 0.9).alias("hi"))
+    q = key_percentiles(counted(train, "transfer_bytes", ["host"]), {"lo": 0.1, "hi": 0.9}, ["host"])
     c = V.coverage(test.join(q, "host"), "lo", "hi", "transfer_bytes")
     return c.select(F.round("coverage", 6).alias("coverage"), F.round("mean_width", 4).alias("mean_width"), F.round("median_width", 4).alias("median_width"))
 

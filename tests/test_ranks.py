@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tallybrook.operators import ranks
 from tallybrook.operators.ranks import percentiles
 
 
@@ -16,3 +17,17 @@ def test_percentiles(spark):
     assert all(np.allclose(v, by([x for h, x in rows if h == g])) for g, v in found.items())
     assert np.allclose(list(percentiles(df, "x", wanted).collect()[0]), by([x for _, x in rows]))
     assert list(percentiles(df.limit(0), "x", {"mid": 0.5}).collect()[0]) == [None]
+
+
+def test_key_percentiles_of_large_keys(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(v)) for g, n in (("hot", 600), ("b", 1), (None, 37), ("c", 5)) for v in rng.integers(0, 40, n)]
+    df = spark.createDataFrame([*rows, ("b", None), ("none", None)], "g string, x double").repartition(5)
+    wanted, counts = {"low": 0.1, "mid": 0.5, "top": 1.0}, ranks.counted(df, "x", ["g"])
+    want = {g: np.quantile([x for h, x in rows if h == g], list(wanted.values())) for g in ("hot", "b", None, "c")}
+    for many in (1_000_000, 20, 0):
+        monkeypatch.setattr(ranks, "MANY", many)
+        found = {r["g"]: r for r in ranks.key_percentiles(counts, wanted, ["g"], ranks.F.sum("n").alias("n")).collect()}
+        assert found.keys() == want.keys()
+        assert all(np.allclose([found[g][k] for k in wanted], want[g]) and found[g]["n"] == sum(h == g for h, _ in rows) for g in want)
+    assert ranks.key_percentiles(counts.limit(0), wanted, ["g"]).count() == 0
