@@ -63,8 +63,10 @@ def key_percentiles(counts: DataFrame, wanted: dict[str, float], by: list[str],
 
     Keys of up to MANY rows are aggregated as one map each; the values of larger ones are ranked by ranges.
     """
-    large = cut(counts.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_")).where(F.col("rows_") > MANY).select(*(F.col(b).alias(f"{b}_h_") for b in by)))
     held = lambda rows: rows.groupBy(*by).agg(*more, *(F.expr(f"percentile(value, {q}D, n)").alias(k) for k, q in wanted.items()))
+    if counts.limit(MANY + 1).count() <= MANY:
+        return held(counts)
+    large = cut(counts.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_")).where(F.col("rows_") > MANY).select(*(F.col(b).alias(f"{b}_h_") for b in by)))
     if large.isEmpty():
         return held(counts)
     met = F.lit(True)
