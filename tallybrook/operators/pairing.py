@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +48,31 @@ def bag_difference(control: DataFrame, other: DataFrame) -> DataFrame:
     return nth(control, [*PAGE, "url"]).join(nth(other, [*PAGE, "url"]).select(*PAGE, "url", "k"), [*PAGE, "url", "k"], "left_anti").drop("k")
 
 
-def arm_totals(obs: DataFrame, pages: DataFrame, rules: DataFrame, arm: str) -> DataFrame:
-    """Requests, bytes, tracker bytes and unlisted third-party bytes by page; pages: page_idx, page_url."""
-    sized = is_tracker(obs.withColumn("size_", F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0))), rules).join(pages, "page_idx")
-    third = is_third_party(net_host(F.col("url")), net_host(F.col("page_url")))
-    return sized.groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias(f"n_requests_{arm}"), F.sum("size_").alias(f"transfer_bytes_{arm}"),
-        F.sum(F.when(F.col("is_tracker"), F.col("size_")).otherwise(0)).alias(f"tracker_bytes_{arm}"),
-        F.sum(F.when(~F.col("is_tracker") & third, F.col("size_")).otherwise(0)).alias(f"unlisted_tp_bytes_{arm}"),
-    )
+def arm_cells(obs: DataFrame, rules: DataFrame, arm: str) -> DataFrame:
+    """page, arm, size, whether the list names the request, and the hosts of those it doesn't name: all that totals need."""
+    size = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0))
+    own = is_tracker(obs.select(*PAGE, "url", size.alias("size_")), rules)
+    return own.select(*PAGE, F.lit(arm).alias("arm_"), "size_", "is_tracker", F.when(~F.col("is_tracker"), net_host(F.col("url"))).alias("host_"))
+
+
+def arm_totals(arms: dict[str, DataFrame], pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Requests, bytes, tracker bytes and unlisted third-party bytes of the page loads that all arms saw; pages: page_idx, page_url.
+
+    The arms' requests meet the pages by a shuffle on the page, behind which a page load's totals need no other one.  The
+    pages are as many as the log's, however small their files are, so they aren't broadcast.
+    """
+    cells = reduce(DataFrame.unionByName, (arm_cells(obs, rules, arm) for arm, obs in arms.items()))
+    sized = cells.join(pages.select("page_idx", net_host(F.col("page_url")).alias("page_host_")).hint("merge"), "page_idx")
+    third, size = is_third_party(F.col("host_"), F.col("page_host_")), F.col("size_")
+    sums = []
+    for arm in arms:
+        own = F.col("arm_") == arm
+        sums += [
+            F.count_if(own).alias(f"n_requests_{arm}"), F.sum(F.when(own, size)).alias(f"transfer_bytes_{arm}"),
+            F.sum(F.when(own, F.when(F.col("is_tracker"), size).otherwise(0))).alias(f"tracker_bytes_{arm}"),
+            F.sum(F.when(own, F.when(~F.col("is_tracker") & third, size).otherwise(0))).alias(f"unlisted_tp_bytes_{arm}"),
+        ]
+    return sized.groupBy(*PAGE).agg(*sums).where(" and ".join(f"n_requests_{arm} > 0" for arm in arms))
 
 
 def paired_pages(control: DataFrame, private: DataFrame, blocked: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -65,7 +83,7 @@ def paired_pages(control: DataFrame, private: DataFrame, blocked: DataFrame, pag
         F.coalesce(F.sum("observed_bytes"), F.lit(0)).alias("blocked_observed_bytes"), F.count("observed_bytes").alias("blocked_matched"),
         F.count_if(F.col("match_kind") == "unmatched").alias("blocked_unmatched"),
     )
-    both = arm_totals(control, pages, rules, "normal").join(arm_totals(private, pages, rules, "private"), PAGE).join(per_page, PAGE, "left").na.fill(0)
+    both = arm_totals({"normal": control, "private": private}, pages, rules).join(per_page.hint("merge"), PAGE, "left").na.fill(0)
     for width, name in (("n_requests", "n_requests_delta"), ("transfer_bytes", "bytes_saved"), ("tracker_bytes", "bytes_saved_tracking"), ("unlisted_tp_bytes", "bytes_saved_unlisted_tp")):
         both = both.withColumn(name, F.col(f"{width}_normal") - F.col(f"{width}_private"))
     return both.withColumn("pct_bytes_saved", F.when(F.col("transfer_bytes_normal") != 0, F.round(100.0 * F.col("bytes_saved") / F.col("transfer_bytes_normal"), 2)))
