@@ -23,8 +23,8 @@ def test_private_arm_equals_its_sql(spark):
     assert ours.count() and not ours.exceptAll(theirs).count() and not theirs.exceptAll(ours).count()
 
 
-def test_hosts_of_plain_urls_equal_those_by_steps(spark):
-    rng, words = random.Random(1), ["https", "http", "://", "//", ":", "/", "?", "#", "@", "[", "]", ".", "..", "a", "B-c", "_", "é", "::1", "80", " ", "\t", "\n", "x.y"]
-    urls = [start + "".join(rng.choice(words) for _ in range(rng.randint(0, 8))) for start in ("", "https://") for _ in range(1000)]
+def test_ends_of_urls_equal_those_by_expression(spark):
+    rng, words = random.Random(1), ["https", "://", "/", "?", "#", "a", "é", " ", "\t", "\n", "\r", "\u00a0", "x.y"]
+    urls = ["".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(2000)]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
-    assert not df.where(~U.url_host(F.col("url")).eqNullSafe(U.any_host(F.col("url")))).collect()
+    assert not df.where(~U.trimmed(F.col("url")).eqNullSafe(F.regexp_replace("url", r"^[ \t\n\r]+|[ \t\n\r]+$", ""))).collect()
