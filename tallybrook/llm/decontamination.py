@@ -126,6 +126,7 @@ def build_index(docs: DataFrame, terms: Terms, path: str, block_bytes: int = BLO
                 ids = pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([b.column(0).slice(at, end - at)]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([first.tolist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (held.astype("<i4").tobytes(), counts.astype("<i8").tobytes(), place.astype("<i4").tobytes()))], ["doc_id", "first", "terms", "lengths", "postings"])
                 at = end
+        _bytes.give_back()
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.llm import _tokens
+from tallybrook.llm import _bytes, _tokens
 from tallybrook.llm._common import cut, prepare
 
 CAPACITY = 4096
@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
     prepare(docs.sparkSession)
 
     def cut_up(batches):
+        _bytes.give_back()  # what tasks of other stages left in this worker
         enc, end = _tokens.encoder(vocabulary, None, ids=True), int(end_id).to_bytes(4, "little")
         for b in batches:
             own: tuple[list, ...] = ([], [], [], [], [])
@@ -107,6 +108,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
                         column.append(x)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        _bytes.give_back()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut_up, PIECES)
 
@@ -131,6 +133,8 @@ def place(rows: DataFrame, capacity: int = CAPACITY, most: int = RANKED) -> Data
     sent = spark.sparkContext.broadcast(plan(histogram, capacity))
 
     def assign(batches):
+        _tokens.forget()  # all is encoded by now
+        _bytes.give_back()
         shift, table = 1 << 44, sent.value
         keys = table[:, 0] * -shift + table[:, 1] + capacity * shift  # in the plan's order
         for b in batches:
