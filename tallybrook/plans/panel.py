@@ -26,6 +26,7 @@ from tallybrook.plans import tables as TT
 from tallybrook.plans.features import LHOST, PATH, rounded
 from tallybrook.plans.registry import query
 from tallybrook.sources import fixtures as S
+from tallybrook.sources.storage import kept
 
 _RHOST = LHOST.replace("url", "r.url")
 _SIZE = "greatest(coalesce(transfer_bytes, 0), 0)"
@@ -272,11 +273,11 @@ def arrays(df, *targets):
 def tweedie_sweep(spark, sf):
     """ML5: boosted Tweedie trees of three powers on two targets, one added before the fit and taken off after it; the six
     models grow in the same passes.  Beside them the log-linear Tweedie model of each."""
-    train, test = (df.cache() for df in SP.features(spark, sf, F.length("url").cast("double").alias("url_length")))
+    train, test = SP.features(spark, sf, F.length("url").cast("double").alias("url_length"))
     kinds = [(target, power) for target in ("label", "url_length") for power in POWERS]
     models = [B.Target(f"{t}_{p}", k // len(POWERS), "tweedie", p) for k, (t, p) in enumerate(kinds)]
     grown = B.fit(arrays(train, F.col("label") + 1, F.col("url_length") + 1), "x", "y", models, TREES, DEPTH, RATE)
-    scored = B.predict(arrays(test).drop("y", "features"), "x", grown).cache()
+    scored = kept(B.predict(arrays(test).drop("y", "features"), "x", grown).select("label", "url_length", "predictions"))
     out = []
     for k, (target, power) in enumerate(kinds):
         line = GeneralizedLinearRegression(labelCol="y", family="tweedie", variancePower=power, linkPower=0.0, maxIter=8, regParam=0.1).fit(train.withColumn("y", F.col(target) + 1))
