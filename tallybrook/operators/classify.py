@@ -120,7 +120,35 @@ def is_tracker(df: DataFrame, rules: DataFrame, categories: str | None = None) -
     """df plus is_tracker: by default categories, or by those of a filter; null for a null URL."""
     wanted = wanted_categories(rules, categories) if categories is not None else None
     flag = F.when(F.col("url").isNotNull(), F.col("match_").isNotNull())
-    return with_match(df, rules, "match_", wanted).withColumn("is_tracker", flag).drop("match_")
+    own = allowed(merge_rules(rules), wanted)
+    quick = named(df, own)
+    return quick if quick is not None else matched(df, own, "match_").withColumn("is_tracker", flag).drop("match_")
+
+
+def named(df: DataFrame, rules: DataFrame) -> DataFrame | None:
+    """df plus is_tracker, where the list is broadcast: a host's rows carry whether a host rule names it, and its path rules.
+
+    Which rule is best doesn't matter, so none of its columns are carried, and a path is parsed only for hosts of path rules.
+    None for a list that is too large.
+    """
+    n, labels = rules.agg(F.count(F.lit(1)), F.collect_set(F.size(F.split("rule_host", r"\.")))).collect()[0]
+    if n > SMALL_RULES or max(labels, default=0) > MOST_LABELS:
+        return None
+    own = rules.groupBy("rule_host").agg(F.bool_or(F.col("rule_path").isNull()).alias("whole"), F.collect_list("rule_path").alias("paths"))
+    out, whole, paths = df.withColumn("rule_of_host_", F.lower(url_host(F.col("url")))), F.lit(False), []
+    for k in sorted(labels):
+        held = F.broadcast(own.select(F.col("rule_host").alias(f"rule_host_{k}_"), F.col("whole").alias(f"whole_{k}_"), F.when(~F.col("whole"), F.col("paths")).alias(f"paths_{k}_")))
+        out = out.join(held, F.substring_index("rule_of_host_", ".", -k) == F.col(f"rule_host_{k}_"), "left")
+        whole, paths = whole | F.coalesce(f"whole_{k}_", F.lit(False)), [*paths, f"paths_{k}_"]
+    out = out.withColumn("whole_", whole)
+    if not paths:
+        return out.select(*df.columns, F.when(F.col("url").isNotNull(), False).alias("is_tracker"))
+    asked = ~F.col("whole_") & F.coalesce(*paths).isNotNull()
+    out = out.withColumn("rule_of_path_", F.when(asked, F.lower(rule_path(F.col("url")))))
+    under = F.lit(False)
+    for c in paths:
+        under = under | F.coalesce(F.exists(c, lambda r: F.startswith(F.col("rule_of_path_"), r)), F.lit(False))
+    return out.select(*df.columns, F.when(F.col("url").isNotNull(), F.col("whole_") | (asked & under)).alias("is_tracker"))
 
 
 def is_tracker_by_row(df: DataFrame, rules: DataFrame, filter_column: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.functions.urls import is_third_party, suffix_chain, url_host
-from tallybrook.operators.classify import _sized
+from tallybrook.operators.classify import MOST_LABELS, SMALL_RULES, _sized
+from tallybrook.sources.storage import cut
 
 BASE_CATEGORIES = ("Advertising", "Analytics", "Social")  # what the browser blocks by default; strict mode adds Content
 
@@ -100,29 +101,68 @@ def decide(requests: DataFrame, listed: DataFrame, entities: DataFrame, exceptio
     """requests (url, page_url) plus would_block and reason.
 
     listed: listed; entities: resource, property; exceptions: url_pattern, top_pattern, category (in force); skip_hosts:
-    pattern.  Pairs of URL and page are decided once each; the tables are joined on host suffixes.
+    pattern.  List, party, entity and skip tests are made once for each pair of hosts, on host suffixes; the pairs are
+    broadcast after a check of their number.  Exceptions of a literal host are then looked up by each request that is left,
+    for each number of labels of such a host; only those without one, or too many, are met by pairs of URL and page.
     """
-    pairs = requests.select("url", "page_url").distinct().withColumns({"host_": F.lower(url_host(F.col("url"))), "page_": F.lower(url_host(F.col("page_url")))})
+    columns = requests.columns
+    rows = requests.withColumns({"host_": F.lower(url_host(F.col("url"))), "page_": F.lower(url_host(F.col("page_url")))})
+    pairs = rows.groupBy("host_", "page_").agg(F.lit(1).alias("one_")).drop("one_")
+    base = host_reasons(cut(pairs), listed, entities, skip_hosts).withColumnsRenamed({"host_": "host_b_", "page_": "page_b_"})
+    met = F.col("host_").eqNullSafe(F.col("host_b_")) & F.col("page_").eqNullSafe(F.col("page_b_"))
+    out = rows.join(_sized(cut(base)), met, "left").drop("host_b_", "page_b_")
+    shown = exceptions.withColumns({"url_re_": glob_regex(F.col("url_pattern")), "top_re_": F.when(F.col("top_pattern").isNotNull(), glob_regex(F.col("top_pattern"))), "of_": literal_suffix(F.col("url_pattern"))})
+    plain = shown.where(F.col("of_").isNotNull() & (F.size(F.split("of_", r"\.")) <= MOST_LABELS))
+    n, labels = plain.agg(F.count(F.lit(1)), F.collect_set(F.size(F.split("of_", r"\.")))).collect()[0]
+    if n > SMALL_RULES:
+        plain, labels = plain.limit(0), []
+    found = []
+    own = plain.groupBy("of_").agg(F.collect_list(F.struct("exception_id", "category", "url_re_", "top_re_")).alias("held_"))
+    for k in sorted(labels):
+        held = F.broadcast(own.select(F.col("of_").alias(f"of_{k}_"), F.col("held_").alias(f"held_{k}_")))
+        out = out.join(held, (F.substring_index("host_", ".", -k) == F.col(f"of_{k}_")) & F.col("open_"), "left")
+        fits = lambda e: F.rlike(F.col("url"), e["url_re_"]) & (e["top_re_"].isNull() | F.rlike(F.col("page_url"), e["top_re_"]))
+        found.append(F.transform(F.filter(f"held_{k}_", fits), lambda e: F.struct(e["exception_id"], e["category"])))
+    loose = exceptions if n > SMALL_RULES else shown.where(F.col("of_").isNull() | (F.size(F.split("of_", r"\.")) > MOST_LABELS)).select(*exceptions.columns)
+    if not loose.isEmpty():
+        out = out.join(loosely_excepted(out.where("open_").select("url", "page_url", "host_").distinct(), loose), ["url", "page_url"], "left")
+        found.append(F.when(F.col("loose_").isNotNull(), F.array("loose_")))
+    if found:
+        all_ = F.concat(*(F.coalesce(c, F.array().cast("array<struct<exception_id: bigint, category: string>>")) for c in (f.cast("array<struct<exception_id: bigint, category: string>>") for f in found)))
+        out = out.withColumn("exception_", F.array_min(all_)["category"])
+        excepted = F.when(F.col("exception_").isNotNull(), F.concat(F.lit("exception:"), "exception_"))
+    else:
+        excepted = F.lit(None).cast("string")
+    known = F.col("url").isNotNull() & F.col("page_url").isNotNull()
+    reason = F.when(known, F.when(F.col("open_"), F.coalesce(excepted, F.lit("blocked"))).otherwise(F.col("base_")))
+    return out.withColumn("reason", reason).select(*columns, "reason").withColumn("would_block", F.col("reason") == "blocked")
+
+
+def host_reasons(pairs: DataFrame, listed: DataFrame, entities: DataFrame, skip_hosts: DataFrame) -> DataFrame:
+    """Pairs of hosts (host_, page_) plus base_, the reason that hosts alone give, and open_ where none of them does."""
     hosts = pairs.select("host_").distinct().where("host_ is not null")
     chain = hosts.select("host_", F.explode(suffix_chain(F.col("host_"), 2)).alias("suffix_"))
     on_list = chain.join(_sized(listed), F.col("suffix_") == F.col("listed"), "left_semi").select("host_").distinct().withColumn("listed_", F.lit(True))
     skipped = chain.join(_sized(skip_hosts), F.col("suffix_") == F.lower(F.col("pattern")), "left_semi").select("host_").distinct().withColumn("skip_", F.lit(True))
     own = chain.join(_sized(entities), F.col("suffix_") == F.lower("resource")).select("host_", F.lower("property").alias("property_")).distinct()
     pages = pairs.select("page_").distinct().where("page_ is not null").select("page_", F.explode(suffix_chain(F.col("page_"))).alias("property_"))
-    entity_pages = pairs.select("host_", "page_").distinct().join(pages, "page_").join(own, ["host_", "property_"], "left_semi").select("host_", "page_").distinct().withColumn("entity_", F.lit(True))
+    entity_pages = pairs.join(pages, "page_").join(own, ["host_", "property_"], "left_semi").select("host_", "page_").distinct().withColumn("entity_", F.lit(True))
+    all_ = pairs.join(on_list, "host_", "left").join(skipped, "host_", "left").join(entity_pages, ["host_", "page_"], "left")
+    base = (
+        F.when(F.col("listed_").isNull(), "not-listed").when(~is_third_party(F.col("host_"), F.col("page_")), "first-party").when(F.col("entity_").isNotNull(), "same-entity")
+        .when(F.col("skip_").isNotNull(), "skip-url")
+    )
+    return all_.select("host_", "page_", base.alias("base_"), base.isNull().alias("open_"))
+
+
+def loosely_excepted(pairs: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """url, page_url and loose_ (exception_id, category) of the pairs (url, page_url, host_) that an exception meets by its key."""
     keyed, grams = indexed(exceptions, pairs)
     keyed = keyed.withColumns({"url_re_": glob_regex(F.col("url_pattern")), "top_re_": F.when(F.col("top_pattern").isNotNull(), glob_regex(F.col("top_pattern")))})
     suffixes = F.transform(suffix_chain(F.coalesce("host_", F.lit("")), 1), lambda h: F.concat(F.lit("h:"), h))
     asked = pairs.select("url", "page_url", F.explode(F.concat(suffixes, F.coalesce(url_keys(F.col("url"), grams), F.array().cast("array<string>")), F.array(F.lit("*")))).alias("key_"))
     fit = F.expr("url rlike url_re_") & (F.col("top_re_").isNull() | F.expr("page_url rlike top_re_"))
-    excepted = asked.join(_sized(keyed), "key_").where(fit).groupBy("url", "page_url").agg(F.min_by("category", "exception_id").alias("exception_"))
-    all_ = pairs.join(on_list, "host_", "left").join(skipped, "host_", "left").join(entity_pages, ["host_", "page_"], "left").join(excepted, ["url", "page_url"], "left")
-    reason = (
-        F.when(F.col("listed_").isNull(), "not-listed").when(~is_third_party(F.col("host_"), F.col("page_")), "first-party").when(F.col("entity_").isNotNull(), "same-entity")
-        .when(F.col("skip_").isNotNull(), "skip-url").when(F.col("exception_").isNotNull(), F.concat(F.lit("exception:"), "exception_")).otherwise("blocked")
-    )
-    decided = all_.select("url", "page_url", reason.alias("reason"))
-    return requests.join(decided, ["url", "page_url"], "left").withColumn("would_block", F.col("reason") == "blocked")
+    return asked.join(_sized(keyed), "key_").where(fit).groupBy("url", "page_url").agg(F.min_by(F.struct("exception_id", "category"), "exception_id").alias("loose_"))
 
 
 def drift(pages: DataFrame, delta: str, touched: str) -> DataFrame:

@@ -65,3 +65,16 @@ def test_subsets_have_exactly_their_size(spark):
     kept = M.least_hashed(rows, [], ["page"], F.lit(10), "s").collect()
     hashed = sorted((r["h"], r["page"]) for r in rows.select("page", M.hash_number(F.lit("s"), "page").alias("h")).collect())
     assert {r["page"] for r in kept} == {p for _, p in hashed[:10]}
+
+
+def test_requests_are_not_shuffled_for_literal_hosts(spark):
+    """Exceptions of literal hosts, entities, skips and nulls: no exchange of the requests, and the reasons of each."""
+    rows = [("https://a.one.example/tag/x", "https://p.example/"), ("https://a.one.example/y", "https://p.example/"), ("https://one.example/tag/", "https://sub.one.example/"), ("https://two.example/", "https://own.example/x"), ("https://s.two.example/", "https://p.example/"), ("https://three.example/", "https://p.example/"), (None, "https://p.example/"), ("https://one.example/", None)]
+    requests = spark.createDataFrame(rows, "url string, page_url string")
+    listed = spark.createDataFrame([("one.example",), ("two.example",)], "listed string")
+    entities = spark.createDataFrame([("two.example", "own.example")], "resource string, property string")
+    exceptions = spark.createDataFrame([(2, "*://*.one.example/tag/*", None, "late"), (1, "*://a.one.example/tag/*", "*://p.example/*", "early")], "exception_id int, url_pattern string, top_pattern string, category string")
+    found = D.decide(requests, listed, entities, exceptions, spark.createDataFrame([("s.two.example",)], "pattern string"))
+    assert [r["reason"] for r in found.collect()] == ["exception:early", "blocked", "first-party", "same-entity", "skip-url", "not-listed", None, None]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(url" not in plan
