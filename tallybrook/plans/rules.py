@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybrook.functions import requests as R
@@ -190,15 +191,18 @@ _REASONED = f"{S.WITH_PAIRED}, {DECIDED[len(S.WITH_REQUESTS) + 2 :]}"
 def delta_by_reason(spark, sf):
     """PAIR5: what the pages saved, on touched and untouched page loads, by the reason of the decision: bytes of requests
     that are gone, and changes of those that stayed; all cells add up to the measured delta."""
-    sized = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0))
-    key = ["rep", "page_idx", "pos"]
-    had = S.control(spark, sf).select(*key, sized.alias("had")).join(decided(spark, sf).select("page_idx", "pos", "reason"), ["page_idx", "pos"])
-    o = had.join(S.private(spark, sf).select(*key, sized.alias("has")), key, "left")
-    touched = S.blocked(spark, sf).where("failure like '%TRACKING%'").select("rep", "page_idx").distinct().withColumn("touched", F.lit(True))
+    sized = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0)).cast("long")
+    key, none = ["page_idx", "rep", "pos"], F.lit(None)
+    told = decided(spark, sf).select("page_idx", "pos", F.lit(True).alias("told"), "reason")
+    reps = S.control(spark, sf).select("rep").distinct()
+    told = told.crossJoin(F.broadcast(reps)).select(*key, none.cast("long").alias("had"), none.cast("long").alias("has"), "told", "reason", F.lit(False).alias("touch"))  # reps: a row for each pass
+    row = lambda df, had, has, touch: df.select(*key, had.cast("long").alias("had"), has.cast("long").alias("has"), none.cast("boolean").alias("told"), none.cast("string").alias("reason"), F.lit(touch).alias("touch"))
+    all_ = told.unionByName(row(S.control(spark, sf), sized, none, False)).unionByName(row(S.private(spark, sf), none, sized, False)).unionByName(row(S.blocked(spark, sf).where("failure like '%TRACKING%'"), none, none, True))
+    o = all_.repartition("page_idx").groupBy(*key).agg(F.max("had").alias("had"), F.max("has").alias("has"), F.max("told").alias("told"), F.max("reason").alias("reason"), F.max("touch").alias("touch"))  # the only shuffle
+    o = o.withColumn("touched", F.max("touch").over(Window.partitionBy("page_idx", "rep"))).where("told and had is not null")
     gone = F.col("has").isNull()
     total = lambda c, where: F.coalesce(F.sum(F.when(where, c)), F.lit(0)).cast("long")
-    g = o.join(touched, ["rep", "page_idx"], "left").groupBy(F.coalesce("touched", F.lit(False)).alias("touched"), "reason")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("n_gone"), total(F.col("had"), gone).alias("gone_bytes"), total(F.col("had") - F.col("has"), ~gone).alias("changed_bytes"))
+    return o.groupBy("touched", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("n_gone"), total(F.col("had"), gone).alias("gone_bytes"), total(F.col("had") - F.col("has"), ~gone).alias("changed_bytes"))
 
 
 def _parts_sql(cells: str) -> str:
