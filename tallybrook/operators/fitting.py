@@ -20,7 +20,9 @@ def gram(cells: DataFrame, row: list[str], column: str, value: str, target: Data
     """
     a = cells.select(*row, F.col(column).alias("a"), F.col(value).cast("double").alias("va"))
     b = cells.select(*row, F.col(column).alias("b"), F.col(value).cast("double").alias("vb"))
-    return a.join(b, row).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("x")), a.join(target, row).groupBy("a").agg(F.sum(F.col("va") * F.col(y)).alias("xy"))
+    # cells and targets are as many as the rows, however small their files are, so they aren't broadcast
+    products = a.join(b.hint("merge"), row).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("x"))
+    return products, a.join(target.hint("merge"), row).groupBy("a").agg(F.sum(F.col("va") * F.col(y)).alias("xy"))
 
 
 def nnls(gram_: np.ndarray, xy: np.ndarray, rounds: int = 5000) -> np.ndarray:

@@ -162,7 +162,7 @@ def _keyed(spark, sf):
  c AS (SELECT page_idx, CASE WHEN w.key IS NULL THEN '(other)' ELSE k.key END AS col, sum(CASE WHEN w.key IS NULL THEN kb ELSE 1 END) AS v FROM k LEFT JOIN w USING (key) GROUP BY 1, 2) SELECT a.col AS a, b.col AS b, round(sum(a.v * b.v), 3) AS x FROM c a JOIN c b USING (page_idx) WHERE a.col <= b.col GROUP BY 1, 2""")
 def presence_gram(spark, sf):
     """ML14: products of the columns of page presence, with the rare keys' remainder."""
-    cells = G.presence(_keyed(spark, sf), "page_idx", "key", "kb", 30)
+    cells = kept(G.presence(kept(_keyed(spark, sf)), "page_idx", "key", "kb", 30))  # the products pass over them twice
     return rounded(G.gram(cells, ["page_idx"], "column", "value", cells.select("page_idx", F.lit(0.0).alias("y")).distinct(), "y")[0], 3)
 
 
