@@ -172,8 +172,8 @@ def host_split_fit(spark, sf):
 
     Both fits share the presence columns and the remainder; the unlisted one has an intercept by page as well.
     """
-    keyed = _keyed(spark, sf)
-    cells = G.presence(keyed, "page_idx", "key", "kb", 30)
+    keyed = kept(_keyed(spark, sf))
+    cells = kept(G.presence(keyed, "page_idx", "key", "kb", 30))  # both fits pass over them several times
     listed = keyed.groupBy("page_idx").agg(F.sum("kb").alias("y"))
     other = C.is_tracker(S.requests(spark, sf), S.rules(spark)).where("not is_tracker").groupBy("page_idx").agg((F.sum(size_of()) / 1024).alias("y_"))
     unlisted = listed.select("page_idx").join(other, "page_idx", "left").select("page_idx", F.coalesce("y_", F.lit(0.0)).alias("y"))
