@@ -75,6 +75,14 @@ def arm_totals(arms: dict[str, DataFrame], pages: DataFrame, rules: DataFrame) -
     return sized.groupBy(*PAGE).agg(*sums).where(" and ".join(f"n_requests_{arm} > 0" for arm in arms))
 
 
+def bytes_saved(control: DataFrame, private: DataFrame) -> DataFrame:
+    """The same column of paired_pages by itself: one shuffle of sums by page load, no URL is parsed."""
+    size = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0))
+    none = F.lit(None).cast("long")
+    sides = control.select(*PAGE, size.cast("long").alias("x_"), none.alias("y_")).unionByName(private.select(*PAGE, none.alias("x_"), size.cast("long").alias("y_")))
+    return sides.groupBy(*PAGE).agg(F.sum("x_").alias("x_"), F.sum("y_").alias("y_")).where("x_ is not null and y_ is not null").select(*PAGE, (F.col("x_") - F.col("y_")).alias("bytes_saved"))
+
+
 def paired_pages(control: DataFrame, private: DataFrame, blocked: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each page and repetition that both arms saw: both totals, their differences and the blocked requests."""
     matched = bag_match(blocked, control).withColumn("protection", protection_of(F.col("failure")))

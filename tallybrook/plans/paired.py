@@ -40,9 +40,17 @@ def matched(spark, sf):
     return P.bag_match(S.blocked(spark, sf), S.control(spark, sf))
 
 
+def pages(spark, sf):
+    return S.requests(spark, sf).select("page_idx", F.concat(F.lit("https://"), "page_domain", F.lit("/")).alias("page_url")).distinct()
+
+
+def saved(spark, sf):
+    """bytes_saved of page loads alone, for queries that need nothing of lists or blocked requests."""
+    return P.bytes_saved(S.control(spark, sf), S.private(spark, sf))
+
+
 def paired(spark, sf):
-    pages = S.requests(spark, sf).select("page_idx", F.concat(F.lit("https://"), "page_domain", F.lit("/")).alias("page_url")).distinct()
-    return P.paired_pages(S.control(spark, sf), S.private(spark, sf), S.blocked(spark, sf), pages, S.rules(spark))
+    return P.paired_pages(S.control(spark, sf), S.private(spark, sf), S.blocked(spark, sf), pages(spark, sf), S.rules(spark))
 
 
 @query(f"WITH {MATCHED} SELECT rep, page_idx, pos, observed_bytes, match_kind FROM bag")

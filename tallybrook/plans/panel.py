@@ -98,7 +98,7 @@ _HOSTS_OF_BAG = f"{PP.PAIRED}, bh AS (SELECT rep, page_idx, {LHOST} AS host, sum
 def joint_and_singles(spark, sf):
     """AGG42: what a page saves in all over the sum of what its hosts' own requests weigh."""
     single = PP.matched(spark, sf).groupBy("rep", "page_idx", U.net_host(F.col("url")).alias("host")).agg(F.sum(F.coalesce("observed_bytes", F.lit(0))).alias("v")).select("page_idx", F.lit("single").alias("kind"), "v")
-    joint = PP.paired(spark, sf).select("page_idx", F.lit("joint").alias("kind"), F.col("bytes_saved").alias("v"))
+    joint = PP.saved(spark, sf).select("page_idx", F.lit("joint").alias("kind"), F.col("bytes_saved").alias("v"))
     return rounded(P.joint_ratio(single.union(joint), ["page_idx"], "kind", "v"))
 
 
