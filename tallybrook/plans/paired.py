@@ -13,6 +13,7 @@ from tallybrook.plans.features import LHOST, rounded
 from tallybrook.plans.registry import query
 from tallybrook.plans.rules import DEFAULT, MERGED
 from tallybrook.sources import fixtures as S
+from tallybrook.sources.storage import kept
 
 #: The paired crawl in SQL: bag matches, arm totals by page and repetition, and their differences.
 _SIZED = "greatest(coalesce(transfer_size, 0), 0)"
@@ -196,7 +197,7 @@ def width_differences(spark, sf):
  SELECT key, round(scale, 8) AS scale, 'suffix' AS kind FROM sf UNION ALL SELECT xh.key, round(xh.scale, 8), 'exact' FROM xh LEFT JOIN sf ON xh.s = sf.key WHERE sf.key IS NULL OR abs(xh.scale - sf.scale) > 0.05""")
 def host_scales(spark, sf):
     """AGG44: suffix scales, and hosts that differ from theirs."""
-    own = cells(spark, sf).where("width = 'listed'").withColumn("v", F.col("diff_bytes").cast("double") / F.col("n_aborted"))
+    own = kept(cells(spark, sf).where("width = 'listed'").select("host", (F.col("diff_bytes").cast("double") / F.col("n_aborted")).alias("v")))  # read five times
     return rounded(G.host_scales(own, "host", "v", keep=0.05), 8)
 
 
