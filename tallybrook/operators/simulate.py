@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.operators.lookup import one_row
-from tallybrook.operators.ranks import cumulative
+from tallybrook.operators.ranks import running
 from tallybrook.sources.fixtures import hash_number
 from tallybrook.sources.storage import cut
 
@@ -110,12 +111,13 @@ def poisson(h: Column) -> Column:
     Beyond 17 no probability is left that these bits could tell.
     """
     u = F.shiftright(h, 8) / F.lit(float(1 << 52))
-    total, term, out = 0.0, math.exp(-1), F.lit(0)
-    for k in range(1, 18):
-        total += term
-        out = out + (u >= total).cast("int")
+    total = term = math.exp(-1)
+    out = F.when(u < total, 0)
+    for k in range(1, 17):
         term /= k
-    return out
+        total += term
+        out = out.when(u < total, k)
+    return out.otherwise(17)
 
 
 def bootstrap_mean(rows: DataFrame, order: list[str], value: str, trials: int, seed: str) -> DataFrame:
@@ -178,27 +180,57 @@ def page_correlated(rows: DataFrame, page: str, order: list[str], pred: str, act
     return totals(least_hashed(met, ["trial"], ["slot", *order], wanted, seed), pred, actual)
 
 
+BLOCK = 32  # trials whose weights are columns of one pass
+
+
 def rank_metrics(rows: DataFrame, by: list[str], order: list[str], pred: str, actual: str, trials: int, seed: str) -> DataFrame:
     """by, metric, value, low, high: mean and median absolute error and rank correlation, with intervals of row resamples.
 
     Each row has a Poisson weight in each trial, and 1 in trial 0, which gives the value.  The median is the least error
-    up to which half of the weight lies; ranks of equal values are averaged over their weight.  Weights of equal values
-    are added up first, and running sums are taken over ranges, so no task sees a trial's rows.
+    up to which half of the weight lies; ranks of equal values are averaged over their weight.  A row carries the weights
+    of a block of trials side by side, so rows aren't multiplied: weights of equal pairs of values are added up where the
+    rows are, and running sums are taken over ranges, so no task sees a trial's rows.
     """
-    one = rows.select(*by, *order, F.col(pred).cast("double").alias("p_"), F.col(actual).cast("double").alias("a_"), F.explode(F.sequence(F.lit(0), F.lit(trials))).alias("trial"))
-    w = F.when(F.col("trial") == 0, 1).otherwise(poisson(hash_number(F.lit(seed), "trial", *order)))
-    own = [*by, "trial"]
-    pairs = one.withColumn("w_", w).where("w_ > 0").groupBy(*own, "p_", "a_").agg(F.sum("w_").alias("w_"))
-    pairs = cut(pairs.withColumn("gap_", F.abs(F.col("p_") - F.col("a_"))))
-    half = cumulative(pairs, "gap_", own, "w_").groupBy(*own).agg(F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("value"))).alias("median_ae"))
-    ranks = lambda c, r: cumulative(pairs, c, own, "w_").select(*own, F.col("value").alias(c), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(r))
-    both = pairs.join(ranks("p_", "rp_"), [*own, "p_"]).join(ranks("a_", "ra_"), [*own, "a_"])
-    weigh = lambda x: F.sum(F.col("w_") * x).cast("double")
-    rp, ra = F.col("rp_"), F.col("ra_")
-    m = both.groupBy(*own).agg(F.sum("w_").cast("double").alias("n"), weigh(F.col("gap_")).alias("gap"), *(weigh(x).alias(k) for k, x in {"sp": rp, "sa": ra, "spp": rp * rp, "saa": ra * ra, "spa": rp * ra}.items()))
-    vp, va = (F.col("n") * F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") for x in "pa")
-    rho = F.when((vp > 0) & (va > 0), (F.col("n") * F.col("spa") - F.col("sp") * F.col("sa")) / F.sqrt(vp * va))
-    per = m.select(*own, (F.col("gap") / F.col("n")).alias("mae"), rho.alias("spearman")).join(half, own)
-    long = per.select(*own, F.expr("stack(3, 'mae', mae, 'median_ae', median_ae, 'spearman', spearman) as (metric, v)"))
+    p, a = (F.col(c).cast("double") for c in (pred, actual))
+    own = rows.select(*by, *order, p.alias("p_"), a.alias("a_")).where("p_ is not null and a_ is not null")
+    blocks = [range(k, min(k + BLOCK, trials + 1)) for k in range(0, trials + 1, BLOCK)]
+    own = cut(own) if len(blocks) > 1 else own
+    long = reduce(DataFrame.unionByName, (trial_metrics(own, by, order, block, seed) for block in blocks))
     later = F.when(F.col("trial") > 0, F.col("v"))  # trials values at most
     return long.groupBy(*by, "metric").agg(F.max(F.when(F.col("trial") == 0, F.col("v"))).alias("value"), F.percentile(later, 0.025).alias("low"), F.percentile(later, 0.975).alias("high"))
+
+
+def trial_metrics(rows: DataFrame, by: list[str], order: list[str], trials: range, seed: str) -> DataFrame:
+    """by, trial, metric and v of the trials' weights of rows (by, order, p_, a_)."""
+    w = {t: f"w_{t}" for t in trials}
+    weight = lambda t: F.sum(poisson(hash_number(F.lit(seed), F.lit(t), *order)) if t else F.lit(1))
+    pairs = cut(rows.groupBy(*by, "p_", "a_").agg(*(weight(t).alias(c) for t, c in w.items())).withColumn("gap_", F.abs(F.col("p_") - F.col("a_"))))
+    total = lambda name, x: [F.sum(x(t)).cast("double").alias(f"{name}_{t}") for t in trials]
+    rank = lambda t: F.col(f"upto_{w[t]}") - (F.col(w[t]) - 1) / 2.0
+    ranks = {c: running(pairs, c, by, list(w.values())).select(*by, F.col("value").alias(c), *w.values(), *(rank(t).alias(f"r_{t}") for t in trials)) for c in ("p_", "a_")}
+    half = lambda t: (F.col(w[t]) > 0) & (F.col(f"upto_{w[t]}") * 2 >= F.col(f"total_{w[t]}"))
+    middle = running(pairs, "gap_", by, list(w.values())).groupBy(*by).agg(*(F.min(F.when(half(t), F.col("value"))).alias(f"med_{t}") for t in trials))
+    sums = pairs.groupBy(*by).agg(*total("n", lambda t: F.col(w[t])), *total("gap", lambda t: F.col(w[t]) * F.col("gap_")))
+    squares = [df.groupBy(*by).agg(*total(f"s{c}", lambda t: F.col(w[t]) * F.col(f"r_{t}")), *total(f"s{c}{c}", lambda t: F.col(w[t]) * F.col(f"r_{t}") * F.col(f"r_{t}"))) for c, df in (("p", ranks["p_"]), ("a", ranks["a_"]))]
+    across = met(pairs, ranks["a_"].drop(*w.values()), by, "a_").groupBy(*by, "p_").agg(*total("x", lambda t: F.col(w[t]) * F.col(f"r_{t}")))
+    cross = met(across, ranks["p_"].drop(*w.values()), by, "p_").groupBy(*by).agg(*total("spa", lambda t: F.col(f"x_{t}") * F.col(f"r_{t}")))
+    parts = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (sums, middle, *squares, cross))
+    m = parts.groupBy(*by).agg(*(F.max(c).alias(c) for c in parts.columns if c not in by))
+
+    def metrics(t: int) -> list[Column]:
+        n, sp, sa, spp, saa, spa = (F.col(f"{c}_{t}") for c in ("n", "sp", "sa", "spp", "saa", "spa"))
+        vp, va = n * spp - sp * sp, n * saa - sa * sa
+        rho = F.when((vp > 0) & (va > 0), (n * spa - sp * sa) / F.sqrt(vp * va))
+        found = {"mae": F.try_divide(f"gap_{t}", n), "median_ae": F.col(f"med_{t}"), "spearman": rho}
+        return [F.struct(F.lit(t).alias("trial"), F.lit(k).alias("metric"), v.alias("v")) for k, v in found.items()]
+
+    return m.select(*by, F.explode(F.array(*(x for t in trials for x in metrics(t)))).alias("x_")).select(*by, "x_.*")
+
+
+def met(df: DataFrame, ranks: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df plus its values' ranks; null groups meet each other.  Both grow with the different values, so neither is broadcast."""
+    named = ranks.withColumnsRenamed({c: f"{c}g_" for c in (*by, value)})
+    same = F.col(value) == F.col(f"{value}g_")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"{b}g_"))
+    return df.join(named.hint("merge"), same).drop(*(f"{c}g_" for c in (*by, value)))
