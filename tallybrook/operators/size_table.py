@@ -54,15 +54,23 @@ def split_bodyless(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return log.where(~flag), log.where(flag)
 
 
+def alike(log: DataFrame) -> DataFrame:
+    """One row for the sized requests of equal features: url (their host, path and query length), resource_type, rows_ and sum_.
+
+    Requests are added up where they are, so patterns run over different URLs and not over requests.
+    """
+    y = F.greatest(F.col("transfer_bytes"), F.lit(0)).cast("double")
+    return log.where("transfer_bytes is not null").groupBy(U.plain_query(F.col("url")).alias("url"), "resource_type").agg(F.count(F.lit(1)).alias("rows_"), F.sum(y).alias("sum_"))
+
+
 def fit_levels(log: DataFrame, shrink: float = 0.0, min_count: int = 1, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """level, key, n, mean, parent, est, gain of every key; log: features() and transfer_bytes (null dropped, negative 0).
+    """level, key, n, mean, parent, est, gain of every key; log: features() of alike().
 
     Level by level, coarse first: a key's estimate is its mean, shrunk to its rows' parent estimate.  Rows are counted
-    once by their chain of keys, so all levels work on the distinct chains.
+    once by their URL and then by their chain of keys, so all levels work on the distinct chains.
     """
     made = keys()
-    y = F.greatest(F.col("transfer_bytes"), F.lit(0)).cast("double")
-    chains = log.where("transfer_bytes is not null").groupBy(*(made[v].alias(f"k_{v}") for v in levels)).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"))
+    chains = log.groupBy(*(made[v].alias(f"k_{v}") for v in levels)).agg(F.sum("rows_").alias("n"), F.sum("sum_").alias("y"))
     chains = cut(chains)
     chains = one_row(chains, chains.agg((F.sum("y") / F.sum("n")).alias("parent")))
     out = None

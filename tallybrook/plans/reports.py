@@ -99,11 +99,13 @@ _QUESTIONS = f"""{TT.SCORED}, {S.WITH_RULES}, {RR.MERGED}, {RR.matched(RR.DEFAUL
 @query(f"WITH {_QUESTIONS} SELECT question, count(*) AS n, sum(p)::BIGINT AS pred_total, sum(a)::BIGINT AS actual_total, round(sum(p)::DOUBLE / sum(a), 6) AS ratio FROM u GROUP BY question")
 def estimate_questions(spark, sf):
     """PAIR4: estimates against observations for listed and for blocked requests."""
-    s = C.is_tracker(TT.scored(spark, sf), S.rules(spark)).where("is_tracker")
-    hit = (F.col("page_idx") % 3 != 0) & (F.col("host").endswith("adnet.example") | F.col("host").endswith("metrics.example"))
-    own = s.select(F.col("est_bytes").alias("p"), F.coalesce("transfer_bytes", F.lit(0)).alias("a"), hit.alias("blocked"))
-    both = own.select(F.lit("listed").alias("question"), "p", "a").union(own.where("blocked").select(F.lit("blocked"), "p", "a"))
-    return rounded(both.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("pred_total"), F.sum("a").alias("actual_total"), (F.sum("p").cast("double") / F.sum("a")).alias("ratio")))
+    kinds = S.requests(spark, sf).groupBy(U.plain_query(F.col("url")).alias("url"), "resource_type", "http_method", (F.col("page_idx") % 3 != 0).alias("asked"))
+    alike = kinds.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("transfer_bytes", F.lit(0))).alias("a"))  # requests of equal estimate and verdict
+    s = C.is_tracker(TT.scorer(spark, sf)(alike), S.rules(spark)).where("is_tracker")
+    hit = F.col("asked") & (F.col("host").endswith("adnet.example") | F.col("host").endswith("metrics.example"))
+    questions = F.when(hit, F.array(F.lit("listed"), F.lit("blocked"))).otherwise(F.array(F.lit("listed")))
+    both = s.select(F.explode(questions).alias("question"), "n", (F.col("est_bytes") * F.col("n")).alias("p"), "a")
+    return rounded(both.groupBy("question").agg(F.sum("n").alias("n"), F.sum("p").alias("pred_total"), F.sum("a").alias("actual_total"), (F.sum("p").cast("double") / F.sum("a")).alias("ratio")))
 
 
 @query(f"""WITH {PP._CELLS}, b AS (SELECT width, n_aborted, diff_bytes FROM cells WHERE NOT (host LIKE '%site3.adnet.example' OR host LIKE '%site4.adnet.example')) SELECT width, count(*) AS n, round(sum(diff_bytes)::DOUBLE / sum(n_aborted), 6) AS per_request FROM b GROUP BY width""")

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from tallybrook.functions import urls as U
 from tallybrook.operators import classify as C
 from tallybrook.operators import decide as D
+from tallybrook.operators import size_table as T
+from tallybrook.plans import QUERIES
 from tallybrook.sources import fixtures as S
 
+from .conftest import SF
+
 HOSTS = [
     ("https://A.example/x", "A.example"), ("//b.example:80/", "b.example"), ("c.example", "c.example"), ("http://u:p@d.example:443?q", "d.example"),
     ("http://[::1]:80/x", "::1"), ("https://e.example...", "e.example"), ("", None), ("  https://f.example/  ", "f.example"), ("https:///path", None), (None, None),
@@ -94,3 +98,19 @@ def test_versions(spark):
     rows = [(None, True), ("", True), ('env.version|versionCompare("140.0a1") >= 0', True), ('env.version|versionCompare("142.0") < 0', False), ('env.version|versionCompare("142.0b3") > 0', True), ('env.version|versionCompare("141") >= 0 && env.version|versionCompare("142") <= 0', True)]
     df = spark.createDataFrame([(k, e) for k, (e, _) in enumerate(rows)], "k int, e string")
     assert [r[0] for r in df.select("k", D.applies(F.col("e"), "142.0").alias("a")).orderBy("k").select("a").collect()] == [x for _, x in rows]
+
+
+def test_urls_of_equal_features(spark):
+    """Features and verdicts don't change if letters of the query are replaced, and those of many requests are taken once."""
+    urls = ["https://a.example/x.js?id=12&v=3", "https://a.example/x.js?ip=21&v=4", "https://a.example/x.js?id=123&v=3", "http://u@B.example:8/p/m202401123/?", "http://c.example?q", "http://c.example", "//d.example/y?a?b/c",
+            "http://e.example/z ?a=1", " http://e.example/z?a=1 ", "http://f.example/s?a=1#b", "http://f.example/s#b?a=1", "http://g.example/t?a\nb", "http://g.example/t ?a b", "http://h.example/é?é\U0001f600", "x?y", "?", "", None]
+    df = spark.createDataFrame([(i, u, "script", "GET", 100 * i) for i, u in enumerate(urls)], "i int, url string, resource_type string, http_method string, transfer_bytes long")
+    derived = lambda d: [tuple(r) for r in T.features(d.withColumns({"of_": U.net_host(F.col("url")), "under_": U.rule_path(F.col("url"))})).drop("url").orderBy("i").collect()]
+    assert derived(df) == derived(df.withColumn("url", U.plain_query(F.col("url"))))
+    kinds = {r["url"]: (r["rows_"], r["sum_"]) for r in T.alike(df.where("i < 3")).collect()}
+    assert sorted(kinds.values()) == [(1, 200.0), (2, 100.0)]
+
+
+def test_questions_read_the_log_once(spark):
+    plan = QUERIES["estimate_questions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 3  # the log itself, the mean of bodyless requests and that of all
