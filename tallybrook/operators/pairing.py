@@ -83,6 +83,23 @@ def bytes_saved(control: DataFrame, private: DataFrame) -> DataFrame:
     return sides.groupBy(*PAGE).agg(F.sum("x_").alias("x_"), F.sum("y_").alias("y_")).where("x_ is not null and y_ is not null").select(*PAGE, (F.col("x_") - F.col("y_")).alias("bytes_saved"))
 
 
+def touched_pages(control: DataFrame, private: DataFrame, blocked: DataFrame, rules: DataFrame) -> DataFrame:
+    """Columns of paired_pages that need neither a page's host nor a match of requests: requests, bytes, tracker bytes, their
+    differences, and blocked requests.
+
+    Requests of both arms and blocked ones are added up by page load where they are; only the sums are shuffled.
+    """
+    size = F.greatest(F.coalesce("transfer_size", F.lit(0)), F.lit(0)).cast("long")
+    cells = [is_tracker(obs.select(*PAGE, "url", size.alias("size_")), rules).select(*PAGE, F.lit(arm).alias("arm_"), "size_", F.col("is_tracker").alias("flag_")) for arm, obs in (("normal", control), ("private", private))]
+    cells.append(blocked.select(*PAGE, F.lit("blocked").alias("arm_"), F.lit(None).cast("long").alias("size_"), (protection_of(F.col("failure")) == "tracking").alias("flag_")))
+    sums, arm, flag = [], F.col("arm_"), F.col("flag_")
+    for name in ("normal", "private"):
+        sums += [F.count_if(arm == name).alias(f"n_requests_{name}"), F.sum(F.when(arm == name, F.col("size_"))).alias(f"transfer_bytes_{name}"), F.sum(F.when(arm == name, F.when(flag, F.col("size_")).otherwise(0))).alias(f"tracker_bytes_{name}")]
+    sums += [F.count_if((arm == "blocked") & flag).alias("n_blocked_tracking"), F.count_if((arm == "blocked") & ~flag).alias("n_blocked_other")]
+    both = reduce(DataFrame.unionByName, cells).groupBy(*PAGE).agg(*sums).where("n_requests_normal > 0 and n_requests_private > 0")
+    return both.withColumns({name: F.col(f"{width}_normal") - F.col(f"{width}_private") for width, name in (("n_requests", "n_requests_delta"), ("transfer_bytes", "bytes_saved"), ("tracker_bytes", "bytes_saved_tracking"))})
+
+
 def paired_pages(control: DataFrame, private: DataFrame, blocked: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each page and repetition that both arms saw: both totals, their differences and the blocked requests."""
     matched = bag_match(blocked, control).withColumn("protection", protection_of(F.col("failure")))

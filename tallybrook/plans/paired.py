@@ -54,6 +54,11 @@ def paired(spark, sf):
     return P.paired_pages(S.control(spark, sf), S.private(spark, sf), S.blocked(spark, sf), pages(spark, sf), S.rules(spark))
 
 
+def touched(spark, sf):
+    """paired for queries that need no third-party bytes and no matches: sums by page load alone are shuffled."""
+    return P.touched_pages(S.control(spark, sf), S.private(spark, sf), S.blocked(spark, sf), S.rules(spark))
+
+
 @query(f"WITH {MATCHED} SELECT rep, page_idx, pos, observed_bytes, match_kind FROM bag")
 def bag_matches(spark, sf):
     """JN9-10, WIN3: each blocked request's observation in the control arm."""
@@ -82,7 +87,7 @@ def paired_pages(spark, sf):
 @query(f"WITH {PAIRED} SELECT page_idx, count(*) AS n_reps, sum(transfer_bytes_normal)::BIGINT AS transfer_bytes_normal, sum(bytes_saved)::BIGINT AS bytes_saved, round(avg(n_requests_delta), 2) AS n_requests_delta FROM paired WHERE page_idx % 11 <> 0 GROUP BY page_idx")
 def pooled_pages(spark, sf):
     """FLT10-11, AGG18, PAIR3, SET5: pages that are clean in every repetition, pooled."""
-    rows = paired(spark, sf).withColumns({"outcome_normal": F.lit("ok"), "outcome_private": F.when((F.col("page_idx") % 11 == 0) & (F.col("rep") == 2), "timeout").otherwise("ok")})
+    rows = touched(spark, sf).withColumns({"outcome_normal": F.lit("ok"), "outcome_private": F.when((F.col("page_idx") % 11 == 0) & (F.col("rep") == 2), "timeout").otherwise("ok")})
     clean = rows.join(O.clean_everywhere(rows), "page_idx", "left_semi")
     return O.pool_pages(clean, ["transfer_bytes_normal", "bytes_saved"], ["n_requests_delta"]).drop("pct_bytes_saved")
 
@@ -91,14 +96,14 @@ def pooled_pages(spark, sf):
  SELECT n AS n_pages_with_blocks, u AS n_pages_without_blocks, round(b - d * n, 2) AS whole, round(b, 2) AS whole_raw, round(d, 6) AS whole_drift, round(bt - dt * n, 2) AS tracking, round(bt, 2) AS tracking_raw, round(dt, 6) AS tracking_drift FROM m, q""")
 def measured_saving(spark, sf):
     """AGG21: savings corrected by the drift of untouched pages."""
-    m = O.measure(paired(spark, sf), {"whole": "bytes_saved", "tracking": "bytes_saved_tracking"})
+    m = O.measure(touched(spark, sf), {"whole": "bytes_saved", "tracking": "bytes_saved_tracking"})
     return m.select(*(F.round(c, 6 if c.endswith("drift") else 2).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes))
 
 
 @query(f"""WITH {PAIRED} SELECT round(100.0 * (SELECT stddev_samp(bytes_saved_tracking) FROM paired WHERE n_blocked_tracking = 0) * sqrt(count(*)) / sum(bytes_saved_tracking), 6) AS churn_se_pct FROM paired WHERE n_blocked_tracking > 0""")
 def churn_error(spark, sf):
     """AGG22: churn as a standard error in percent."""
-    return rounded(O.churn_se_pct(paired(spark, sf), "bytes_saved_tracking"))
+    return rounded(O.churn_se_pct(touched(spark, sf), "bytes_saved_tracking"))
 
 
 @query(f"""WITH {PAIRED}, t AS (SELECT DISTINCT page_idx FROM paired WHERE n_blocked_tracking > 0), r AS (SELECT rep, sum(CASE WHEN t.page_idx IS NOT NULL THEN bytes_saved ELSE 0 END)::DOUBLE AS total, stddev_samp(CASE WHEN t.page_idx IS NULL THEN bytes_saved END) AS q FROM paired p LEFT JOIN t USING (page_idx) GROUP BY rep),
@@ -106,13 +111,13 @@ def churn_error(spark, sf):
  SELECT n_reps, nt AS n_pages_touched, round(m, 1) AS per_rep_mean, round(sd, 1) AS per_rep_sd, round(sd / sqrt(n_reps), 1) AS pooled_se, round(100.0 * sd / sqrt(n_reps) / abs(m), 2) AS pooled_se_pct, round(100.0 * sd / abs(m), 2) AS single_rep_sd_pct, round(100.0 * churn / abs(m), 2) AS churn_proxy_se_pct FROM a""")
 def rep_dispersion(spark, sf):
     """AGG20: dispersion over repetitions, and the churn proxy."""
-    return O.dispersion(paired(spark, sf), "bytes_saved")
+    return O.dispersion(touched(spark, sf), "bytes_saved")
 
 
 @query(f"""WITH {PAIRED}, i AS (SELECT page_idx, stddev_samp(bytes_saved) / avg(transfer_bytes_normal) AS instability FROM paired GROUP BY 1 HAVING count(*) >= 2 AND avg(transfer_bytes_normal) > 0) SELECT page_idx, round(instability, 8) AS instability FROM i WHERE instability <= 1.0""")
 def page_instability(spark, sf):
     """AGG19, FLT15, AGG40-41: deviation of a page's repetitions over its size; unstable pages are left out."""
-    return rounded(O.instability(paired(spark, sf)).where("instability <= 1.0"), 8)
+    return rounded(O.instability(touched(spark, sf)).where("instability <= 1.0"), 8)
 
 
 @query(f"""WITH {PAIRED}, t AS (SELECT sum(bytes_saved_tracking)::DOUBLE AS tn, sum(transfer_bytes_normal)::DOUBLE AS td FROM paired) SELECT rep, page_idx, round(tn / td, 9) AS ratio, round((tn - bytes_saved_tracking) / (td - transfer_bytes_normal), 9) AS ratio_without FROM paired, t""")
@@ -120,7 +125,7 @@ def leave_one_page_out(spark, sf):
     """AGG50: the ratio without each page, from one set of totals."""
     from tallybrook.operators.evaluate import leave_one_out
 
-    return rounded(leave_one_out(paired(spark, sf), "bytes_saved_tracking", "transfer_bytes_normal").select("rep", "page_idx", "ratio", "ratio_without"), 9)
+    return rounded(leave_one_out(touched(spark, sf), "bytes_saved_tracking", "transfer_bytes_normal").select("rep", "page_idx", "ratio", "ratio_without"), 9)
 
 
 @query(f"""WITH {S.WITH_PAIRED} SELECT rep, page_idx, sum({_SIZED})::BIGINT AS bytes, count(*) AS n, count(*) FILTER (WHERE transfer_size IS NULL OR transfer_size <= 0) AS n_no_size, sum(CASE WHEN resource_type = 'script' THEN {_SIZED} ELSE 0 END)::BIGINT AS script_bytes, count(DISTINCT resource_type) AS n_types FROM control_obs GROUP BY 1, 2""")
@@ -213,13 +218,13 @@ def host_units(spark, sf):
 def saturation(spark, sf):
     """AGG48, ML20: saving for each cascading request by their number on the page."""
     n = S.blocked(spark, sf).where("resource_type in ('script', 'html')").groupBy("rep", "page_idx").agg(F.count(F.lit(1)).alias("k"))
-    return rounded(G.saturation(n.join(paired(spark, sf), ["rep", "page_idx"]), "k", "bytes_saved"))
+    return rounded(G.saturation(n.join(touched(spark, sf), ["rep", "page_idx"]), "k", "bytes_saved"))
 
 
 @query(f"""WITH {PAIRED}, s AS (SELECT page_idx, rep AS k, sum(bytes_saved)::BIGINT AS saved FROM paired GROUP BY 1, 2) SELECT page_idx, k, saved - lag(saved) OVER (PARTITION BY page_idx ORDER BY k) AS marginal FROM s""")
 def marginal_steps(spark, sf):
     """JN18, WIN4, SRC13: a step's saving over the step before it."""
-    s = paired(spark, sf).select("page_idx", F.col("rep").alias("k"), F.col("bytes_saved").alias("saved"))
+    s = touched(spark, sf).select("page_idx", F.col("rep").alias("k"), F.col("bytes_saved").alias("saved"))
     w = Window.partitionBy("page_idx").orderBy("k")
     return s.select("page_idx", "k", F.when(F.lag("k").over(w) == F.col("k") - 1, F.col("saved") - F.lag("saved").over(w)).alias("marginal"))
 
