@@ -107,7 +107,7 @@ def joint_and_singles(spark, sf):
 def two_load_cascade(spark, sf):
     """PAIR9: the cascade of two loads: base less variant less the blocked requests' own bytes in the base load."""
     own = PP.matched(spark, sf).groupBy(*P.PAGE).agg(F.sum(F.coalesce("observed_bytes", F.lit(0))).alias("own_bytes"))
-    j = PP.paired(spark, sf).join(own, P.PAGE)
+    j = PP.touched(spark, sf).join(own, P.PAGE)
     return j.select(*P.PAGE, F.col("transfer_bytes_normal").alias("base_bytes"), F.col("transfer_bytes_private").alias("variant_bytes"), "own_bytes", (F.col("transfer_bytes_normal") - F.col("transfer_bytes_private") - F.col("own_bytes")).alias("cascade_bytes"))
 
 
@@ -121,14 +121,14 @@ def panel(spark, sf):
     """ML20: touched pages with direct bytes, cascading requests and bytes, and their numbers by size."""
     casc, size = F.col("resource_type").isin(*CASCADING), F.coalesce("observed_bytes", F.lit(0))
     pn = PP.matched(spark, sf).groupBy(*P.PAGE).agg(F.sum(size).alias("direct"), F.count_if(casc).alias("casc_n"), F.sum(F.when(casc, size).otherwise(0)).alias("casc_bytes"), F.count_if(casc & (size < 30000)).alias("small_n"), F.count_if(casc & (size >= 30000)).alias("large_n"))
-    return PP.paired(spark, sf).join(pn, P.PAGE).where("n_blocked_tracking > 0")
+    return PP.touched(spark, sf).join(pn, P.PAGE).where("n_blocked_tracking > 0")
 
 
 @query(f"""WITH {_PANEL}, t AS (SELECT sum(direct) AS d, sum(casc_n) AS cn, sum(casc_bytes) AS cb, sum(bytes_saved)::DOUBLE AS w, sum(bytes_saved_tracking)::DOUBLE AS l, count(*) AS n FROM panel), q AS (SELECT avg(bytes_saved) AS dw, avg(bytes_saved_tracking) AS dl FROM paired WHERE n_blocked_tracking = 0),
  v AS (SELECT unnest(['whole', 'whole_raw', 'listed', 'listed_raw']) AS form, unnest([w - dw * n, w, l - dl * n, l]) AS saved, d, cn, cb FROM t, q) SELECT form, round(saved, 2) AS saved, round((saved - d) / cb, 6) AS factor, round((saved - d) / cn, 4) AS per_request FROM v""")
 def implied_factors(spark, sf):
     """ML20-21: the factor and the bytes for each request that page savings imply, corrected for drift and raw."""
-    saved = O.measure(PP.paired(spark, sf), {"whole": "bytes_saved", "listed": "bytes_saved_tracking"})
+    saved = O.measure(PP.touched(spark, sf), {"whole": "bytes_saved", "listed": "bytes_saved_tracking"})
     f = G.implied_factors(panel(spark, sf), {k: k for k in ("whole", "whole_raw", "listed", "listed_raw")}, saved)
     return f.select("form", F.round("saved", 2).alias("saved"), F.round("factor", 6).alias("factor"), F.round("per_request", 4).alias("per_request"))
 
@@ -327,7 +327,7 @@ def estimate_end_to_end(spark, sf):
     """PAIR4: estimates of the blocked requests and their follow-ups against what the page loads saved."""
     priced = followups(TT.scored(spark, sf).withColumn("host_scale", F.lit(1.0)), F.lit("UNKNOWN")).select("page_idx", "pos", "est_bytes", "followup_bytes")
     e = S.blocked(spark, sf).select(*P.PAGE, "pos").join(priced, ["page_idx", "pos"]).groupBy(*P.PAGE).agg(F.sum("est_bytes").alias("direct"), F.sum("followup_bytes").alias("followup"))
-    j = e.join(PP.paired(spark, sf), P.PAGE).groupBy("rep")
+    j = e.join(PP.touched(spark, sf), P.PAGE).groupBy("rep")
     return rounded(j.agg(F.count(F.lit(1)).alias("n_pages"), F.sum("direct").alias("direct"), F.sum("followup").alias("followup"), F.sum("bytes_saved").alias("saved"), (F.sum(F.col("direct") + F.col("followup")).cast("double") / F.sum("bytes_saved")).alias("ratio")))
 
 
