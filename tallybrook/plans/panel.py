@@ -230,12 +230,14 @@ def exp_link_scores(spark, sf):
 def estimate_questions_by_party(spark, sf):
     """PAIR4: estimates against observations for listed third-party requests, and for those of another owner than the page's."""
     page = F.when(F.col("page_idx") % 7 == 0, "https://www.social.example/home").when(F.col("page_idx") % 7 == 1, "https://guard.example/").otherwise(F.concat(F.lit("https://"), "page_domain", F.lit("/")))
-    s = C.describe(TT.scored(spark, sf).withColumn("page_url", page), S.rules(spark)).where("tracker_pattern is not null")
+    kinds = S.requests(spark, sf).groupBy(U.plain_query(F.col("url")).alias("url"), "resource_type", "http_method", page.alias("page_url"))
+    alike = kinds.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("transfer_bytes", F.lit(0))).alias("a"))  # requests of equal estimate, verdict and page
+    s = C.describe(TT.scorer(spark, sf)(alike), S.rules(spark)).where("tracker_pattern is not null")
     t = s.where(U.is_third_party(F.col("host"), U.net_host(F.col("page_url"))))
     owners = C.same_owner(t.select("url", "page_url").distinct(), S.rules(spark))
-    both = t.join(owners, ["url", "page_url"]).select(F.col("est_bytes").alias("p"), F.coalesce("transfer_bytes", F.lit(0)).alias("a"), "same_owner")
-    rows = both.select(F.lit("third_party").alias("question"), "p", "a").union(both.where("not same_owner").select(F.lit("cross_entity"), "p", "a"))
-    return rounded(rows.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("pred_total"), F.sum("a").alias("actual_total"), (F.sum("p").cast("double") / F.sum("a")).alias("ratio")))
+    questions = F.when(F.col("same_owner"), F.array(F.lit("third_party"))).otherwise(F.array(F.lit("third_party"), F.lit("cross_entity")))
+    rows = t.join(owners, ["url", "page_url"]).select(F.explode(questions).alias("question"), "n", (F.col("est_bytes") * F.col("n")).alias("p"), "a")
+    return rounded(rows.groupBy("question").agg(F.sum("n").alias("n"), F.sum("p").alias("pred_total"), F.sum("a").alias("actual_total"), (F.sum("p").cast("double") / F.sum("a")).alias("ratio")))
 
 
 _LEVELLED = f"WITH {TT._chain('mean')}, c AS (SELECT page_domain, resource_type AS t, sum(pred) AS p, count(*)::DOUBLE AS k, sum(transfer_bytes)::DOUBLE AS a FROM pred GROUP BY 1, 2), lv AS (SELECT page_domain, t, p * (SELECT sum(a) / sum(p) FROM c) - a AS ga, k * (SELECT sum(a) / sum(k) FROM c) - a AS gb FROM c)"
