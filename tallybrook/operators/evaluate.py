@@ -19,6 +19,12 @@ def spearman(df: DataFrame, a: str, b: str, name: str = "spearman") -> DataFrame
     return m.select(F.when((va > 0) & (vb > 0), (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(va * vb)).alias(name))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation of two columns over rows where both are there; null where one is constant, which F.corr takes as an error."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def errors(df: DataFrame, pred: str, actual: str, by: list[str] | None = None, median: bool = True) -> DataFrame:
     """n, mae, median_ae (if wanted), rmse, mape (actual over 1000), totals and their ratio, overall or by group."""
     p, a = F.col(pred).cast("double"), F.col(actual).cast("double")

@@ -306,7 +306,10 @@ def quantile_models(spark, sf):
 
 @query()
 def type_probabilities(spark, sf):
-    """ML12-13: class probabilities as features of a regression, and how the odds of a later period go with its errors."""
+    """ML12-13: class probabilities as features of a regression, and how the odds of a later period go with its errors.
+
+    The correlation is null where the odds are the same for all later rows: the forest merges leaves of one guess.
+    """
     train, test = SP.features(spark, sf)
     kinds = RandomForestClassifier(labelCol="kind", probabilityCol="odds", predictionCol="guess", rawPredictionCol="votes", numTrees=5, maxDepth=4, seed=3).fit(train.withColumn("kind", R.context_of(F.col("resource_type")).cast("double")))
     both = VectorAssembler(inputCols=["features", "odds"], outputCol="more")
@@ -315,7 +318,7 @@ def type_probabilities(spark, sf):
     out = []
     for name, column in (("plain", "features"), ("with_probabilities", "more")):
         p = late.transform(LinearRegression(featuresCol=column, regParam=1.0).fit(a).transform(b)).withColumn("gap", F.abs(F.greatest("prediction", F.lit(0.0)) - F.col("label")))
-        out.append(p.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mae"), F.corr(vector_to_array("when")[1], F.col("gap")).alias("error_correlation")))
+        out.append(p.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mae"), V.correlation(vector_to_array("when")[1], F.col("gap")).alias("error_correlation")))
     return S.union_all(*out)
 
 
