@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,15 +177,22 @@ def saturation(panel: DataFrame, count: str, value: str) -> DataFrame:
     return panel.where(c >= 1).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum(count).alias("n_requests"), (F.sum(value).cast("double") / F.sum(count)).alias("per_request"))
 
 
+#: Sums of products that a fit of y on two columns takes.
+PRODUCTS = {"s11": (0, 0), "s22": (1, 1), "s12": (0, 1), "t1": (0, 2), "t2": (1, 2)}
+
+
 def two_terms(rows: DataFrame, x1: str, x2: str, y: str, by: list[str] | None = None) -> DataFrame:
     """n, b1 and b2 by group: the non-negative fit of y on two columns, in closed form from one aggregate of products.
 
     If a free coefficient is negative or the columns are dependent, the better of the two one-column fits is the solution.
     """
-    c = {n: F.col(n).cast("double") for n in (x1, x2, y)}
-    pairs = {"s11": (x1, x1), "s22": (x2, x2), "s12": (x1, x2), "t1": (x1, y), "t2": (x2, y)}
-    sums = rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c[a] * c[b]).alias(k) for k, (a, b) in pairs.items()))
-    s11, s22, s12, t1, t2 = (F.col(k) for k in pairs)
+    c = [F.col(n).cast("double") for n in (x1, x2, y)]
+    return solved(rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c[a] * c[b]).alias(k) for k, (a, b) in PRODUCTS.items())), by)
+
+
+def solved(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """two_terms() from its sums of products."""
+    s11, s22, s12, t1, t2 = (F.col(k) for k in PRODUCTS)
     det = s11 * s22 - s12 * s12
     free1, free2 = F.try_divide(s22 * t1 - s12 * t2, det), F.try_divide(s11 * t2 - s12 * t1, det)
     one1, one2 = (F.coalesce(F.greatest(F.try_divide(t, s), F.lit(0.0)), F.lit(0.0)) for t, s in ((t1, s11), (t2, s22)))
@@ -191,6 +200,20 @@ def two_terms(rows: DataFrame, x1: str, x2: str, y: str, by: list[str] | None =
     return sums.select(*(by or []), "n", F.when(inside, free1).when(first, one1).otherwise(0.0).alias("b1"), F.when(inside, free2).when(first, 0.0).otherwise(one2).alias("b2"))
 
 
+def two_term_forms(rows: DataFrame, forms: dict[str, tuple[str, str]], y: str, group: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """form, n, b1 and b2: two_terms() of several pairs of columns, from one pass over rows; those named in within less their group's means.
+
+    Products are added up by group, about its means where a form asks for that, and only the groups' sums are kept.
+    """
+    sums = [F.count(F.lit(1)).alias("n")]
+    for form, xs in forms.items():
+        c = [F.col(n).cast("double") for n in (*xs, y)]
+        sums += [(F.regr_sxy(c[a], c[b]) if form in within else F.sum(c[a] * c[b])).alias(f"{form}_{k}") for k, (a, b) in PRODUCTS.items()]
+    groups = cut(rows.groupBy(group).agg(*sums))
+    each = reduce(DataFrame.unionByName, (groups.select(F.lit(form).alias("form"), "n", *(F.col(f"{form}_{k}").alias(k) for k in PRODUCTS)) for form in forms))
+    return solved(each.groupBy("form").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in PRODUCTS)), ["form"])
+
+
 def presence(page_hosts: DataFrame, page: str, host: str, value: str, min_pages: int) -> DataFrame:
     """page, column and value of a sparse design: 1 for each host of at least min_pages pages, and the other hosts' summed
     value in the column '(other)'."""

@@ -144,9 +144,8 @@ def _two(form: str, x1: str, x2: str, y: str, rows: str) -> str:
 def two_term_fits(spark, sf):
     """ML15, ML17: savings by an intercept and a count, by direct bytes and a count, by two sizes, and within groups."""
     kb = panel(spark, sf).select((F.col("page_idx") % 7).alias("g"), F.lit(1.0).alias("one"), *(F.col(c).cast("double").alias(c) for c in ("casc_n", "small_n", "large_n")), (F.col("direct") / 1024).alias("direct"), (F.col("bytes_saved_tracking") / 1024).alias("y"))
-    within = G.demeaned(kb, "g", ["casc_n", "direct", "y"])
-    forms = {"intercept": (kb, "one", "casc_n"), "joint": (kb, "direct", "casc_n"), "by_size": (kb, "small_n", "large_n"), "demeaned": (within, "direct", "casc_n")}
-    return rounded(S.union_all(*(G.two_terms(df, a, b, "y").select(F.lit(k).alias("form"), "n", "b1", "b2") for k, (df, a, b) in forms.items())), 4)
+    forms = {"intercept": ("one", "casc_n"), "joint": ("direct", "casc_n"), "by_size": ("small_n", "large_n"), "demeaned": ("direct", "casc_n")}
+    return rounded(G.two_term_forms(kb, forms, "y", "g", ("demeaned",)).select("form", "n", "b1", "b2"), 4)
 
 
 _KEY = f"{_RHOST} || {PATH.replace('url', 'r.url')}"
