@@ -28,9 +28,14 @@ def _counted(texts: DataFrame, *kept: str) -> DataFrame:
     return own.select(*kept, F.inline(each))
 
 
-def vocabulary(train: DataFrame, text: str, min_df: int = MIN_DF, most: int = MOST_TERMS) -> DataFrame:
-    """term, at (from 0) and idf of the most frequent terms that min_df rows hold; each row of train counts."""
-    own = train.groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("rows"))
+def of_rows(weight: str | None) -> Column:
+    """The number of rows; where a row stands for several, a column has their number."""
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def vocabulary(train: DataFrame, text: str, min_df: int = MIN_DF, most: int = MOST_TERMS, weight: str | None = None) -> DataFrame:
+    """term, at (from 0) and idf of the most frequent terms that min_df rows hold; each row of train counts, as often as its weight says."""
+    own = train.groupBy(F.col(text).alias("text")).agg(of_rows(weight).alias("rows"))
     found = _counted(own, "rows").groupBy("term").agg(F.sum("rows").alias("df"), F.sum(F.col("rows") * F.col("tf")).alias("total"))
     kept = one_row(found.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(most), own.agg(F.sum("rows").alias("n")))
     numbered = kept.withColumn("at", F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1)  # over most rows at most
@@ -45,7 +50,7 @@ def tfidf(texts: DataFrame, text: str, terms_: DataFrame) -> DataFrame:
     return listed.select("text", "length", F.inline("all")).select(F.col("text").alias(text), "at", "term", (F.col("raw") / F.col("length")).alias("weight"))
 
 
-def directions(train: DataFrame, text: str, terms_: DataFrame, k: int = DIMENSIONS) -> DataFrame:
+def directions(train: DataFrame, text: str, terms_: DataFrame, k: int = DIMENSIONS, weight: str | None = None) -> DataFrame:
     """term and direction: the k first right singular vectors of the TF-IDF matrix of train's rows, each with its
     largest entry positive; fewer where there are fewer terms, or no more variance.
 
@@ -59,7 +64,7 @@ def directions(train: DataFrame, text: str, terms_: DataFrame, k: int = DIMENSIO
     size = terms_.count()
     if not size:
         return spark.createDataFrame([], schema)
-    rows = train.groupBy(text).agg(F.count(F.lit(1)).alias("rows"))
+    rows = train.groupBy(text).agg(of_rows(weight).alias("rows"))
     scaled = tfidf(train, text, terms_).join(rows, text).select(text, "at", (F.col("weight") * F.sqrt("rows")).alias("w"))  # a text weighs as much as its rows together
     held = scaled.groupBy(text).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("all"))
     matrix = cut(held.select(F.col("all.at").cast("array<int>").alias("at"), F.col("all.w").alias("w")))
